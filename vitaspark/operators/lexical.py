@@ -46,21 +46,32 @@ def query_terms(jobs: DataFrame, text: Column, key: str = "jd_id") -> DataFrame:
     return jobs.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qtf"))
 
 
-def corpus_stats(docs: DataFrame, fields: list[str], key: str = "resume_id") -> DataFrame:
-    """Documents holding each field and their average length."""
-    return (
-        field_tokens(docs, fields, key)
-        .groupBy("field")
-        .agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("avg_len"))
+def dictionary(docs: DataFrame, fields: list[str], terms: DataFrame | None = None, key: str = "resume_id") -> DataFrame:
+    """(field, term, df, tokens) of the corpus, optionally of the given terms only.
+
+    Each document adds the empty term once per field, so that the row of ''
+    carries the field's document count and token total and one pass serves
+    both the term counts and the field statistics.
+    """
+    rows = field_tokens(docs, fields, key).select(
+        "field", F.size("toks").alias("len"), F.explode(F.array_append(F.array_distinct("toks"), F.lit(""))).alias("term")
+    )
+    if terms is not None:
+        wanted = terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term")))
+        rows = rows.join(checked_broadcast(wanted), "term", "left_semi")
+    return rows.groupBy("field", "term").agg(
+        F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("len"))).alias("tokens")
     )
 
 
-def term_frequencies(docs: DataFrame, fields: list[str], terms: DataFrame | None = None, key: str = "resume_id") -> DataFrame:
-    """Document frequency per (field, term), optionally of the given terms only."""
-    distinct = field_tokens(docs, fields, key).select("field", F.explode(F.array_distinct("toks")).alias("term"))
-    if terms is not None:
-        distinct = distinct.join(checked_broadcast(terms), "term", "left_semi")
-    return distinct.groupBy("field", "term").agg(F.count("*").alias("df"))
+def corpus_stats(terms: DataFrame) -> DataFrame:
+    """(field, n_docs, avg_len) from a dictionary."""
+    return terms.filter("term = ''").select("field", F.col("df").alias("n_docs"), (F.col("tokens") / F.col("df")).alias("avg_len"))
+
+
+def term_frequencies(terms: DataFrame) -> DataFrame:
+    """(field, term, df) from a dictionary."""
+    return terms.filter("term <> ''").select("field", "term", "df")
 
 
 def allowed_edits(term: Column) -> Column:
@@ -135,9 +146,10 @@ def term_weights(terms: DataFrame, docs: DataFrame, fields: list[str], *, fuzzy:
     """
     wanted = terms.select("term").distinct()
     if fuzzy:
-        vocabulary = field_tokens(docs, fields, key).select(F.explode(F.array_distinct("toks")).alias("term")).distinct()
-        pairs = fuzzy_pairs(wanted, vocabulary)
+        corpus = stable(dictionary(docs, fields, key=key))
+        pairs = fuzzy_pairs(wanted, term_frequencies(corpus).select("term").distinct())
     else:
+        corpus = stable(dictionary(docs, fields, wanted, key))
         pairs = wanted.select(F.col("term").alias("wanted"), "term", F.lit(0).alias("edits"))
     similarity = 1.0 - F.col("edits") / F.least(F.length("wanted"), F.length("term"))
     expanded = (
@@ -149,10 +161,12 @@ def term_weights(terms: DataFrame, docs: DataFrame, fields: list[str], *, fuzzy:
             F.sum(F.col("qtf") * similarity).alias("near"),
         )
     )
-    df = term_frequencies(docs, fields, expanded.select("term").distinct(), key)
-    stats = corpus_stats(docs, fields, key)
+    stats = corpus_stats(corpus)
     idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = df.join(F.broadcast(stats), "field").select("field", "term", "avg_len", idf.alias("idf"))
+    weighted = (
+        term_frequencies(corpus).join(F.broadcast(stats), "field")
+        .select("field", "term", "avg_len", idf.alias("idf"))
+    )
     return expanded.join(weighted, "term").select("jd_id", "field", "term", "idf", "exact", "near", "avg_len")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import skills as K
 from ..functions.lexicon import STEEPNESS
-from ..plans.sizing import checked_broadcast
+from ..plans.sizing import bounded_broadcast, checked_broadcast
 from .vector_search import top_per_job
 
 CANDIDATE_COLUMNS = ["resume_id", "skills", "positions", "total_experience"]
@@ -31,11 +31,11 @@ def normalized(pool: DataFrame, mode: str, score: str = "raw_score", out: str =
 
 
 def with_details(pool: DataFrame, jobs: DataFrame, docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Attach candidate and job columns. The pool is small next to the
-    candidates, so it is the side that travels, after a check."""
+    """Attach candidate and job columns. A pool has at most 100 rows per job, so
+    it is the side that travels when the jobs are few enough."""
     picked = docs.select(*(columns or CANDIDATE_COLUMNS))
     wanted = [c for c in [*JOB_COLUMNS, "max_results", "min_experience"] if c in jobs.columns]
-    return picked.join(checked_broadcast(pool), "resume_id").join(checked_broadcast(jobs.select(*wanted)), "jd_id")
+    return picked.join(bounded_broadcast(pool, jobs, 100), "resume_id").join(checked_broadcast(jobs.select(*wanted)), "jd_id")
 
 
 def components(pairs: DataFrame, profile: str = "batch", guarded: bool = True) -> DataFrame:

@@ -113,7 +113,9 @@ def batch_search(jobs: DataFrame, docs: DataFrame, dim: int, query: Column | Non
     """Batch profile: hybrid without rerank; jobs without hits take text search."""
     usable = L.stable(hybrid_pool(jobs, docs, dim, query, with_title=False).select("jd_id", "resume_id", "raw_score", "search_score"))
     primary = _cut(usable, jobs).withColumnRenamed("search_score", "score")
-    unserved = jobs.join(usable.select("jd_id").distinct(), "jd_id", "left_anti")
+    unserved = L.stable(jobs.join(usable.select("jd_id").distinct(), "jd_id", "left_anti"))
+    if unserved.isEmpty():
+        return primary
     return with_fallback(primary, text_search(unserved, docs))
 
 

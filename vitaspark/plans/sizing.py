@@ -23,6 +23,20 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if within(df, max_rows) else df
 
 
+def bounded_broadcast(df: DataFrame, owner: DataFrame, per_row: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """As :func:`checked_broadcast` for a result with at most ``per_row`` rows per
+    row of ``owner``: counting the owner avoids computing the result twice."""
+    return F.broadcast(df) if within(owner, max_rows // per_row) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give rows of a few large files to all task slots. Inputs that already
+    come as more files than slots are returned as they are."""
+    if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
 def lookup(
     big: DataFrame, keyed: DataFrame, key: str, *, how: str = "left", hot_rows: int = 1_000_000, max_hot: int = 10_000
 ) -> DataFrame:

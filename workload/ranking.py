@@ -343,8 +343,9 @@ raw AS (SELECT jd_id, resume_id, {O.settle(f"sum({O.boost_case(TEXT_EXACT_BOOSTS
   JOIN (SELECT field, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings FROM df GROUP BY field) USING (field)""")
 def g10(spark, sf):
     c = candidates(spark, sf)
-    df = L.term_frequencies(c, TEXT_FIELDS).groupBy("field").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
-    stats = L.corpus_stats(c, TEXT_FIELDS).withColumn("avg_len", F.round("avg_len", 4))
+    terms = L.stable(L.dictionary(c, TEXT_FIELDS))
+    df = L.term_frequencies(terms).groupBy("field").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    stats = L.corpus_stats(terms).withColumn("avg_len", F.round("avg_len", 4))
     return stats.join(F.broadcast(df), "field")
 
 
