@@ -36,7 +36,7 @@ def joined(values: Column, limit: int, sep: str = ", ") -> Column:
 
 def split_trimmed(text: Column, pattern: str = ",") -> Column:
     """Split on a regex, trim, drop blanks."""
-    return F.filter(F.transform(F.split(text, pattern), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, pattern), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def blank_to_null(value: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["ranking"]
+MODULES = ["ranking", "records"]
 
 
 def all_queries() -> None:
