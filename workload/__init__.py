@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["ranking", "records"]
+MODULES = ["ranking", "records", "stores"]
 
 
 def all_queries() -> None:

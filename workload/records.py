@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from vitaspark.operators import normalize as N
 
+from vitaspark.plans.sizing import spread
+
 from . import oracle as O
 from .registry import query, table
 from .roles import JOBS_SQL, N_SKILLS, SKILLS, jobs, pick
@@ -36,7 +38,8 @@ RESPONSE = f"""'{{"resume_id":"' || {_K} || '","full_name":"' || CASE c_custkey
 
 
 def responses(spark, sf):
-    return table(spark, sf, "customer").selectExpr("c_custkey", f"{RESPONSE} AS response")
+    # the spread keeps this long derivation out of the projections that read it
+    return table(spark, sf, "customer").selectExpr("c_custkey", f"{RESPONSE} AS response").transform(spread)
 
 
 def records(spark, sf):
