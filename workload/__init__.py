@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["ranking", "records", "stores"]
+MODULES = ["ranking", "records", "stores", "texts"]
 
 
 def all_queries() -> None:
