@@ -12,17 +12,25 @@ def empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` computed once, also when ``body`` uses it inside lambdas
+    (a plain column would be computed again for every element)."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def first_wins(values: Column, key: Callable[[Column], Column] = F.lower) -> Column:
     """Drop later elements whose key was seen before; order and spelling stay.
 
     Positions of the keys decide, so no accumulator array is copied per step:
     an element stays when the first position of its key is its own position.
     """
-    keys = F.transform(values, key)
-    return F.filter(
-        values,
-        lambda v, i: F.array_position(keys, key(v)) == i.cast("bigint") + 1,
-    )
+    def kept(items: Column) -> Column:
+        return let(
+            F.transform(items, key),
+            lambda keys: F.filter(items, lambda v, i: F.array_position(keys, F.get(keys, i)) == i.cast("bigint") + 1),
+        )
+
+    return let(values, kept)
 
 
 def joined(values: Column, limit: int, sep: str = ", ") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .lexicon import API_ALIASES, BATCH_ALIASES
 from .scores import rounded
 
@@ -90,13 +91,11 @@ def skill_match_score(wanted: Column, held: Column) -> Column:
 
 
 def matched_by_case(wanted: Column, held: Column) -> Column:
-    lowered = F.transform(held, F.lower)
-    return F.filter(wanted, lambda s: F.array_contains(lowered, F.lower(s)))
+    return let(F.transform(held, F.lower), lambda low: F.filter(wanted, lambda s: F.array_contains(low, F.lower(s))))
 
 
 def missing_by_case(wanted: Column, held: Column) -> Column:
-    lowered = F.transform(held, F.lower)
-    return F.filter(wanted, lambda s: ~F.array_contains(lowered, F.lower(s)))
+    return let(F.transform(held, F.lower), lambda low: F.filter(wanted, lambda s: ~F.array_contains(low, F.lower(s))))
 
 
 def missing_skills(wanted: Column, wanted_norm: Column, held_norm: Column) -> Column:
@@ -111,23 +110,20 @@ def matching_skills(held: Column, held_norm: Column, wanted_norm: Column) -> Col
 
 def partial_pairs(wanted: Column, wanted_norm: Column, held: Column, held_norm: Column) -> Column:
     """All (required, resume) pairs related by substring, without exact matches."""
-    matching = matching_skills(held, held_norm, wanted_norm)
-    held_pairs = F.filter(
-        F.arrays_zip(held.alias("s"), held_norm.alias("n")),
-        lambda p: ~F.array_contains(matching, p["s"]) & (F.length(p["n"]) > 2),
-    )
-    wanted_pairs = F.filter(
-        F.arrays_zip(wanted.alias("s"), wanted_norm.alias("n")), lambda p: F.length(p["n"]) > 2
-    )
-    return F.flatten(
-        F.transform(
-            wanted_pairs,
-            lambda w: F.transform(
-                F.filter(held_pairs, lambda h: F.contains(h["n"], w["n"]) | F.contains(w["n"], h["n"])),
-                lambda h: F.struct(w["s"].alias("required"), h["s"].alias("resume")),
-            ),
-        )
+    rest = let(
+        matching_skills(held, held_norm, wanted_norm),
+        lambda matching: F.filter(
+            F.arrays_zip(held.alias("s"), held_norm.alias("n")),
+            lambda p: ~F.array_contains(matching, p["s"]) & (F.length(p["n"]) > 2),
+        ),
     )
+    required = F.filter(F.arrays_zip(wanted.alias("s"), wanted_norm.alias("n")), lambda p: F.length(p["n"]) > 2)
+
+    def related(w: Column, others: Column) -> Column:
+        near = F.filter(others, lambda h: F.contains(h["n"], w["n"]) | F.contains(w["n"], h["n"]))
+        return F.transform(near, lambda h: F.struct(w["s"].alias("required"), h["s"].alias("resume")))
+
+    return let(rest, lambda others: F.flatten(F.transform(required, lambda w: related(w, others))))
 
 
 def coverage_percent(n_matching: Column, n_partial: Column, n_required: Column) -> Column:

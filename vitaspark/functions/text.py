@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import extract, extract_all
+from .arrays import extract_all, let
 from .lexicon import REDACTED
 
 TOKEN = r"[\p{L}\p{N}]+"
@@ -37,13 +37,13 @@ def word_terms(text: Column, terms: list[str], ignore_case: bool = True) -> Colu
     pattern = EDGE_BEFORE + "(" + "|".join(_escape(t) for t in longest_first) + ")" + EDGE_AFTER
     found = F.array_distinct(extract_all(F.lower(text) if ignore_case else text, pattern, 1))
     chosen = F.array(*[F.lit(t) for t in terms])
-    return F.filter(chosen, lambda t: F.array_contains(found, F.lower(t) if ignore_case else t))
+    return let(found, lambda f: F.filter(chosen, lambda t: F.array_contains(f, F.lower(t) if ignore_case else t)))
 
 
 def substring_terms(text: Column, terms: list[str]) -> Column:
     """Terms contained anywhere in the lower-cased text, in list order, without repeats."""
-    lowered = F.lower(text)
-    return F.filter(F.array(*[F.lit(t) for t in dict.fromkeys(terms)]), lambda t: F.contains(lowered, t))
+    chosen = F.array(*[F.lit(t) for t in dict.fromkeys(terms)])
+    return let(F.lower(text), lambda low: F.filter(chosen, lambda t: F.contains(low, t)))
 
 
 def title_case(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import extract, extract_all, first_of
+from ..functions.arrays import extract, extract_all, first_of, let
 
 FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 BRACES = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
@@ -41,10 +41,11 @@ def salvage(response: Column) -> Column:
     keys = extract_all(response, FIELDS, 1)
     values = F.arrays_zip(keys.alias("k"), *[extract_all(response, FIELDS, g).alias(f"v{g}") for g in (2, 3, 4)])
     value = lambda m: F.coalesce(*[F.nullif(m[f"v{g}"], F.lit("")) for g in (2, 3, 4)], F.lit(""))
-    entries = F.transform(
-        F.array_distinct(keys), lambda k: F.struct(k.alias("key"), value(F.element_at(F.filter(values, lambda m: m["k"] == k), -1)).alias("value"))
-    )
-    fields = F.when(F.size(entries) > 3, F.to_json(F.map_from_entries(entries)))
+    last = lambda vs, k: F.element_at(F.filter(vs, lambda m: m["k"] == k), -1)
+    entries = let(values, lambda vs: F.transform(
+        F.array_distinct(F.transform(vs, lambda m: m["k"])), lambda k: F.struct(k.alias("key"), value(last(vs, k)).alias("value"))
+    ))
+    fields = let(entries, lambda es: F.when(F.size(es) > 3, F.to_json(F.map_from_entries(es))))
     method = (
         F.when(fenced.isNotNull(), "fenced").when(rich(whole), "whole").when(braces.isNotNull(), "braces")
         .when(fields.isNotNull(), "fields").otherwise("none")

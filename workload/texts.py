@@ -71,7 +71,7 @@ def _escape(t: str) -> str:
 def _word_sql(terms, low: bool = True) -> str:
     """Terms standing as words: surrounded by non-word characters or the ends."""
     pats = "[" + ", ".join(O.q(f"(^|[^\\p{{L}}\\p{{N}}_]){_escape(t.lower())}($|[^\\p{{L}}\\p{{N}}_])") for t in terms) + "]"
-    return f"list_transform(list_filter(list_zip({_list(terms)}, {pats}), lambda z: regexp_matches(lower(text), z[2])), lambda z: z[1])"
+    return f"list_transform(list_filter(list_zip({_list(terms)}, {pats}), lambda z: CASE WHEN contains(lower(text), lower(z[1])) THEN regexp_matches(lower(text), z[2]) ELSE false END), lambda z: z[1])"
 
 
 X1_SQL = f"array_to_string(list_filter({_list(dict.fromkeys(BATCH_SKILL_TERMS))}, lambda t: contains(lower(text), t)), '|')"
@@ -318,14 +318,12 @@ def x23(spark, sf):
 
 
 @query("x24", f"""{RES}, w AS ({' UNION ALL '.join(f'''SELECT resume_id, {i} AS form, text, unnest(range(1, len(regexp_extract_all(text, {O.q(p)})) + 1)) AS k, regexp_extract_all(text, {O.q(p)}) AS m, string_split_regex(text, {O.q(p)}) AS b FROM r''' for i, p in enumerate(E.DEGREE_FORMS))}),
-  at AS (SELECT resume_id, form, k, m[k] AS degree, text, list_sum(list_transform(b[1:k], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda s: length(s))), 0) AS p FROM w),
-  win AS (SELECT *, substr(text, CAST(greatest(p - 100, 0) + 1 AS BIGINT), CAST(p + length(degree) + 150 - greatest(p - 100, 0) AS BIGINT)) AS c FROM at)
+  spots AS (SELECT resume_id, form, k, m[k] AS degree, text, list_sum(list_transform(b[1:k], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda s: length(s))), 0) AS p FROM w),
+  win AS (SELECT *, substr(text, CAST(greatest(p - 100, 0) + 1 AS BIGINT), CAST(p + length(degree) + 150 - greatest(p - 100, 0) AS BIGINT)) AS c FROM spots)
   SELECT resume_id, form, k, degree, coalesce(nullif(regexp_extract(c, {O.q(E.INSTITUTION)}), ''), 'Unknown Institution') AS institution, TRY_CAST(nullif(regexp_extract(c, '20[0-2]\\d|19[8-9]\\d'), '') AS INT) AS year FROM win""")
 def x24(spark, sf):
-    t = F.col("text")
-    forms = F.array(*[F.struct(F.lit(i).alias("form"), F.filter(E.windowed_education(t), lambda e, p=p: e["degree"].rlike(p.replace("(?i)", r"(?i)\A") + r"\z")).alias("e")) for i, p in enumerate(E.DEGREE_FORMS)])
-    flat = resumes(spark, sf).select("resume_id", F.inline(forms)).select("resume_id", "form", F.posexplode("e").alias("k", "x"))
-    return flat.select("resume_id", "form", (F.col("k") + 1).cast("bigint").alias("k"), "x.degree", "x.institution", "x.year")
+    mentions = resumes(spark, sf).select("resume_id", F.explode(E.windowed_education(F.col("text"))).alias("x"))
+    return mentions.select("resume_id", "x.form", "x.k", "x.degree", "x.institution", "x.year")
 
 
 @query("x25")
@@ -383,7 +381,7 @@ _KIND = "CASE " + " ".join(f"WHEN regexp_matches(l, {O.q('(?i)(?:' + p + ')')})
 
 @query("x31", f"""{RES}, {LINE_SQL}, h AS (SELECT resume_id, pos, l, CASE WHEN length(l) BETWEEN 1 AND 49 THEN {_KIND} END AS kind FROM (SELECT resume_id, pos, trim(translate(line, chr(9) || chr(13), '  ')) AS l FROM ln)),
   g AS (SELECT *, sum(CASE WHEN kind IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY resume_id ORDER BY pos) AS s FROM h)
-  SELECT resume_id, s AS section, any_value(l) FILTER (kind IS NOT NULL) AS header, any_value(kind) AS kind,
+  SELECT resume_id, CAST(s AS BIGINT) AS section, any_value(l) FILTER (kind IS NOT NULL) AS header, any_value(kind) AS kind,
     md5(regexp_replace(coalesce(string_agg(l, chr(10) ORDER BY pos) FILTER (kind IS NULL), ''), '^\\s+|\\s+$', '', 'g')) AS content_md5 FROM g WHERE s > 0 GROUP BY resume_id, s""")
 def x31(spark, sf):
     s = resumes(spark, sf).select("resume_id", F.posexplode(E.sections(F.col("text"))).alias("section", "s"))
