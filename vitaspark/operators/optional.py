@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.scores import rounded
 
 
@@ -43,7 +44,7 @@ def preferred_experience(have: Column, need: Column, preferred: Column) -> Colum
 
 
 def score_band(score: Column) -> Column:
-    return F.when(score >= 80, "excellent").when(score >= 60, "good").when(score >= 40, "fair").otherwise("low")
+    return F.when(score >= 80, "excellent").when(score >= 60, "good").when(score >= 40, "moderate").otherwise("poor")
 
 
 def or_default(score: Column, default: float = 50.0) -> Column:
@@ -58,7 +59,7 @@ def holds_all(held: Column, mandatory: Column) -> Column:
 def skill_importance(text: Column, skill: Column) -> Column:
     """Earlier and more frequent mentions weigh more: position share plus capped frequency."""
     body, word = F.lower(text), F.lower(skill)
-    at = F.locate_first(body, word) if hasattr(F, "locate_first") else F.instr(body, word)
+    at = F.instr(body, word)
     times = (F.length(body) - F.length(F.replace(body, word, F.lit("")))) / F.length(word)
     early = 1.0 - (at - 1) / F.greatest(F.length(body), F.lit(1))
     return F.when(at > 0, rounded(early * 0.5 + F.least(times, F.lit(5.0)) / 5.0 * 0.5, 4)).otherwise(F.lit(0.0))
@@ -120,3 +121,57 @@ def related_skills(skills: DataFrame, gaps: DataFrame, top: int = 3) -> DataFram
     counts = pairs.groupBy("skill", "related").agg(F.count("*").alias("together"))
     order = Window.partitionBy("skill").orderBy(F.desc("together"), "related")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+
+def recency_score(positions: Column, skills: Column) -> Column:
+    """100/80 by the share of job skills in the latest position's text, 60 by the one before, else 40; 50 without data.
+
+    ``positions``: array<struct<end:int, description:string>>; an open end counts as latest.
+    """
+    ordered = F.array_sort(F.transform(
+        positions, lambda p, i: F.struct((-F.coalesce(p["end"], F.lit(9999))).alias("e"), i.alias("i"), F.lower(p["description"]).alias("d"))
+    ))
+
+    def share(text: Column) -> Column:
+        return F.size(F.filter(skills, lambda s: F.contains(F.coalesce(text, F.lit("")), F.lower(s)))) / F.size(skills)
+
+    def score(rows: Column) -> Column:
+        first, second = share(F.get(rows, F.lit(0))["d"]), share(F.get(rows, F.lit(1))["d"])
+        return (
+            F.when(first >= 0.7, 100.0).when(first >= 0.3, 80.0).when((F.size(rows) > 1) & (second >= 0.5), 60.0).otherwise(40.0)
+        )
+
+    known = (F.coalesce(F.size(positions), F.lit(0)) > 0) & (F.coalesce(F.size(skills), F.lit(0)) > 0)
+    return F.when(known, let(ordered, score)).otherwise(F.lit(50.0))
+
+
+def experience_quality(positions: Column) -> Column:
+    """Mean of relevance weighted by duration; array<struct<relevance:double, weight:double>>."""
+    total = F.aggregate(positions, F.lit(0.0), lambda acc, p: acc + p["weight"])
+    score = F.aggregate(positions, F.lit(0.0), lambda acc, p: acc + p["relevance"] * p["weight"])
+    return F.when(total > 0, rounded(score / total, 4)).otherwise(F.lit(0.0))
+
+
+def shifted_weights(weight: Column, quality: Column) -> Column:
+    """A component's weight after poor data quality moved part of it to the search weight."""
+    return F.when(quality < 0.5, weight - (0.5 - quality) * weight).otherwise(weight)
+
+
+def fit_weights(feedback: DataFrame, features: list[str], label: str = "label"):
+    """Weights of the components learnt from accepted and rejected results (distributed logistic regression)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
+    return Pipeline(stages=[assembler, LogisticRegression(labelCol=label, maxIter=20)]).fit(feedback)
+
+
+def project_vectors(df: DataFrame, vector: str, k: int, out: str = "projected") -> DataFrame:
+    """Vectors on their k principal components."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
+    model = PCA(k=k, inputCol="__v", outputCol="__p").fit(rows)
+    return model.transform(rows).withColumn(out, vector_to_array("__p")).drop("__v", "__p")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["ranking", "records", "stores", "texts"]
+MODULES = ["ranking", "records", "stores", "texts", "flows"]
 
 
 def all_queries() -> None:
