@@ -96,7 +96,9 @@ def _piece_len(length: Column, edits: Column, i: Column) -> Column:
 def fuzzy_pairs(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(wanted, term, edits) for every vocabulary term within the edits a wanted term allows.
 
-    Both inputs have one distinct column ``term``. Exact pairs have 0 edits.
+    Both inputs have one distinct column ``term``. Exact pairs have 0 edits. A
+    piece may sit ``s`` places off where ``|s| + |length difference - s|`` stays
+    within the edits, which bounds the probes per term.
     """
     exact = wanted.join(vocabulary, "term").select(F.col("term").alias("wanted"), "term", F.lit(0).alias("edits"))
     pieces = (
@@ -122,8 +124,9 @@ def fuzzy_pairs(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
         .withColumn("p", _piece_start(F.col("qlen"), F.col("d"), F.col("i")))
         .withColumn("n", _piece_len(F.col("qlen"), F.col("d"), F.col("i")))
-        .withColumn("low", F.greatest(F.col("p") - F.col("d"), F.lit(1)))
-        .withColumn("high", F.least(F.col("p") + F.col("d"), size - F.col("n") + 1))
+        .withColumn("longer", size - F.col("qlen"))
+        .withColumn("low", F.greatest(F.col("p") - F.floor((F.col("d") - F.col("longer")) / 2).cast("int"), F.lit(1)))
+        .withColumn("high", F.least(F.col("p") + F.floor((F.col("d") + F.col("longer")) / 2).cast("int"), size - F.col("n") + 1))
         .filter(F.col("low") <= F.col("high"))
         .withColumn("at", F.explode(F.sequence("low", "high")))
         .select("term", "qlen", "i", F.substring(F.col("term"), F.col("at"), F.col("n")).alias("piece"))

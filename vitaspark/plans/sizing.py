@@ -29,11 +29,12 @@ def bounded_broadcast(df: DataFrame, owner: DataFrame, per_row: int, max_rows: i
     return F.broadcast(df) if within(owner, max_rows // per_row) else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give rows of a few large files to all task slots. Inputs that already
-    come as more files than slots are returned as they are."""
-    if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give rows of a few large files to all task slots, by hash of the keys (first
+    column by default). Inputs that come as more files than slots stay as they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < slots:
+        return df.repartition(slots, *(keys or df.columns[:1]))
     return df
 
 
