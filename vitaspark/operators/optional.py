@@ -66,10 +66,9 @@ def skill_importance(text: Column, skill: Column) -> Column:
 
 
 def multi_job_candidates(results: DataFrame, at_least: int = 2) -> DataFrame:
-    """Candidates ranked for several jobs."""
-    return results.groupBy("resume_id").agg(
-        F.countDistinct("jd_id").alias("jobs"), F.array_sort(F.collect_set("jd_id")).alias("jd_ids")
-    ).filter(F.col("jobs") >= at_least)
+    """(resume_id, jobs, jd_id) rows of candidates ranked for several jobs."""
+    counts = results.groupBy("resume_id").agg(F.countDistinct("jd_id").alias("jobs")).filter(F.col("jobs") >= at_least)
+    return results.select("resume_id", "jd_id").distinct().join(counts, "resume_id").select("resume_id", "jobs", "jd_id")
 
 
 def weight_grid(components: DataFrame, weights: DataFrame) -> DataFrame:

@@ -23,10 +23,19 @@ MAX_JOB_CELLS = 8_000_000  # numbers in the job matrix a task may hold (64 MB)
 
 
 def top_per_job(scored: DataFrame, limit: Column | int, score: str, job: str = "jd_id", item: str = "resume_id") -> DataFrame:
-    """Best rows per job. The constant bound lets Spark cut each partition before the shuffle."""
-    order = Window.partitionBy(job).orderBy(F.col(score).desc(), F.col(item))
+    """Best rows per job.
+
+    The constant bound lets Spark cut each partition before the shuffle. With
+    many shuffle partitions a job would still receive that many cut pieces in
+    one task, so the cut is first made per job and hash of the item.
+    """
     bound = limit if isinstance(limit, int) else 100
-    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= bound)
+    best = [F.col(score).desc(), F.col(item)]
+    salts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64
+    if salts > 1:
+        part = Window.partitionBy(job, F.pmod(F.xxhash64(item), F.lit(salts))).orderBy(*best)
+        scored = scored.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= bound).drop("__r")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(job).orderBy(*best))).filter(F.col("rank") <= bound)
     return ranked if isinstance(limit, int) else ranked.filter(F.col("rank") <= limit)
 
 

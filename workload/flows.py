@@ -290,11 +290,11 @@ def k11(spark, sf):
     return _pairs(spark, sf).select("jd_id", "resume_id", P.score_band(F.col("search_score")).alias("band"))
 
 
-@query("k12", f"{O.BASE},\n{O.COSINE_SQL} SELECT resume_id, count(DISTINCT jd_id) AS jobs, string_agg(CAST(jd_id AS VARCHAR), '|' ORDER BY jd_id) AS jd_ids FROM vpool GROUP BY resume_id HAVING count(DISTINCT jd_id) >= 2")
+@query("k12", f"{O.BASE},\n{O.COSINE_SQL} SELECT resume_id, jobs, jd_id FROM vpool JOIN (SELECT resume_id, count(DISTINCT jd_id) AS jobs FROM vpool GROUP BY resume_id HAVING count(DISTINCT jd_id) >= 2) USING (resume_id)")
 def k12(spark, sf):
     from .ranking import _vpool
 
-    return P.multi_job_candidates(_vpool(spark, sf)).withColumn("jd_ids", F.array_join(F.transform("jd_ids", lambda x: x.cast("string")), "|"))
+    return P.multi_job_candidates(L.stable(_vpool(spark, sf)))
 
 
 @query("k13", """WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(CAST(ceil(len(w) / 512.0) AS BIGINT), 1))) AS chunk FROM w)
@@ -355,6 +355,29 @@ def u1(spark, sf):
     return table(spark, sf, "pages").select("page_id", host.alias("host"))
 
 
+@query("u2", "SELECT doc_id, md5(text) AS text_md5, 256 AS dim FROM documents")
+def u2(spark, sf):
+    """Vectors by the pluggable provider, made once per distinct text and joined back."""
+    from vitaspark.functions.vectors import embed_hashed
+    from vitaspark.operators.normalize import distinct_work
+    from vitaspark.plans.sizing import lookup
+
+    docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("text_md5"), "text")
+    vectors = embed_hashed(distinct_work(docs), "text", dim=256).select("text_md5", F.size("embedding").alias("dim"))
+    return lookup(docs.drop("text"), vectors, "text_md5").select("doc_id", "text_md5", "dim")
+
+
+@query("u4", f"WITH d AS (SELECT DISTINCT unnest({O.tokens('text')}) AS term FROM benchmark), t AS (SELECT doc_id, unnest(list_distinct({O.tokens('text')})) AS term FROM documents) SELECT doc_id, term FROM t JOIN d USING (term) WHERE length(term) >= 6")
+def u4(spark, sf):
+    """A dictionary that comes as a table instead of the fixed lists."""
+    from vitaspark.functions.text import tokens
+    from vitaspark.plans.sizing import checked_broadcast
+
+    terms = table(spark, sf, "benchmark").select(F.explode(tokens(F.col("text"))).alias("term")).filter("length(term) >= 6").distinct()
+    found = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return found.join(checked_broadcast(terms), "term", "left_semi").select("doc_id", "term")
+
+
 @query("u3", f"""{POOL_SQL}, {comp_sql()} SELECT jd_id, resume_id, profile, {O.rnd('search_score * a + skill_score * b + position_score * c + exp_score * d', 2)} AS score FROM comp,
   (VALUES ('vector', 0.40, 0.30, 0.10, 0.20), ('hybrid', 0.55, 0.25, 0.10, 0.10), ('documented', 0.50, 0.25, 0.10, 0.15)) AS w(profile, a, b, c, d)""")
 def u3(spark, sf):
