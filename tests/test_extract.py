@@ -24,7 +24,7 @@ Project Manager, managed team of 9 at Globex Inc
 
 EDUCATION
 B.Tech Computer Science 2014
-Delhi University
+Delhi University, New Delhi
 
 CERTIFICATIONS
 AWS Certified Developer
@@ -62,7 +62,7 @@ def test_profile(spark):
     assert one(spark, E.positions) == ["Senior Data Engineer", "Developer", "Project Manager"]
     assert one(spark, E.summary).startswith("Having 6+ years of experience")
     assert [(e["degree"], e["school"], e["year"]) for e in one(spark, E.full_education)] == [
-        ("B.Tech Computer Science", "Delhi University", "2014")
+        ("B.Tech Computer Science", "Delhi University, New Delhi", "2014")
     ]
     assert one(spark, E.certifications) == ["AWS Certified Developer", "PMP"]
 
