@@ -15,7 +15,7 @@ from vitaspark.plans import match as M
 
 from . import oracle as O
 from .registry import query, table
-from .roles import CANDIDATES_SQL, DIM, JOBS_SQL, candidates, jobs
+from .roles import DIM, candidates, jobs
 
 PAIR_COLS = ["jd_id", "resume_id"]
 

@@ -13,7 +13,7 @@ from vitaspark.plans.sizing import spread
 from . import oracle as O
 from .registry import query, table
 from .roles import SKILLS, N_SKILLS, TITLES, jobs, JOBS_SQL, pick
-from .records import RESPONSE, responses
+from .records import RESPONSE
 
 NL = "chr(10)"
 D = "CAST(doc_id AS STRING)"
