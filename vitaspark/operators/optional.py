@@ -24,6 +24,18 @@ def overlap_at_k(first: DataFrame, second: DataFrame) -> DataFrame:
     return sides.groupBy("jd_id").agg(rounded(F.count_if(F.col("side") == "both") / F.count("*"), 4).alias("overlap"))
 
 
+def blend(vector: DataFrame, text: DataFrame, vector_share: float = 0.7, text_share: float = 0.3) -> DataFrame:
+    """Two result lists (jd_id, resume_id, score 0..100) as one, a missing score counts 0.
+
+    Both sides are result lists of at most 100 rows per job, so the join is small.
+    """
+    keys = ["jd_id", "resume_id"]
+    a = vector.select(*keys, F.col("score").alias("__a"))
+    b = text.select(*keys, F.col("score").alias("__b"))
+    total = F.coalesce("__a", F.lit(0.0)) * vector_share + F.coalesce("__b", F.lit(0.0)) * text_share
+    return a.join(b, keys, "full_outer").select(*keys, rounded(total, 2).alias("score"))
+
+
 def experience_curve(have: Column, need: Column) -> Column:
     """100 without a need; 80 plus 5 per extra year up to 100 when met; else 70 times the ratio."""
     return (

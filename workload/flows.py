@@ -279,6 +279,23 @@ def k8(spark, sf):
     return q.select("jd_id", F.round("quality", 4).alias("quality"), F.round(P.shifted_weights(F.lit(0.30), F.col("quality")), 4).alias("skill_weight"))
 
 
+@query("k9", f"""{O.BASE}, {O.COSINE_SQL}, {O.text_ctes('text', ['skills', 'summary'], False)},
+  traw AS (SELECT jd_id, resume_id, {O.settle("sum(exact)")} AS raw_score FROM fs GROUP BY ALL),
+  tpool AS (SELECT jd_id, resume_id, raw_score FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY raw_score DESC, resume_id) AS rn FROM traw) JOIN jobs USING (jd_id) WHERE rn <= least(greatest(3 * max_results, 30), 100)),
+  a AS (SELECT jd_id, resume_id, {O.minmax('cosine')} AS s FROM vpool), b AS (SELECT jd_id, resume_id, least({O.rnd('raw_score / max(raw_score) OVER (PARTITION BY jd_id) * 100.0', 2)}, 100.0) AS s FROM tpool)
+  SELECT jd_id, resume_id, {O.rnd('coalesce(a.s, 0.0) * 0.7 + coalesce(b.s, 0.0) * CAST(0.3 AS DOUBLE)', 2)} AS score FROM a FULL OUTER JOIN b USING (jd_id, resume_id)""")
+def k9(spark, sf):
+    from vitaspark.functions.scores import max_percent, minmax_percent
+
+    from .ranking import _vpool
+
+    j, c = jobs(spark, sf), candidates(spark, sf)
+    near = _vpool(spark, sf).select("jd_id", "resume_id", minmax_percent(F.col("cosine"), "jd_id").alias("score"))
+    raw = L.text_scores(j, F.col("text"), c, exact_boosts={"skills": 1.0, "summary": 1.0}, best_fields={}, fuzzy=False)
+    text = R.candidate_pool(raw, j).select("jd_id", "resume_id", max_percent(F.col("raw_score"), "jd_id").alias("score"))
+    return P.blend(near, text)
+
+
 @query("k10", f"{POOL_SQL}, {comp_sql()}, t AS (SELECT unnest(['balanced', 'search']) AS name, unnest([0.25, 0.7]) AS a, unnest([0.25, 0.1]) AS b, unnest([0.25, 0.1]) AS c, unnest([0.25, 0.1]) AS d) SELECT jd_id, resume_id, name, {O.rnd('search_score * a + skill_score * b + position_score * c + exp_score * d', 2)} AS total FROM comp, t")
 def k10(spark, sf):
     sets = spark.createDataFrame([("balanced", 0.25, 0.25, 0.25, 0.25), ("search", 0.7, 0.1, 0.1, 0.1)], "name STRING, w_search DOUBLE, w_skill DOUBLE, w_position DOUBLE, w_experience DOUBLE")
