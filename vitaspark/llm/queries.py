@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaspark.llm import bpe, dart_minhash, decontaminate, exact_dedup, toxicity
+from vitaspark.llm import bpe, dart_minhash, decontaminate, exact_dedup, license_scan, quality, sharding, token_counts, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, spark.sql(f"select * from {url_filter.RULES}")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.by_rows(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"), license_scan.template_table(spark))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op5_bpe_codec, op7_decontamination, op8_exact_dedup, op9_near_dedup, op10_toxicity)
+    q.__name__: q for q in (
+        op1_url_filter, op2_sharding, op3_license_scan, op4_token_counts, op5_bpe_codec, op6_quality, op7_decontamination, op8_exact_dedup, op9_near_dedup, op10_toxicity,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": url_filter.SQL, "op2_sharding": sharding.SQL, "op7_decontamination": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL,
 }
-ORACLES: dict[str, str] = {"op7_decontamination": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}
