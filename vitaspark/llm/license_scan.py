@@ -159,3 +159,24 @@ def licenses(docs: DataFrame, templates: DataFrame, **options) -> DataFrame:
     """Per document and license: places and best containment."""
     found = license_matches(docs, templates, **options)
     return found.groupBy("doc_id", "license").agg(F.count("*").alias("places"), F.max("containment").alias("containment"))
+
+
+def sql(templates: list[tuple[str, str]] = TEMPLATES) -> str:
+    """The counts of :func:`licenses` in DuckDB SQL, from every shared shingle instead of bands."""
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in templates)
+    fold = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    split = rf"regexp_extract_all({fold}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+with tw as (select license, {split} as w from (values {rows}) t(license, text)),
+ts as (select license, len(w) as n_words, i - 1 as off, array_to_string(w[i:i + {SHINGLE - 1}], ' ') as s from (select *, unnest(range(1, len(w) - {SHINGLE - 2})) as i from tw)),
+tn as (select license, count(distinct s) as n from ts group by license),
+dw as (select doc_id, {split} as w from documents),
+ds as (select doc_id, i - 1 as pos, array_to_string(w[i:i + {SHINGLE - 1}], ' ') as s from (select *, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 1))) as i from dw)),
+met as (select doc_id, license, n_words, pos, off, s from ds join ts using (s)),
+places as (select distinct doc_id, license, n_words, pos - off as place from met),
+held as (select p.doc_id, p.license, p.n_words, p.place, count(distinct m.s) as k from places p join met m on p.doc_id = m.doc_id and p.license = m.license
+  and m.pos >= p.place - {SLACK} and m.pos < p.place + p.n_words - {SHINGLE - 1} + {SLACK} group by all),
+good as (select h.*, k / n as containment from held h join tn using (license) where k / n >= {CONTAINED}),
+marked as (select *, coalesce(place - lag(place) over (partition by doc_id, license order by place) >= n_words, true) as fresh from good)
+select doc_id, license, count(*) filter (fresh) as places, max(containment) as containment from marked group by doc_id, license
+"""

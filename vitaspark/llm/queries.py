@@ -63,5 +63,6 @@ QUERIES: dict[str, Query] = {
     )
 }
 ORACLES: dict[str, str] = {
-    "op1_url_filter": url_filter.SQL, "op2_sharding": sharding.SQL, "op7_decontamination": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL,
+    "op1_url_filter": url_filter.SQL, "op2_sharding": sharding.SQL, "op3_license_scan": license_scan.sql(),
+    "op7_decontamination": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL,
 }
