@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitaspark.llm.common import as_bytes, mix, saved, word_hashes
+from vitaspark.llm.common import BLOCK, as_bytes, mix, saved, word_hashes
 from vitaspark.llm.graph import connected
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -132,6 +133,13 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 _TO_SPACE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
+def low_bits(signature: np.ndarray, words: int) -> np.ndarray:
+    """One bit of each coordinate, in 64-bit words; two sets of similarity J agree in a share of (1 + J) / 2 of them."""
+    bits = np.zeros((len(signature), words * 64), np.uint8)
+    bits[:, :signature.shape[1]] = (mix(signature + np.uint64(13)) >> np.uint64(63)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 def fingerprint(text: bytes) -> bytes | None:
     """128 bits naming the sequence of words; none without words."""
     words = text.lower().translate(_TO_SPACE).split()  # bytes.lower() folds A-Z only
@@ -139,35 +147,48 @@ def fingerprint(text: bytes) -> bytes | None:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, print, keys): fingerprint of the words and band keys of the signature, a row per document."""
+    """(id, print, keys, s0, s1, ...): fingerprint of the words, band keys and one bit per coordinate of the signature, a row per document."""
+    words = -(-bands * rows // 64)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = as_bytes(batch["text"])
-            keys = np.zeros((len(texts), bands), np.uint64)
+            keys, bits = np.zeros((len(texts), bands), np.uint64), np.zeros((len(texts), words), np.uint64)
             for element, count, doc in shingle_counts(texts, size):
                 low, high = doc[0], doc[-1] + 1
-                keys[low:high] = band_keys(darts(element, count.astype(float), doc - low, high - low, bands * rows), bands, rows)
+                signature = darts(element, count.astype(float), doc - low, high - low, bands * rows)
+                keys[low:high], bits[low:high] = band_keys(signature, bands, rows), low_bits(signature, words)
             prints = [fingerprint(t) for t in texts]
             yield pd.DataFrame({
                 "id": batch["id"], "print": prints,
                 "keys": [k if p is not None else None for k, p in zip(keys.view(np.int64), prints, strict=True)],
+                **{f"s{i}": bits[:, i].view(np.int64) for i in range(words)},
             })
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(sketch, "id long, print binary, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(
+        sketch, "id long, print binary, keys array<long>" + "".join(f", s{i} long" for i in range(words))
+    )
 
 
-def weighted_jaccard(a: bytes, b: bytes, size: int = SHINGLE) -> float:
-    """Sum of least over sum of largest shingle counts of two texts."""
-    sides = []
-    for text in (a, b):
-        found = list(shingle_counts([text], size))
-        sides.append(found[0][:2] if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-    (ea, ca), (eb, cb) = sides
-    _, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
-    low = int(np.minimum(ca[ia], cb[ib]).sum())
-    union = int(ca.sum() + cb.sum()) - low
-    return low / union if union else 0.0
+def similarities(a: list[bytes], b: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """Sum of least over sum of largest shingle counts, pair by pair; 0 where neither text has a word."""
+    out, first, held = np.zeros(len(a)), 0, 0
+    for i in range(len(a)):
+        held += len(a[i]) + len(b[i])
+        if held >= BLOCK or i == len(a) - 1:
+            part = slice(first, i + 1)
+            found = [x for side in (a[part], b[part]) for x in shingle_counts(side, size)]
+            if found:
+                element, count, pair = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((element, pair))
+                element, count, pair = element[order], count[order], pair[order]
+                both = np.flatnonzero((element[1:] == element[:-1]) & (pair[1:] == pair[:-1]))
+                n = i + 1 - first
+                low = np.bincount(pair[both], np.minimum(count[both], count[both + 1]), n)
+                union = np.bincount(pair, count, n) - low
+                out[part] = np.divide(low, union, out=np.zeros(n), where=union > 0)
+            first, held = i + 1, 0
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -190,7 +211,7 @@ def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, id_col: str, t
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = [weighted_jaccard(x, y, size) for x, y in zip(as_bytes(batch["text_a"]), as_bytes(batch["text_b"]), strict=True)]
+            values = similarities(as_bytes(batch["text_a"]), as_bytes(batch["text_b"]), size)
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": values})
 
     return (
@@ -200,43 +221,62 @@ def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, id_col: str, t
     )
 
 
-def near_links(docs: DataFrame, marks: DataFrame, similarity: float, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
+def alike(coordinates: int, similarity: float, a: str, b: str) -> Column:
+    """Whether the bits of two signatures leave room for the similarity: six deviations below the share expected of it are too few."""
+    p = (1 + similarity) / 2
+    most = coordinates * (1 - p) + 6 * math.sqrt(coordinates * p * (1 - p))
+    words = -(-coordinates // 64)
+    return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, words)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0")))) <= F.lit(most)
+
+
+def near_links(docs: DataFrame, marks: DataFrame, similarity: float, coordinates: int, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
     """(links, labels): verified pairs (a, b) of fingerprints and the class label of each linked fingerprint.
 
-    In each bucket all members are compared with one hub, the least print. What
-    a hub can't show is found after: members of a bucket in different classes
-    are compared too, unless the triangle inequality over their distances to
-    the hub excludes the pair. The largest class of a bucket never meets itself.
+    In each bucket all members are compared with one hub, drawn anew for each
+    bucket, so members of a large group meet many hubs. What hubs can't show is
+    found after: members of a bucket in different classes are compared too,
+    unless the triangle inequality over their distances to the hub or their
+    signature bits exclude the pair. The largest class of a bucket never meets
+    itself. Texts are fetched for pairs whose bits leave room for a link.
     """
+    words = [f"s{i}" for i in range(-(-coordinates // 64))]
+    bits = saved(marks.filter("print is not null").groupBy("print").agg(*[F.max(w).alias(w) for w in words]), "bits")
     members = saved(marks.filter("print is not null").select(F.explode("keys").alias("bucket"), "print").distinct(), "buckets")
-    hubs = members.groupBy("bucket").agg(F.min("print").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    spokes = saved(members.join(hubs, "bucket"), "spokes")
-    pairs = spokes.filter("print <> hub").select(F.col("print").alias("a"), F.col("hub").alias("b")).distinct()
-    measured = saved(verified(pairs, docs, marks, id_col, text_col, size), "measured").distinct()
+    members = members.withColumn("draw", F.xxhash64("print", "bucket"))
+    drawn = members.groupBy("bucket").agg(F.min("draw").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = saved(members.join(drawn, "bucket"), "shared")
+    spokes = saved(shared.join(shared.filter("draw = least").select("bucket", F.col("print").alias("hub")), "bucket").select("bucket", "print", "hub"), "spokes")
+    pairs = spokes.filter("print <> hub").select(F.greatest("print", "hub").alias("a"), F.least("print", "hub").alias("b")).distinct()
+    side_a, side_b = bits.select(F.col("print").alias("a"), F.struct(*words).alias("x")), bits.select(F.col("print").alias("b"), F.struct(*words).alias("y"))
+    near = saved(pairs.join(side_a, "a").join(side_b, "b").filter(alike(coordinates, similarity, "x", "y")).select("a", "b"), "near")
+    measured = saved(verified(near, docs, marks, id_col, text_col, size).distinct(), "measured")
     links = measured.filter(F.col("similarity") >= similarity).select("a", "b")
     labels = connected(links)
 
     known = (
-        spokes.join(measured.select(F.col("a").alias("print"), F.col("b").alias("hub"), "similarity"), ["print", "hub"], "left")
+        spokes.withColumns({"a": F.greatest("print", "hub"), "b": F.least("print", "hub")}).join(measured, ["a", "b"], "left")
         .join(labels.select(F.col("node").alias("print"), "label"), "print", "left")
         .select("bucket", "print", F.coalesce("label", "print").alias("label"), F.when(F.col("print") == F.col("hub"), 1.0).otherwise(F.col("similarity")).alias("near"))
     )
     sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("classes"), F.sum("n").alias("n")).filter("classes > 1 and n > 2")
-    open_rows = saved(known.join(mixed.select("bucket", "main"), "bucket"), "open")
-    minor = open_rows.filter("label <> main and near < 1").select("bucket", F.col("print").alias("a"), F.col("label").alias("label_a"), F.col("near").alias("near_a"))
-    other = open_rows.filter("near < 1").select("bucket", F.col("print").alias("b"), F.col("label").alias("label_b"), F.col("near").alias("near_b"))
-    apart = (F.col("label_a") != F.col("label_b")) & (F.abs(F.col("near_a") - F.col("near_b")) <= 1 - similarity + 1e-9)
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("classes"), F.sum("n").alias("n")).filter("classes > 1 and n > 2")
+    open_rows = saved(known.join(mixed.select("bucket", "main"), "bucket").join(bits.select("print", F.struct(*words).alias("s")), "print"), "open")
+    minor = open_rows.filter("label <> main").select("bucket", F.col("print").alias("a"), F.col("label").alias("label_a"), F.col("near").alias("near_a"), F.col("s").alias("x"))
+    other = open_rows.select("bucket", F.col("print").alias("b"), F.col("label").alias("label_b"), F.col("near").alias("near_b"), F.col("s").alias("y"))
+    # a distance that wasn't measured (bits excluded a link with the hub) excludes nothing
+    reach = F.coalesce(F.abs(F.col("near_a") - F.col("near_b")) <= 1 - similarity + 1e-9, F.lit(True))
     more = (
-        minor.join(other, "bucket").filter(apart)
+        minor.join(other, "bucket").filter((F.col("label_a") != F.col("label_b")) & reach & alike(coordinates, similarity, "x", "y"))
         .select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
         .join(measured.select("a", "b"), ["a", "b"], "left_anti")
     )
     more = saved(more, "more")
     if more.isEmpty():
         return links, labels
-    extra = saved(verified(more, docs, marks, id_col, text_col, size), "extra").distinct()
-    links = links.unionByName(extra.filter(F.col("similarity") >= similarity).select("a", "b"))
+    extra = saved(verified(more, docs, marks, id_col, text_col, size).distinct().filter(F.col("similarity") >= similarity).select("a", "b"), "extra")
+    if extra.isEmpty():
+        return links, labels
+    links = links.unionByName(extra)
     return links, connected(links)
 
 
@@ -254,7 +294,7 @@ def near_duplicates(
     largest id repeats, each of its rows is kept.
     """
     marks = saved(sketches(docs, bands, rows, size, id_col, text_col), "sketches")
-    _, labels = near_links(docs, marks, similarity, id_col, text_col, size)
+    _, labels = near_links(docs, marks, similarity, bands * rows, id_col, text_col, size)
     by_print = (
         marks.filter("print is not null").groupBy("print").agg(F.max("id").alias("top"), F.count("*").alias("n"))
         .join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
