@@ -103,7 +103,7 @@ def x3(spark, sf):
 
 _STRIP = lambda e: f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
 X4_SQL = f"""CASE WHEN len({_word_sql(E.LEGACY_SKILLS)}) > 0 THEN {_word_sql(E.LEGACY_SKILLS)} ELSE list_filter(list_transform(string_split_regex(
-  regexp_extract(text, '(?is)(?:technical skills|skills|expertise|proficiencies)[:\\s]+(.*?)(?:\\n\\n|\\n[A-Z])', 1), '[,;•|]'), lambda s: {_STRIP('s')}), lambda s: length(s) > 2 AND length(s) < 30)[1:10] END"""
+  regexp_extract(text, '(?is)(?:technical skills|skills|expertise|proficiencies)[:\\s]+(.*?)(?:\\n\\n|\\n[A-Z])', 1), '[,;•|]'), lambda s: {_STRIP('s')}), lambda s: length(s) > 2 AND length(s) < 30) END"""
 
 
 @query("x4", f"{RES} SELECT resume_id, array_to_string({X4_SQL}, '|') AS skills FROM r")
@@ -133,8 +133,8 @@ def _x7() -> str:
     )
     years = ", ".join(f"TRY_CAST(nullif(regexp_extract(regexp_extract(text, {_rx(p)}, 1), '(\\d+)', 1), '') AS INT)" for p in E.QUERY_YEARS)
     titles = ", ".join(f"CASE WHEN length(trim(regexp_extract(text, {_rx(p)}, 1))) > 5 AND length(trim(regexp_extract(text, {_rx(p)}, 1))) < 100 THEN trim(regexp_extract(text, {_rx(p)}, 1)) END" for p in E.QUERY_TITLES)
-    return f"""SELECT jd_id, CASE WHEN length(text) > 200 THEN coalesce(array_to_string(coalesce({lists}), '|'), '') ELSE '' END AS skills,
-      CASE WHEN length(text) > 200 THEN coalesce({years}, 0) ELSE 0 END AS total_experience, CASE WHEN length(text) > 200 THEN coalesce({titles}, '') ELSE '' END AS title FROM j"""
+    return f"""SELECT jd_id, coalesce(array_to_string(coalesce({lists}), '|'), '') AS skills,
+      coalesce({years}, 0) AS total_experience, coalesce({titles}, '') AS title FROM j"""
 
 
 @query("x7", f"{JDS} {_x7()}")
@@ -336,7 +336,7 @@ X26_SQL = f"""flatten([{', '.join(f'regexp_extract_all(text, {O.q(p)}, 1)' for p
 
 
 @query("x26", f"""{RES}, c AS (SELECT resume_id, list_filter(list_transform({X26_SQL}, lambda s: {_STRIP('s')}), lambda s: length(s) > 2 AND length(s) < 40) AS l FROM r)
-  SELECT resume_id, array_to_string(list_filter(list_filter(l, lambda s, i: list_position(l, s) = i), lambda s: len(list_filter({_list(E.NOT_COMPANIES)}, lambda t: contains(lower(s), t) OR contains(t, lower(s)))) = 0)[1:5], '|') AS companies FROM c""")
+  SELECT resume_id, array_to_string(list_filter(list_filter(l, lambda s, i: list_position(l, s) = i), lambda s: len(list_filter({_list(E.NOT_COMPANIES)}, lambda t: contains(lower(s), t) OR contains(t, lower(s)))) = 0), '|') AS companies FROM c""")
 def x26(spark, sf):
     return resumes(spark, sf).select("resume_id", bars(E.company_names(F.col("text")), "companies"))
 
