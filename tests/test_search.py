@@ -30,7 +30,7 @@ def test_top_k_both_ways(spark):
                 c = np.dot(a, b) / math.sqrt(np.dot(a, a) * np.dot(b, b))
                 sims.append((-round(float(c), 9), r))
         expected[j] = [r for _, r in sorted(sims)[:5]]
-    for kwargs in ({}, {"max_job_cells": 6, "job_rows": 3, "item_rows": 10}):
+    for kwargs in ({}, {"max_job_cells": 12}):
         got = {}
         for row in cosine_top_k(jobs, items.repartition(3), 5, dim=6, **kwargs).orderBy("jd_id", "rank").collect():
             got.setdefault(row["jd_id"], []).append(row["resume_id"])
@@ -110,3 +110,25 @@ def test_top_per_job_with_many_partitions(spark):
         assert sorted(tuple(r) for r in top_per_job(df, 10, "s").collect()) == plain
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_limits_above_a_hundred_are_kept(spark):
+    from vitaspark.operators.ranking import candidate_pool, final_order
+    from vitaspark.sources.files import job_reports
+
+    scored = spark.range(300).selectExpr("1L AS jd_id", "id AS resume_id", "cast(id % 97 AS double) AS raw_score")
+    jobs = spark.createDataFrame([(1, "t", 0.0, ["x"], 250), (2, "u", 0.0, ["x"], 5)], "jd_id long, job_title string, required_experience double, required_skills array<string>, max_results int")
+    assert candidate_pool(scored, jobs).count() == 300
+    assert final_order(scored.join(jobs.select("jd_id", "max_results"), "jd_id"), F.col("max_results"), "raw_score").count() == 250
+    ranked = final_order(scored, 300, "raw_score")
+    parts = {(r.jd_id, r.part): r for r in job_reports(ranked, jobs).collect()}
+    assert sorted(parts) == [(1, 1), (1, 2), (1, 3), (2, 1)]
+    assert {r.total_results for r in parts.values()} == {300, 0}
+    assert [r.rank_position for p in (1, 2, 3) for r in parts[1, p].results] == list(range(1, 301))
+
+
+def test_vectors_left_out_are_named(spark):
+    from vitaspark.operators.vector_search import vector_rejects
+
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, [0.0, 0.0])], "resume_id long, embedding array<float>")
+    assert {r.resume_id: r.error for r in vector_rejects(rows, 2).collect()} == {2: "length 1", 3: "no vector", 4: "zero vector"}

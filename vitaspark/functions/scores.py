@@ -79,12 +79,16 @@ def weighted_score(
     return F.least(rounded(total, 2), F.lit(100.0))
 
 
-def pool_size(k: Column) -> Column:
-    return F.least(F.greatest(k * 3, F.lit(30)), F.lit(100))
+def pool_size(k: Column, most: int | None = None) -> Column:
+    """Three times the results asked for, at least 30; ``most`` is a caller's policy."""
+    size = F.greatest(k * 3, F.lit(30))
+    return size if most is None else F.least(size, F.lit(most))
 
 
-def clamp_results(k: Column, default: int = 30) -> Column:
-    return F.least(F.greatest(F.coalesce(k, F.lit(default)), F.lit(1)), F.lit(100))
+def clamp_results(k: Column, default: int = 30, most: int | None = None) -> Column:
+    """Results asked for, at least one; ``most`` is a caller's policy."""
+    asked = F.greatest(F.coalesce(k, F.lit(default)), F.lit(1))
+    return asked if most is None else F.least(asked, F.lit(most))
 
 
 def candidate_analysis(

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import skills as K
 from ..functions.lexicon import STEEPNESS
-from ..plans.sizing import bounded_broadcast, checked_broadcast
 from .vector_search import top_per_job
 
 CANDIDATE_COLUMNS = ["resume_id", "skills", "positions", "total_experience"]
@@ -16,10 +15,14 @@ JOB_COLUMNS = ["jd_id", "job_title", "required_experience", "required_skills"]
 
 
 def candidate_pool(scored: DataFrame, jobs: DataFrame, score: str = "raw_score") -> DataFrame:
-    """Best ``min(max(3k, 30), 100)`` per job; jobs carry their k as ``max_results``."""
-    cut = top_per_job(scored, 100, score)
+    """Best ``max(3k, 30)`` per job; jobs carry their k as ``max_results``."""
     sizes = jobs.select("jd_id", S.pool_size(S.clamp_results(F.col("max_results"))).alias("pool_size"))
-    return cut.join(sizes, "jd_id").filter("rank <= pool_size").drop("pool_size", "rank")
+    return top_per_job(scored.join(sizes, "jd_id"), F.col("pool_size"), score).drop("pool_size", "rank")
+
+
+def largest_pool(jobs: DataFrame) -> int:
+    """The largest pool any job asks for: one number over the job table."""
+    return jobs.agg(F.max(S.pool_size(S.clamp_results(F.col("max_results"))))).first()[0] or 1
 
 
 def normalized(pool: DataFrame, mode: str, score: str = "raw_score", out: str = "search_score") -> DataFrame:
@@ -31,11 +34,10 @@ def normalized(pool: DataFrame, mode: str, score: str = "raw_score", out: str =
 
 
 def with_details(pool: DataFrame, jobs: DataFrame, docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Attach candidate and job columns. A pool has at most 100 rows per job, so
-    it is the side that travels when the jobs are few enough."""
+    """Attach candidate and job columns; the sides that travel are chosen by their size at run time."""
     picked = docs.select(*(columns or CANDIDATE_COLUMNS))
     wanted = [c for c in [*JOB_COLUMNS, "max_results", "min_experience"] if c in jobs.columns]
-    return picked.join(bounded_broadcast(pool, jobs, 100), "resume_id").join(checked_broadcast(jobs.select(*wanted)), "jd_id")
+    return picked.join(pool, "resume_id").join(jobs.select(*wanted), "jd_id")
 
 
 def components(pairs: DataFrame, profile: str = "batch", guarded: bool = True) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -14,29 +14,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import is_usable
-from ..plans.sizing import within
 
 # The task functions travel by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_JOB_CELLS = 8_000_000  # numbers in the job matrix a task may hold (64 MB)
+# Numbers a task may hold for the jobs of one pass: their vectors, and their best scores so far.
+MAX_JOB_CELLS = 8_000_000
+# Jobs and candidates compared at a time: a block of 1,024 x 4,096 cosines is 32 MB.
+JOB_TILE, ITEM_TILE = 1_024, 4_096
 
 
 def top_per_job(scored: DataFrame, limit: Column | int, score: str, job: str = "jd_id", item: str = "resume_id") -> DataFrame:
-    """Best rows per job.
+    """Best rows per job, up to a number or a column of the rows.
 
-    The constant bound lets Spark cut each partition before the shuffle. With
-    many shuffle partitions a job would still receive that many cut pieces in
-    one task, so the cut is first made per job and hash of the item.
+    A number lets Spark cut each partition before the shuffle. With many
+    shuffle partitions a job would still receive that many cut pieces in one
+    task, so the cut is first made per job and hash of the item.
     """
-    bound = limit if isinstance(limit, int) else 100
     best = [F.col(score).desc(), F.col(item)]
     salts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64
     if salts > 1:
         part = Window.partitionBy(job, F.pmod(F.xxhash64(item), F.lit(salts))).orderBy(*best)
-        scored = scored.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= bound).drop("__r")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(job).orderBy(*best))).filter(F.col("rank") <= bound)
-    return ranked if isinstance(limit, int) else ranked.filter(F.col("rank") <= limit)
+        scored = scored.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= limit).drop("__r")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(job).orderBy(*best))).filter(F.col("rank") <= limit)
 
 
 def _unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -50,15 +50,24 @@ def _similarities(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.rint(left @ right.T * 1e12) / 1e12
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties by id, exactly as the final window ranks."""
-    if len(scores) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= cut)
-    else:
-        keep = np.arange(len(scores))
-    order = np.lexsort((ids[keep], -scores[keep]))
-    return keep[order[:k]]
+def _merged(scores: np.ndarray, ids: np.ndarray, new: np.ndarray, new_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """k best per row of the held and the new scores, ties by id, exactly as the final window ranks.
+
+    Held rows are padded with -inf. A row's k-th score is its threshold; what
+    reaches it, ties included, is sorted and cut.
+    """
+    both = np.concatenate([scores, new], axis=1)
+    which = np.concatenate([ids, np.broadcast_to(new_ids, new.shape)], axis=1)
+    least = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k]
+    row, col = np.nonzero((both >= least[:, None]) & (both > -np.inf))
+    value, item = both[row, col], which[row, col]
+    order = np.lexsort((item, -value, row))
+    row, value, item = row[order], value[order], item[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = nth < k
+    out, out_ids = np.full_like(scores, -np.inf), ids.copy()
+    out[row[keep], nth[keep]], out_ids[row[keep], nth[keep]] = value[keep], item[keep]
+    return out, out_ids
 
 
 def _schema(jobs: DataFrame, items: DataFrame) -> T.StructType:
@@ -69,8 +78,12 @@ def _schema(jobs: DataFrame, items: DataFrame) -> T.StructType:
     ])
 
 
-def _broadcast_scores(jobs: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Partial top-k per task against a job matrix whose size was checked."""
+def _pass_scores(jobs: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """Partial top-k per task for the jobs of one pass, whose number was checked.
+
+    A task holds the jobs' vectors, k scores and ids per job, and one block of
+    cosines, whatever the number of candidates.
+    """
     table = jobs.toArrow()
     job_ids = table.column("jd_id").to_pylist()
     vectors = table.column("embedding").combine_chunks()
@@ -84,89 +97,55 @@ def _broadcast_scores(jobs: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = []
-        id_type = None
+        if matrix is None:
+            return
+        best, which, id_type = np.full((len(matrix), k), -np.inf), None, None
         for batch in batches:
-            if matrix is None or batch.num_rows == 0:
+            if batch.num_rows == 0:
                 continue
             id_array = batch.column("resume_id")
-            id_type = id_array.type
-            ids = id_array.to_numpy(zero_copy_only=False)
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            sims = _similarities(matrix, _unit_rows(flat, matrix.shape[1]))
-            for j in range(len(job_ids)):
-                if len(best) <= j:
-                    all_scores, all_ids = sims[j], ids
-                else:
-                    all_scores = np.concatenate([best[j][0], sims[j]])
-                    all_ids = np.concatenate([best[j][1], ids])
-                pick = _best(all_scores, all_ids, k)
-                kept = (all_scores[pick], all_ids[pick])
-                if len(best) <= j:
-                    best.append(kept)
-                else:
-                    best[j] = kept
-        for j, (scores, ids) in enumerate(best):
+            id_type, ids = id_array.type, id_array.to_numpy(zero_copy_only=False)
+            which = np.full((len(matrix), k), ids[0], ids.dtype) if which is None else which
+            rows = _unit_rows(batch.column("embedding").flatten().to_numpy(zero_copy_only=False), matrix.shape[1])
+            for at in range(0, len(rows), ITEM_TILE):
+                item = slice(at, at + ITEM_TILE)
+                for first in range(0, len(matrix), JOB_TILE):
+                    job = slice(first, first + JOB_TILE)
+                    best[job], which[job] = _merged(best[job], which[job], _similarities(matrix[job], rows[item]), ids[item], k)
+        if which is None:
+            return
+        for first in range(0, len(matrix), JOB_TILE):
+            held = best[first:first + JOB_TILE]
+            row, col = np.nonzero(held > -np.inf)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([job_ids[j]] * len(ids), job_type), pa.array(ids, id_type), pa.array(scores)], names=names
+                [pa.array([job_ids[first + r] for r in row], job_type), pa.array(which[first:first + JOB_TILE][row, col], id_type), pa.array(held[row, col])],
+                names=names,
             )
 
     return items.mapInArrow(score, schema)
 
 
-def _grid_scores(jobs: DataFrame, items: DataFrame, k: int, job_rows: int, item_rows: int) -> DataFrame:
-    """Block nested loop over a grid of hashed cells (Zhang, Li, Jestes 2012).
+def vector_rejects(rows: DataFrame, dim: int, key: str = "resume_id") -> DataFrame:
+    """(key, error) of rows that a vector search leaves out: no vector, an all-zero one or one of another length."""
+    wrong = (
+        F.when(F.col("embedding").isNull(), "no vector").when(F.size("embedding") != dim, F.concat(F.lit("length "), F.size("embedding").cast("string")))
+        .when(~is_usable(F.col("embedding")), "zero vector")
+    )
+    return rows.select(key, wrong.alias("error")).filter("error is not null")
 
-    Every group holds about ``job_rows`` jobs and ``item_rows`` candidates, and
-    gives k rows per job, so neither memory nor output follows the pair count.
-    """
-    n_job = max(1, -(-jobs.count() // job_rows))
-    n_item = max(1, -(-items.count() // item_rows))
-
-    def cell(df: DataFrame, key: str, own: int, own_col: str, other: int, other_col: str) -> DataFrame:
-        return df.withColumn(own_col, F.pmod(F.xxhash64(key), F.lit(own)).cast("int")).withColumn(
-            other_col, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-        )
-
-    left = cell(jobs, "jd_id", n_job, "job_cell", n_item, "item_cell")
-    right = cell(items, "resume_id", n_item, "item_cell", n_job, "job_cell")
-
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"jd_id": [], "resume_id": [], "cosine": []})
-        if a.empty or b.empty:
-            return empty
-        dim = len(a["embedding"].iloc[0])
-        sims = _similarities(
-            _unit_rows(np.concatenate(a["embedding"].tolist()), dim),
-            _unit_rows(np.concatenate(b["embedding"].tolist()), dim),
-        )
-        ids = b["resume_id"].to_numpy()
-        parts = []
-        for j, job in enumerate(a["jd_id"]):
-            pick = _best(sims[j], ids, k)
-            parts.append(pd.DataFrame({"jd_id": job, "resume_id": ids[pick], "cosine": sims[j][pick]}))
-        return pd.concat(parts) if parts else empty
-
-    keys = ["job_cell", "item_cell"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, _schema(jobs, items))
-
-
-def cosine_top_k(
-    jobs: DataFrame, items: DataFrame, k: int, *, dim: int,
-    max_job_cells: int = MAX_JOB_CELLS, job_rows: int = 2_000, item_rows: int = 20_000,
-) -> DataFrame:
+
+def cosine_top_k(jobs: DataFrame, items: DataFrame, k: int, *, dim: int, max_job_cells: int = MAX_JOB_CELLS) -> DataFrame:
     """(jd_id, resume_id, cosine, rank) of the k nearest candidates per job.
 
-    ``jobs`` and ``items`` carry ``embedding`` of length ``dim``; missing or
-    all-zero vectors take no part. A job side of checked size travels to the
-    tasks as one matrix and candidates are never shuffled; a larger job side
-    is met block by block on a grid. Both give the same exact result.
+    ``jobs`` and ``items`` carry ``embedding`` of length ``dim``; rows that
+    :func:`vector_rejects` names take no part. Candidates are never shuffled or
+    copied: jobs travel to them as one matrix, in as many passes over the
+    candidates as its bounded size needs.
     """
     usable = is_usable(F.col("embedding")) & (F.size("embedding") == dim)
     jobs = jobs.select("jd_id", "embedding").filter(usable)
     items = items.select("resume_id", "embedding").filter(usable)
-    if within(jobs, max(1, max_job_cells // dim)):
-        partial = _broadcast_scores(jobs, items, k)
-    else:
-        partial = _grid_scores(jobs, items, k, job_rows, item_rows)
+    passes = -(-jobs.count() // max(1, max_job_cells // max(dim, k)))
+    part = F.pmod(F.xxhash64("jd_id"), F.lit(max(passes, 1)))
+    partial = reduce(DataFrame.unionByName, [_pass_scores(jobs.filter(part == p), items, k) for p in range(max(passes, 1))])
     return top_per_job(partial, k, "cosine")

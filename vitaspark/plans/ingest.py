@@ -53,7 +53,7 @@ PII_COLUMNS = ["resume_id", "name", "email", "phone_number", "address", "linkedi
 
 
 def ingest_batch(spark: SparkSession, batch: DataFrame, root: str, stamp: int, version: int | None = None) -> DataFrame:
-    """Run one batch into the contact, document and index tables under ``root``.
+    """Run one batch into the contact, document, index, child and error tables under ``root``.
 
     Ids are resolved before anything is written, each table gets one new
     version, and a version that is there already is left alone, so a batch that
@@ -75,5 +75,15 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, root: str, stamp: int, v
     for table, new, created in ((pii_table, pii, "created_dt"), (doc_table, documents, None), (index_table, index, "created_dt")):
         old = table.read(None if version is None or version == 0 else version - 1)
         table.write(new if old is None else S.upsert(old, new, created=created), version)
+    before = None if version is None or version == 0 else version - 1
+    for name, fresh in S.child_rows(rows).items():
+        table = S.SnapshotTable(spark, f"{root}/{name}")
+        old = table.read(before)
+        table.write(fresh if old is None else S.replace_children(old, rows, fresh), version)
+    error_table = S.SnapshotTable(spark, f"{root}/errors")
+    failed = errors.select("resume_id", "filename", F.col("extraction_error").alias("error"), F.lit(stamp).cast("bigint").alias("updated_dt"))
+    old = error_table.read(before)
+    # a record that went through since is no error any more
+    error_table.write(S.latest(failed) if old is None else S.upsert(S.delete(old, rows), S.latest(failed), created=None), version)
     outcome = records.select(F.lit(True).alias("ok")).unionByName(errors.select(F.lit(False).alias("ok")))
     return ingest_summary(outcome, F.col("ok"))

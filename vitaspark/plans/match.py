@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..functions.vectors import is_usable
 from ..functions.lexicon import (
     ALTERNATE_BOOSTS, HYBRID_BEST_FIELDS, PHRASE_BOOST, TEXT_BEST_FIELDS, TEXT_EXACT_BOOSTS, VECTOR_BOOST,
 )
@@ -48,18 +49,18 @@ def text_search(jobs: DataFrame, docs: DataFrame, query: Column | None = None) -
 
 def _cut(scored: DataFrame, jobs: DataFrame, score: str = "raw_score") -> DataFrame:
     limits = jobs.select("jd_id", S.clamp_results(F.col("max_results")).alias("k"))
-    return top_per_job(scored, 100, score).join(limits, "jd_id").filter("rank <= k").drop("rank", "k")
+    return top_per_job(scored.join(limits, "jd_id"), F.col("k"), score).drop("rank", "k")
 
 
 def vector_pool(jobs: DataFrame, docs: DataFrame, dim: int) -> DataFrame:
     """Pool of nearest candidates with ``search_score``."""
-    nearest = cosine_top_k(jobs, docs, 100, dim=dim).drop("rank").withColumnRenamed("cosine", "raw_score")
+    nearest = cosine_top_k(jobs, docs, R.largest_pool(jobs), dim=dim).drop("rank").withColumnRenamed("cosine", "raw_score")
     return R.normalized(R.candidate_pool(nearest, jobs), "vector")
 
 
 def hybrid_pool(jobs: DataFrame, docs: DataFrame, dim: int, query: Column | None = None, with_title: bool = True) -> DataFrame:
     """Pool by vector, best-fields text and skill phrases with ``search_score`` and ``cosine``."""
-    nearest = R.candidate_pool(cosine_top_k(jobs, docs, 100, dim=dim).drop("rank"), jobs, "cosine")
+    nearest = R.candidate_pool(cosine_top_k(jobs, docs, R.largest_pool(jobs), dim=dim).drop("rank"), jobs, "cosine")
     nearest = L.stable(nearest)
     terms = L.key_terms(F.col("required_skills"), F.col("job_title") if with_title else None)
     scored = L.hybrid_scores(
@@ -71,24 +72,26 @@ def hybrid_pool(jobs: DataFrame, docs: DataFrame, dim: int, query: Column | None
 
 
 def vector_search(jobs: DataFrame, docs: DataFrame, dim: int) -> DataFrame:
-    """Vector search end to end: pool, normalise, rerank, k best."""
-    pairs = R.components(R.with_details(vector_pool(jobs, docs, dim), jobs, docs))
+    """Vector search end to end: pool, normalise, rerank, k best. Jobs without a usable vector take text search."""
+    usable = is_usable(F.col("embedding")) & (F.size("embedding") == dim)
+    pool = vector_pool(jobs, docs, dim)
+    blind = L.stable(jobs.filter(~F.coalesce(usable, F.lit(False))))
+    if not blind.isEmpty():
+        pool = pool.unionByName(text_search(blind, docs).select("jd_id", "resume_id", "raw_score", F.col("score").alias("search_score")))
+    pairs = R.components(R.with_details(pool, jobs, docs))
     return R.final_order(R.rerank(pairs, "vector"), S.clamp_results(F.col("max_results")))
 
 
 def hybrid_search(jobs: DataFrame, docs: DataFrame, dim: int) -> DataFrame:
     """Request-profile hybrid search: minimum experience after the pool cut, rerank, k best."""
-    jobs = jobs.withColumn(
-        "required_experience", F.greatest(F.col("required_experience"), F.coalesce(F.col("min_experience"), F.lit(0.0)))
-    )
-    pairs = R.with_details(hybrid_pool(jobs, docs, dim), jobs, docs)
-    fit = pairs.filter(F.col("total_experience") >= F.col("required_experience"))
+    jobs = _asked(jobs)
+    fit = _fitting(R.with_details(hybrid_pool(jobs, docs, dim), jobs, docs))
     return R.final_order(R.rerank(R.components(fit, "api"), "hybrid"), S.clamp_results(F.col("max_results")))
 
 
 def alternate_search(jobs: DataFrame, docs: DataFrame, dim: int, share: float = 0.5) -> DataFrame:
     """Older weight set: field-weighted text and vector hits summed half and half, not normalised."""
-    nearest = R.candidate_pool(cosine_top_k(jobs, docs, 100, dim=dim).drop("rank"), jobs, "cosine")
+    nearest = R.candidate_pool(cosine_top_k(jobs, docs, R.largest_pool(jobs), dim=dim).drop("rank"), jobs, "cosine")
     weights = L.stable(
         L.term_weights(L.query_terms(jobs, F.col("text")), docs, sorted(ALTERNATE_BOOSTS), fuzzy=False)
         .unionByName(L.vector_weights(jobs))
@@ -119,12 +122,30 @@ def batch_search(jobs: DataFrame, docs: DataFrame, dim: int, query: Column | Non
     return with_fallback(primary, text_search(unserved, docs))
 
 
-def match(jobs: DataFrame, docs: DataFrame, dim: int, analyze_count: int | None = 25) -> DataFrame:
+def _asked(jobs: DataFrame) -> DataFrame:
+    """Jobs whose required experience is at least the minimum asked for."""
+    return jobs.withColumn(
+        "required_experience", F.greatest(F.col("required_experience"), F.coalesce(F.col("min_experience"), F.lit(0.0)))
+    )
+
+
+def _fitting(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(F.col("total_experience") >= F.col("required_experience"))
+
+
+def match(jobs: DataFrame, docs: DataFrame, dim: int, analyze_count: int | None = 25, fallback: bool = True) -> DataFrame:
     """The match service for a whole table of jobs: search, coverage and templated analysis.
 
+    Jobs that the hybrid search leaves without any result take the vector search.
+
     ``analyze_count`` limits who gets an analysis text, ``None`` analyses every result; no row is lost.
     """
     found = hybrid_search(jobs, docs, dim)
+    if fallback:
+        found = L.stable(found)
+        unserved = L.stable(jobs.join(found.select("jd_id").distinct(), "jd_id", "left_anti"))
+        if not unserved.isEmpty():
+            found = found.unionByName(_fitting(vector_search(_asked(unserved), docs, dim)), allowMissingColumns=True)
     result = R.coverage(found)
     text = S.candidate_analysis(
         F.col("rerank_score"), F.col("exp_score"), F.col("total_experience"), F.col("required_experience"),

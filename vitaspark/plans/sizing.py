@@ -23,17 +23,11 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if within(df, max_rows) else df
 
 
-def bounded_broadcast(df: DataFrame, owner: DataFrame, per_row: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """As :func:`checked_broadcast` for a result with at most ``per_row`` rows per
-    row of ``owner``: counting the owner avoids computing the result twice."""
-    return F.broadcast(df) if within(owner, max_rows // per_row) else df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give rows of a few large files to all task slots, by hash of the keys (first
-    column by default). Inputs that come as more files than slots stay as they are."""
+    """Give rows of fewer scan partitions than task slots to all slots, by hash of the
+    keys (first column by default). Larger inputs stay as they are."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < slots:
+    if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots, *(keys or df.columns[:1]))
     return df
 

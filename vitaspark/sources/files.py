@@ -19,22 +19,28 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def _named(types: list[str]) -> str:
+    """A glob for file names with one of the extensions in any case; other files are not opened."""
+    either = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in t) for t in types]
+    return "*.{" + ",".join(either) + "}"
+
+
+def _files(spark: SparkSession, prefix: str, types: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _named(types)).load(prefix)
+
+
 def list_documents(spark: SparkSession, prefix: str, types: list[str] | None = None) -> DataFrame:
     """Files under a prefix with an accepted extension in any case; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(prefix)
-    listed = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
-    return listed.withColumns({"file_name": file_name(F.col("path")), "file_type": file_type(F.col("path"))}).filter(
-        F.col("file_type").isin(*(types or DOCUMENT_TYPES))
-    )
+    listed = _files(spark, prefix, types or DOCUMENT_TYPES).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
+    return listed.withColumns({"file_name": file_name(F.col("path")), "file_type": file_type(F.col("path"))})
 
 
 def read_texts(spark: SparkSession, prefix: str, types: list[str] | None = None) -> DataFrame:
     """Whole files as text; invalid UTF-8 becomes the replacement character."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(prefix)
-    return files.select(
+    return _files(spark, prefix, types or ["txt"]).select(
         "path", file_name(F.col("path")).alias("filename"), file_type(F.col("path")).alias("file_type"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
-    ).filter(F.col("file_type").isin(*(types or ["txt"])))
+    )
 
 
 def read_jobs(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,15 +84,20 @@ def slug(title: Column) -> Column:
     return F.substring(F.replace(F.lower(title), F.lit(" "), F.lit("-")), 1, 30)
 
 
-def job_reports(results: DataFrame, jobs: DataFrame, method: str = "hybrid", most: int = 100) -> DataFrame:
-    """One report row per job. A job has at most ``most`` results, so its list is bounded."""
-    detail = [c for c in results.columns if c != "jd_id"]
-    grouped = results.filter(F.col("rank_position") <= most).groupBy("jd_id").agg(
-        F.count("*").alias("total_results"), F.array_sort(F.collect_list(F.struct("rank_position", *[c for c in detail if c != "rank_position"]))).alias("results")
+def job_reports(results: DataFrame, jobs: DataFrame, method: str = "hybrid", page: int = 100) -> DataFrame:
+    """Report rows of every job, all results in numbered parts of ``page``, so that no list is unbounded.
+
+    A job without results has one empty part 1; ``total_results`` counts all parts.
+    """
+    detail = [c for c in results.columns if c not in ("jd_id", "rank_position")]
+    part = (F.floor((F.col("rank_position") - 1) / page) + 1).cast("int")
+    parts = results.groupBy("jd_id", part.alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("rank_position", *detail))).alias("results")
     )
-    return jobs.join(grouped, "jd_id", "left").select(
+    totals = results.groupBy("jd_id").agg(F.count("*").alias("total_results"))
+    return jobs.join(totals, "jd_id", "left").join(parts, "jd_id", "left").withColumn("part", F.coalesce("part", F.lit(1))).select(
         "jd_id", slug(F.col("job_title")).alias("slug"), F.lit(method).alias("search_method"), "job_title", "required_experience",
-        "required_skills", F.coalesce("total_results", F.lit(0)).cast("bigint").alias("total_results"), "results",
+        "required_skills", F.coalesce("total_results", F.lit(0)).cast("bigint").alias("total_results"), "part", "results",
     )
 
 

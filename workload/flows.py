@@ -34,7 +34,7 @@ def scratch(spark) -> str:
 
 def _page_files(spark, sf) -> str:
     path = scratch(spark)
-    pages = table(spark, sf, "pages").select(F.regexp_replace("url", r"[\r\n]", "").alias("value"), (F.col("page_id") % 10).alias("folder"))
+    pages = table(spark, sf, "pages").select(F.col("html").alias("value"), (F.col("page_id") % 10).alias("folder"))
     pages.repartition(4, "folder").write.partitionBy("folder").text(path)
     return path
 
@@ -49,7 +49,7 @@ def io2(spark, sf):
     return FS.list_documents(spark, sf, ["parquet"]).select("file_name", "file_type", "size", "last_modified")
 
 
-@query("io4", "SELECT CAST(sum(length(regexp_replace(url, '[\\r\\n]', '', 'g')) + 1) AS BIGINT) AS chars, count(*) AS lines FROM pages")
+@query("io4", "SELECT CAST(sum(length(html) + 1) AS BIGINT) AS chars, CAST(sum(length(html) - length(replace(html, chr(10), '')) + 1) AS BIGINT) AS lines FROM pages")
 def io4(spark, sf):
     texts = FS.read_texts(spark, _page_files(spark, sf))
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
@@ -64,12 +64,12 @@ def io5(spark, sf):
     return read.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), F.md5("text").alias("text_md5"))
 
 
-@query("io6", f"WITH {NORM_SQL} SELECT resume_id, name, len(skills) AS n_skills FROM nrm JOIN js USING (c_custkey) WHERE js.j IS NOT NULL")
+@query("io6", f"WITH {NORM_SQL} SELECT resume_id, name, len(skills) AS n_skills FROM nrm JOIN js USING (c_custkey)")
 def io6(spark, sf):
     from vitaspark.operators.normalize import normalize_responses
 
     path = scratch(spark)
-    good = responses(spark, sf).withColumn("v", F.try_parse_json("response")).filter("v IS NOT NULL")
+    good = responses(spark, sf).withColumn("v", F.try_parse_json("response"))
     good.select(F.col("c_custkey").cast("string").alias("resume_id"), F.lit("m").alias("model_id"), F.col("v").alias("llm_output")).write.json(path)
     read = FS.read_responses(spark, path, one_per_line=True)
     return normalize_responses(read, "llm_output").select("resume_id", "name", F.size("skills").cast("bigint").alias("n_skills"))
@@ -281,7 +281,7 @@ def k8(spark, sf):
 
 @query("k9", f"""{O.BASE}, {O.COSINE_SQL}, {O.text_ctes('text', ['skills', 'summary'], False)},
   traw AS (SELECT jd_id, resume_id, {O.settle("sum(exact)")} AS raw_score FROM fs GROUP BY ALL),
-  tpool AS (SELECT jd_id, resume_id, raw_score FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY raw_score DESC, resume_id) AS rn FROM traw) JOIN jobs USING (jd_id) WHERE rn <= least(greatest(3 * max_results, 30), 100)),
+  tpool AS (SELECT jd_id, resume_id, raw_score FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY raw_score DESC, resume_id) AS rn FROM traw) JOIN jobs USING (jd_id) WHERE rn <= greatest(3 * max_results, 30)),
   a AS (SELECT jd_id, resume_id, {O.minmax('cosine')} AS s FROM vpool), b AS (SELECT jd_id, resume_id, least({O.rnd('raw_score / max(raw_score) OVER (PARTITION BY jd_id) * 100.0', 2)}, 100.0) AS s FROM tpool)
   SELECT jd_id, resume_id, {O.rnd('coalesce(a.s, 0.0) * 0.7 + coalesce(b.s, 0.0) * CAST(0.3 AS DOUBLE)', 2)} AS score FROM a FULL OUTER JOIN b USING (jd_id, resume_id)""")
 def k9(spark, sf):
@@ -351,7 +351,7 @@ def k17(spark, sf):
     model = P.fit_weights(feedback, ["search_score", "skill_score", "exp_score", "position_score"])
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(feedback)
+    scored = model.transform(R.components(_pairs(spark, sf)))
     return scored.select("jd_id", "resume_id", F.round(vector_to_array("probability")[1], 4).alias("chance"))
 
 
@@ -384,15 +384,14 @@ def u2(spark, sf):
     return lookup(docs.drop("text"), vectors, "text_md5").select("doc_id", "text_md5", "dim")
 
 
-@query("u4", f"WITH d AS (SELECT DISTINCT unnest({O.tokens('text')}) AS term FROM benchmark), t AS (SELECT doc_id, unnest(list_distinct({O.tokens('text')})) AS term FROM documents) SELECT doc_id, term FROM t JOIN d USING (term) WHERE length(term) >= 6")
+@query("u4", f"WITH d AS (SELECT DISTINCT unnest({O.tokens('text')}) AS term FROM benchmark), t AS (SELECT doc_id, unnest(list_distinct({O.tokens('text')})) AS term FROM documents) SELECT doc_id, term FROM t JOIN d USING (term)")
 def u4(spark, sf):
     """A dictionary that comes as a table instead of the fixed lists."""
     from vitaspark.functions.text import tokens
-    from vitaspark.plans.sizing import checked_broadcast
 
-    terms = table(spark, sf, "benchmark").select(F.explode(tokens(F.col("text"))).alias("term")).filter("length(term) >= 6").distinct()
+    terms = table(spark, sf, "benchmark").select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
     found = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return found.join(checked_broadcast(terms), "term", "left_semi").select("doc_id", "term")
+    return found.join(terms, "term", "left_semi").select("doc_id", "term")
 
 
 @query("u3", f"""{POOL_SQL}, {comp_sql()} SELECT jd_id, resume_id, profile, {O.rnd('search_score * a + skill_score * b + position_score * c + exp_score * d', 2)} AS score FROM comp,

@@ -81,7 +81,7 @@ def position_score(title: str, positions: str) -> str:
     return f"CAST(CASE WHEN coalesce({title}, '') = '' THEN 0.0 WHEN {eq} THEN 100.0 WHEN {inside} THEN 70.0 ELSE 0.0 END AS DOUBLE)"
 
 
-POOL = "least(greatest(3 * {k}, 30), 100)"
+POOL = "greatest(3 * {k}, 30)"
 
 # Cosine of every job and candidate that has a vector, and the pool per job.
 COSINE_SQL = """sims AS (
@@ -91,7 +91,7 @@ COSINE_SQL = """sims AS (
   FROM jobs j, cand c WHERE j.embedding IS NOT NULL AND c.embedding IS NOT NULL),
 vpool AS (SELECT jd_id, resume_id, CAST(cosine AS DOUBLE) AS cosine FROM (
     SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY cosine DESC, resume_id) AS rn FROM sims)
-  WHERE rn <= least(greatest(3 * max_results, 30), 100))"""
+  WHERE rn <= greatest(3 * max_results, 30))"""
 
 
 def logistic(percent: str, r: float) -> str:

@@ -45,14 +45,15 @@ comp AS (SELECT *, {O.skill_score('wn', 'hn')} AS skill_score, {exp} AS exp_scor
     {O.position_score('job_title', 'positions')} AS position_score FROM n)"""
 
 
-@query("v1", f"""{O.BASE} SELECT jd_id, resume_id, round(cosine, 4) AS cosine FROM (
+@query("v1", f"""{O.BASE} SELECT jd_id, resume_id, coalesce(round(cosine, 4), 0.0) AS cosine FROM (
   SELECT j.jd_id, c.resume_id, list_dot_product(j.embedding, c.embedding)
     / (sqrt(list_dot_product(j.embedding, j.embedding)) * sqrt(list_dot_product(c.embedding, c.embedding))) AS cosine
-  FROM jobs j JOIN cand c ON c.resume_id = j.jd_id + 1 WHERE j.embedding IS NOT NULL AND c.embedding IS NOT NULL)""")
+  FROM cand c JOIN jobs j ON j.jd_id = c.resume_id % (SELECT count(*) FROM jobs))""")
 def v1(spark, sf):
-    j = jobs(spark, sf).select("jd_id", (F.col("jd_id") + 1).alias("resume_id"), F.col("embedding").alias("jv"))
-    c = candidates(spark, sf).select("resume_id", "embedding")
-    pair = j.join(c, "resume_id").filter(V.is_usable(F.col("jv")) & V.is_usable(F.col("embedding")))
+    """Every candidate against one job."""
+    j = jobs(spark, sf).select("jd_id", F.col("embedding").alias("jv"))
+    c = candidates(spark, sf).select("resume_id", (F.col("resume_id") % j.count()).alias("jd_id"), "embedding")
+    pair = c.join(j, "jd_id")
     return pair.select("jd_id", "resume_id", F.round(V.cosine(F.col("jv"), F.col("embedding")), 4).alias("cosine"))
 
 
@@ -100,13 +101,13 @@ def j1(spark, sf):
 @query("w4", f"{O.BASE},\n{O.COSINE_SQL} SELECT jd_id, resume_id, round(cosine, 4) AS cosine FROM vpool")
 def w4(spark, sf):
     j = jobs(spark, sf)
-    top = cosine_top_k(j, candidates(spark, sf), 100, dim=DIM).drop("rank")
+    top = cosine_top_k(j, candidates(spark, sf), R.largest_pool(j), dim=DIM).drop("rank")
     return R.candidate_pool(top, j, "cosine").withColumn("cosine", F.round("cosine", 4))
 
 
 def _vpool(spark, sf):
     j = jobs(spark, sf)
-    return R.candidate_pool(cosine_top_k(j, candidates(spark, sf), 100, dim=DIM).drop("rank"), j, "cosine")
+    return R.candidate_pool(cosine_top_k(j, candidates(spark, sf), R.largest_pool(j), dim=DIM).drop("rank"), j, "cosine")
 
 
 @query("w1", f"{O.BASE},\n{O.COSINE_SQL} SELECT jd_id, resume_id, round({O.minmax('cosine')}, 4) AS percent FROM vpool")
@@ -301,20 +302,20 @@ def f2(spark, sf):
     return jobs(spark, sf).select("jd_id", F.greatest("required_experience", "min_experience").alias("effective"))
 
 
-@query("f3", "SELECT page_id, length(trim(split_part(url, '/', 4))) >= 10 AS accepted FROM pages")
+@query("f3", "SELECT conv_id, turn, length(trim(coalesce(text, ''))) >= 10 AS accepted FROM conversations")
 def f3(spark, sf):
-    return table(spark, sf, "pages").select("page_id", M.acceptable_job(F.split_part("url", F.lit("/"), F.lit(4))).alias("accepted"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", M.acceptable_job(F.col("text")).alias("accepted"))
 
 
 @query("f4", "SELECT o_orderkey, least(greatest(coalesce(CAST(o_totalprice / 3000 AS INT) - 10, 30), 1), 100) AS k FROM (SELECT o_orderkey, floor(o_totalprice / 3000) * 3000 AS o_totalprice FROM orders)")
 def f4(spark, sf):
     want = F.floor(F.col("o_totalprice") / 3000).cast("int") - 10
-    return table(spark, sf, "orders").select("o_orderkey", S.clamp_results(want).alias("k"))
+    return table(spark, sf, "orders").select("o_orderkey", S.clamp_results(want, most=100).alias("k"))
 
 
 @query("f5", f"{O.BASE} SELECT jd_id, least(greatest(3 * (max_results + jd_id % 30), 30), 100) AS pool FROM jobs")
 def f5(spark, sf):
-    return jobs(spark, sf).select("jd_id", S.pool_size(F.col("max_results") + F.col("jd_id") % 30).alias("pool"))
+    return jobs(spark, sf).select("jd_id", S.pool_size(F.col("max_results") + F.col("jd_id") % 30, most=100).alias("pool"))
 
 
 @query("f6", f"{O.BASE} SELECT jd_id, array_to_string(list_filter((required_skills || CASE WHEN job_title <> '' THEN [job_title] ELSE [] END)[1:10], lambda t: length(t) >= 3), '|') AS terms FROM jobs")
@@ -386,7 +387,7 @@ parts AS (SELECT jd_id, resume_id, max({near}) + (sum({near}) - max({near})) * 0
   UNION ALL SELECT jd_id, resume_id, 3.0 * cosine FROM vpool UNION ALL SELECT jd_id, resume_id, 1.5 * phrases FROM ph),
 raw AS (SELECT jd_id, resume_id, {O.settle('sum(s)')} AS raw_score FROM parts GROUP BY ALL),
 hpool AS (SELECT jd_id, resume_id, raw_score FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY raw_score DESC, resume_id) AS rn FROM raw)
-  JOIN jobs USING (jd_id) WHERE rn <= least(greatest(3 * max_results, 30), 100)),
+  JOIN jobs USING (jd_id) WHERE rn <= greatest(3 * max_results, 30)),
 hs AS (SELECT *, {O.logistic(O.minmax('raw_score'), 12.0)} AS search_score FROM hpool)"""
 
 
