@@ -71,8 +71,9 @@ def io6(spark, sf):
     path = scratch(spark)
     good = responses(spark, sf).withColumn("v", F.try_parse_json("response"))
     good.select(F.col("c_custkey").cast("string").alias("resume_id"), F.lit("m").alias("model_id"), F.col("v").alias("llm_output")).write.json(path)
-    read = FS.read_responses(spark, path, one_per_line=True)
-    return normalize_responses(read, "llm_output").select("resume_id", "name", F.size("skills").cast("bigint").alias("n_skills"))
+    read = FS.read_responses(spark, path, one_per_line=True).withColumnRenamed("resume_id", "row_id")
+    found = normalize_responses(read, "llm_output", keep=["row_id"])
+    return found.select(F.col("row_id").alias("resume_id"), "name", F.size("skills").cast("bigint").alias("n_skills"))
 
 
 @query("io7", "SELECT page_id, 'processed/' || regexp_replace(k, '^raw/', '') AS key FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'raw/' ELSE '' END || url AS k FROM pages)")
