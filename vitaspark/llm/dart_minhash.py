@@ -18,6 +18,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6: a pair of similarity 0.8 misses every band with probability (1 - 0.8**6)**32 = 6e-5.
 BANDS, ROWS = 32, 6
 
+#: Members of a bucket up to which all pairs of different classes are compared.
+SMALL = 16
+
 _FINE = 6  # ranks below 1 are cut in slabs [0, 2**-6), [2**-6, 2**-5), ... and above in slabs of height 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
@@ -233,51 +236,77 @@ def near_links(docs: DataFrame, marks: DataFrame, similarity: float, coordinates
     """(links, labels): verified pairs (a, b) of fingerprints and the class label of each linked fingerprint.
 
     In each bucket all members are compared with one hub, drawn anew for each
-    bucket, so members of a large group meet many hubs. What hubs can't show is
-    found after: members of a bucket in different classes are compared too,
-    unless the triangle inequality over their distances to the hub or their
-    signature bits exclude the pair. The largest class of a bucket never meets
-    itself. Texts are fetched for pairs whose bits leave room for a link.
+    bucket, so members of a large group meet many hubs. Then the buckets that
+    still hold several classes are settled. Up to ``SMALL`` members all pairs
+    of different classes are compared, unless the triangle inequality over
+    their distances to the hub excludes them. In larger buckets the member most
+    similar to those it met is the next hub for all other classes, then the
+    best one outside its class, until a round finds no link; so the pairs of a
+    large group grow with its size and not with the square of it. Texts are
+    fetched only for pairs whose signature bits leave room for a link.
     """
     words = [f"s{i}" for i in range(-(-coordinates // 64))]
     bits = saved(marks.filter("print is not null").groupBy("print").agg(*[F.max(w).alias(w) for w in words]), "bits")
-    members = saved(marks.filter("print is not null").select(F.explode("keys").alias("bucket"), "print").distinct(), "buckets")
-    members = members.withColumn("draw", F.xxhash64("print", "bucket"))
-    drawn = members.groupBy("bucket").agg(F.min("draw").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = marks.filter("print is not null").select(F.explode("keys").alias("bucket"), "print").distinct()
+    members = saved(members.withColumn("draw", F.xxhash64("print", "bucket")), "buckets")
+    drawn = members.groupBy("bucket").agg(F.min("draw").alias("least"), F.count("*").alias("members")).filter("members > 1")
     shared = saved(members.join(drawn, "bucket"), "shared")
-    spokes = saved(shared.join(shared.filter("draw = least").select("bucket", F.col("print").alias("hub")), "bucket").select("bucket", "print", "hub"), "spokes")
-    pairs = spokes.filter("print <> hub").select(F.greatest("print", "hub").alias("a"), F.least("print", "hub").alias("b")).distinct()
-    side_a, side_b = bits.select(F.col("print").alias("a"), F.struct(*words).alias("x")), bits.select(F.col("print").alias("b"), F.struct(*words).alias("y"))
-    near = saved(pairs.join(side_a, "a").join(side_b, "b").filter(alike(coordinates, similarity, "x", "y")).select("a", "b"), "near")
-    measured = saved(verified(near, docs, marks, id_col, text_col, size).distinct(), "measured")
+    first = shared.filter("draw = least").select("bucket", F.col("print").alias("hub"))
+    spokes = saved(shared.join(first, "bucket").select("bucket", "print", "hub", "members"), "spokes")
+
+    def measure(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        if known is not None:
+            ordered = ordered.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        x = bits.select(F.col("print").alias("a"), F.struct(*words).alias("x"))
+        y = bits.select(F.col("print").alias("b"), F.struct(*words).alias("y"))
+        near = saved(ordered.join(x, "a").join(y, "b").filter(alike(coordinates, similarity, "x", "y")).select("a", "b"), "near")
+        return saved(verified(near, docs, marks, id_col, text_col, size).distinct(), "measured")
+
+    measured = measure(spokes.filter("print <> hub").select(F.col("print").alias("a"), F.col("hub").alias("b")), None)
     links = measured.filter(F.col("similarity") >= similarity).select("a", "b")
     labels = connected(links)
-
-    known = (
-        spokes.withColumns({"a": F.greatest("print", "hub"), "b": F.least("print", "hub")}).join(measured, ["a", "b"], "left")
-        .join(labels.select(F.col("node").alias("print"), "label"), "print", "left")
-        .select("bucket", "print", F.coalesce("label", "print").alias("label"), F.when(F.col("print") == F.col("hub"), 1.0).otherwise(F.col("similarity")).alias("near"))
-    )
-    sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("classes"), F.sum("n").alias("n")).filter("classes > 1 and n > 2")
-    open_rows = saved(known.join(mixed.select("bucket", "main"), "bucket").join(bits.select("print", F.struct(*words).alias("s")), "print"), "open")
-    minor = open_rows.filter("label <> main").select("bucket", F.col("print").alias("a"), F.col("label").alias("label_a"), F.col("near").alias("near_a"), F.col("s").alias("x"))
-    other = open_rows.select("bucket", F.col("print").alias("b"), F.col("label").alias("label_b"), F.col("near").alias("near_b"), F.col("s").alias("y"))
-    # a distance that wasn't measured (bits excluded a link with the hub) excludes nothing
+    tried: DataFrame | None = None
+    while True:
+        rows = (
+            spokes.withColumns({"a": F.greatest("print", "hub"), "b": F.least("print", "hub")}).join(measured, ["a", "b"], "left")
+            .join(labels.withColumnRenamed("node", "print"), "print", "left").select(
+                "bucket", "print", "members", F.coalesce("label", "print").alias("label"), F.when(F.col("print") == F.col("hub"), 1.0).otherwise(F.col("similarity")).alias("near")
+            )
+        )
+        mixed = rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("n"))
+        rows = saved(rows.join(mixed.filter("classes > 1 and n > 2").select("bucket"), "bucket", "left_semi"), "open")
+        pairs, chosen = _central(rows.filter(F.col("members") > SMALL), measured, tried)
+        if tried is None:
+            pairs = pairs.unionByName(_all_pairs(rows.filter(F.col("members") <= SMALL), similarity))
+        found = measure(pairs, measured)
+        fresh = found.filter(F.col("similarity") >= similarity).select("a", "b")
+        if fresh.isEmpty():
+            return links, labels
+        measured, links = measured.unionByName(found), links.unionByName(fresh)
+        labels = connected(links)
+        tried = chosen if tried is None else tried.unionByName(chosen)
+
+
+def _all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different classes in buckets of bounded size, but for those whose distances to the hub exclude a link."""
+    left = rows.select("bucket", F.col("print").alias("a"), F.col("label").alias("label_a"), F.col("near").alias("near_a"))
+    right = rows.select("bucket", F.col("print").alias("b"), F.col("label").alias("label_b"), F.col("near").alias("near_b"))
     reach = F.coalesce(F.abs(F.col("near_a") - F.col("near_b")) <= 1 - similarity + 1e-9, F.lit(True))
-    more = (
-        minor.join(other, "bucket").filter((F.col("label_a") != F.col("label_b")) & reach & alike(coordinates, similarity, "x", "y"))
-        .select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
-        .join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    more = saved(more, "more")
-    if more.isEmpty():
-        return links, labels
-    extra = saved(verified(more, docs, marks, id_col, text_col, size).distinct().filter(F.col("similarity") >= similarity).select("a", "b"), "extra")
-    if extra.isEmpty():
-        return links, labels
-    links = links.unionByName(extra)
-    return links, connected(links)
+    return left.join(right, "bucket").filter((F.col("a") > F.col("b")) & (F.col("label_a") != F.col("label_b")) & reach).select("a", "b")
+
+
+def _central(rows: DataFrame, measured: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the next hub of each bucket with the members of other classes, and the hubs as (bucket, print)."""
+    ends = measured.select(F.col("a").alias("print"), "similarity").union(measured.select("b", "similarity"))
+    scored = rows.join(ends.groupBy("print").agg(F.avg("similarity").alias("score")), "print", "left")
+    if tried is not None:
+        done = rows.join(tried, ["bucket", "print"], "left_semi").select("bucket", "label").distinct()
+        scored = scored.join(done, ["bucket", "label"], "left_anti")
+    best = scored.groupBy("bucket").agg(F.max(F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), "print", "label")).alias("best"))
+    hubs = saved(best.select("bucket", F.col("best.print").alias("hub"), F.col("best.label").alias("hub_label")), "hubs")
+    pairs = rows.join(hubs, "bucket").filter(F.col("label") != F.col("hub_label")).select(F.col("print").alias("a"), F.col("hub").alias("b"))
+    return pairs, hubs.select("bucket", F.col("hub").alias("print"))
 
 
 def near_duplicates(
