@@ -9,29 +9,34 @@ from pyspark.sql import functions as F
 from vitaspark.llm import bpe, common, dart_minhash, decontaminate, exact_dedup, toxicity
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame, rule: str) -> DataFrame:
-    """Documents whose verdict fulfils ``rule``, with their own columns."""
-    return docs.join(verdicts.filter(rule).select(F.col("doc_id").alias("__kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Documents but those of which no row is kept; the side that travels is the ids to drop."""
+    dropped = verdicts.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("__kept")).filter("not __kept")
+    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents predicted as toxic."""
-    return _kept(docs, toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "predicted = 0")
+    score = toxicity.scorer(spark, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return docs.withColumn("__score", score("text")).filter(F.col("__score") < toxicity.LEAST).drop("__score")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the largest doc_id of each group of equal texts."""
-    return _kept(docs, exact_dedup.exact_duplicates(docs), "kept")
+    return _without(docs, exact_dedup.exact_duplicates(docs))
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the largest doc_id of each near-duplicate class."""
-    return _kept(docs, dart_minhash.near_duplicates(docs), "kept")
+    return _without(docs, dart_minhash.near_duplicates(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold benchmark passages."""
-    return _kept(docs, decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "not contaminated")
+    find = decontaminate.finder(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = docs.withColumn("__found", find(F.col("text")))
+    foul = decontaminate.contaminated(F.col("__found.n_words"), decontaminate.words_hit(F.col("__found.spans")))
+    return found.filter(~foul).drop("__found")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaspark.llm.common import as_bytes
@@ -134,21 +134,28 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def benchmark_spans(
     docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, table_bytes: int = TABLE_BYTES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, n_words, spans, items): word spans inside benchmark windows and the items they come from.
+    """(doc_id, n_words, spans, items), a row per document: :func:`finder` over the table."""
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), finder(benchmark, size, table_bytes)(F.col(text_col)).alias("found"))
+    return found.select("doc_id", "found.*")
 
-    A row per document, no shuffle. Each part of the benchmark is one broadcast
+
+def finder(benchmark: DataFrame, size: int = WINDOW, table_bytes: int = TABLE_BYTES) -> Callable[[Column], Column]:
+    """A column function of the text: struct of n_words, word spans inside benchmark windows and the items they come from.
+
+    No shuffle, other columns stay where they are. Each part of the benchmark is one broadcast
     of bounded size and one pass over the batch in hand. Null and empty texts
     have no words; benchmark items that are null, empty or repeated by id add
     nothing or their own windows. Items are given as text, null ids left out.
     """
-    spark = docs.sparkSession
+    spark = benchmark.sparkSession
     named = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item_id is not null")
     parts = [spark.sparkContext.broadcast(p) for p in _parts(named, table_bytes)]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_words long, spans array<struct<first:int,stop:int>>, items array<string>")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tables = [Searcher(p.value, size) for p in parts] if len(parts) == 1 else None
         for batch in batches:
-            words = [words_of(t) for t in as_bytes(batch["text"])]
+            words = [words_of(t) for t in as_bytes(batch)]
             spans: list[list] = [[] for _ in words]
             items: list[set] = [set() for _ in words]
             for table in tables or (Searcher(p.value, size) for p in parts):
@@ -157,23 +164,29 @@ def benchmark_spans(
                     spans[i] += found
                     items[i] |= held
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n_words": [len(w) for w in words],
+                "n_words": [len(w) for w in words],
                 "spans": [[{"first": a, "stop": b} for a, b in _merged(s)] for s in spans], "items": [sorted(x) for x in items],
             })
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        scan, "doc_id long, n_words long, spans array<struct<first:int,stop:int>>, items array<string>"
-    )
+    return scan
+
+
+def words_hit(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"])
+
+
+def contaminated(n_words: Column, n_hit: Column, share: int = 20) -> Column:
+    return (n_hit > 0) & (share * n_hit >= n_words)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, **options) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated (a hit word at least in every ``share``)."""
     found = benchmark_spans(docs, benchmark, **options)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"])
+    hit = words_hit(F.col("spans"))
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"),
+        contaminated(F.col("n_words"), hit, share).alias("contaminated"),
     )
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaspark.llm.common import BLOCK, Words, as_bytes, blocks, id_crc, mix, pieces, saved
@@ -17,6 +17,8 @@ POSITIVES, UNLABELLED, FEATURES, MEMBERS = 6_000, 18_000, 4_096, 3
 PREFIXES = (4, 5, 6, 7)
 #: A feature is kept if it stands in this many toxic sample documents and differs from chance by so many deviations.
 SUPPORT, DEVIATIONS = 5, 5.0
+#: Score from which a document counts as toxic.
+LEAST = 0.5
 EPOCHS, RATE, DECAY = 300, 0.05, 1e-4
 
 
@@ -126,7 +128,7 @@ def train(
 
     Without a confirmed toxic row, or without features, every score is the prior.
     """
-    rows, prior = sample(docs, labels, positives, unlabelled, folds, held)
+    rows, prior = sample(docs, labels.select("doc_id", "toxic"), positives, unlabelled, folds, held)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -165,21 +167,25 @@ def train(
     return Model(vocabulary, np.array([r["weights"] for r in fitted]), np.array([r["bias"] for r in fitted]))
 
 
+def scorer(spark: SparkSession, model: Model) -> Callable[[str], Column]:
+    """A column function of the text: the mean score of the classifiers, 0 to 1. Other columns stay where they are."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            yield pd.Series(shared.value.scores(as_bytes(text)))
+
+    return score
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, **bounds: int) -> DataFrame:
     """(doc_id, held_out, score, predicted): a row per document.
 
     Only text is an input of a score. Null and empty texts get the score of a
     text without features. A null id counts as the empty text in the fold rule.
     """
-    labels = labels.select("doc_id", "toxic")
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds=folds, held=held, **bounds))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": model.value.scores(as_bytes(batch["text"]))})
-
-    scored = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(id_crc("doc_id"), F.lit(0)) % folds == held).alias("held_out"), "text")
-        .mapInPandas(score, "doc_id long, held_out boolean, score double")
-    )
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    score = scorer(docs.sparkSession, train(docs, labels, folds=folds, held=held, **bounds))
+    held_out = F.coalesce(id_crc("doc_id"), F.lit(0)) % folds == held
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), score("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= LEAST).cast("int"))
