@@ -100,7 +100,9 @@ def license_matches(
     1 - (1 - J)**bands: a window left as it was collides for certain, one of
     similarity 0.8 misses with 0.0016 at 4 bands. Every collision names a
     template and a place; there the share of the template's shingles is counted
-    exactly, and places within the template's length are one match, the best.
+    exactly. A place is a match if no better one, by that share and then by the
+    shingles that stand exactly where the template has them, lies within the
+    template's length.
 
     The scan keeps documents with a colliding window and shuffles none of the
     others. Templates with fewer words than a shingle match nothing. Null and
@@ -116,8 +118,8 @@ def license_matches(
     inside = F.size("template") - window + 1
     own = F.array(*[F.slice(f"m{b}", 1, inside) for b in range(bands)])
     asked = with_minima(listed, "template", window, bands).select(
-        "license", F.array_distinct("template").alias("template"), "n_words", F.posexplode(own).alias("band", "values")
-    ).select("license", "template", "n_words", "band", F.posexplode("values").alias("offset", "value"))
+        "license", F.array_distinct("template").alias("template"), F.col("template").alias("sequence"), "n_words", F.posexplode(own).alias("band", "values")
+    ).select("license", "template", "sequence", "n_words", "band", F.posexplode("values").alias("offset", "value"))
     rows = asked.select("band", "value").distinct().collect()
     if len(rows) > MOST_KEYS:
         raise ValueError(f"{len(rows)} template keys: scan for a part of the templates at a time")
@@ -141,17 +143,16 @@ def license_matches(
     start = F.greatest(F.col("place") - slack - F.col("from"), F.lit(0))
     stop = F.col("place") + F.col("n_words") - shingle + 1 + slack - F.col("from")
     held = F.size(F.array_intersect("template", F.slice("near", start + 1, F.greatest(stop - start, F.lit(0)))))
+    in_place = F.size(F.filter(F.transform("sequence", lambda t, i: F.get("near", F.col("place") - F.col("from") + i).eqNullSafe(t)), lambda same: same))
     matched = (
         met.withColumn("containment", held / F.size("template")).filter(F.col("containment") >= contained)
-        .groupBy("doc_id", "print", "license", "n_words", "place").agg(F.max("containment").alias("containment"), F.count("*").alias("votes"))
+        .groupBy("doc_id", "print", "license", "n_words", "place").agg(F.max("containment").alias("containment"), F.max(in_place).alias("in_place"))
+        .withColumn("worth", F.struct("containment", "in_place", (-F.col("place")).alias("early")))
     )
-    by_place = Window.partitionBy("doc_id", "print", "license").orderBy("place")
-    starts = F.coalesce(F.col("place") - F.lag("place").over(by_place) >= F.col("n_words"), F.lit(True))
-    grouped = matched.withColumn("new", starts.cast("int")).withColumn("nth", F.sum("new").over(by_place))
-    return (
-        grouped.groupBy("doc_id", "print", "license", "n_words", "nth")
-        .agg(F.max_by(F.struct("place", "containment"), F.struct("containment", "votes", -F.col("place"))).alias("best"))
-        .select("doc_id", "license", F.greatest(F.col("best.place"), F.lit(0)).alias("first_word"), "n_words", F.col("best.containment").alias("containment"))
+    # places less than a template's length apart compete; places are counted in millionths of that length
+    near_by = Window.partitionBy("doc_id", "print", "license").orderBy(F.floor(F.col("place") * F.lit(1_000_000) / F.col("n_words"))).rangeBetween(-999_999, 999_999)
+    return matched.withColumn("best", F.max("worth").over(near_by)).filter("worth = best").select(
+        "doc_id", "license", F.greatest("place", F.lit(0)).alias("first_word"), "n_words", "containment"
     )
 
 
@@ -177,6 +178,8 @@ places as (select distinct doc_id, license, n_words, pos - off as place from met
 held as (select p.doc_id, p.license, p.n_words, p.place, count(distinct m.s) as k from places p join met m on p.doc_id = m.doc_id and p.license = m.license
   and m.pos >= p.place - {SLACK} and m.pos < p.place + p.n_words - {SHINGLE - 1} + {SLACK} group by all),
 good as (select h.*, k / n as containment from held h join tn using (license) where k / n >= {CONTAINED}),
-marked as (select *, coalesce(place - lag(place) over (partition by doc_id, license order by place) >= n_words, true) as fresh from good)
-select doc_id, license, count(*) filter (fresh) as places, max(containment) as containment from marked group by doc_id, license
+aligned as (select g.*, (select count(*) from met m where m.doc_id = g.doc_id and m.license = g.license and m.pos - m.off = g.place) as in_place from good g),
+marked as (select *, not exists (select 1 from aligned b where b.doc_id = a.doc_id and b.license = a.license and abs(b.place - a.place) < a.n_words
+  and (b.containment, b.in_place, -b.place) > (a.containment, a.in_place, -a.place)) as fresh from aligned a)
+select doc_id, license, count(*) as places, max(containment) as containment from marked where fresh group by doc_id, license
 """
