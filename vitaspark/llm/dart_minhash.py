@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaspark.llm.common import BLOCK, as_bytes, mix, saved, word_hashes
@@ -20,6 +20,8 @@ BANDS, ROWS = 32, 6
 
 #: Members of a bucket up to which all pairs of different classes are compared.
 SMALL = 16
+#: Further hubs of a larger bucket that holds several classes.
+HUBS = 4
 
 _FINE = 6  # ranks below 1 are cut in slabs [0, 2**-6), [2**-6, 2**-5), ... and above in slabs of height 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -194,23 +196,24 @@ def similarities(a: list[bytes], b: list[bytes], size: int = SHINGLE) -> np.ndar
     return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(a, b, similarity) of fingerprint pairs, from whole texts.
-
-    One document stands for a fingerprint. Texts are fetched for members of pairs only.
-    """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    one = marks.join(needed, "print", "left_semi").groupBy("print").agg(F.min("id").alias("id"))
+def texts_of(prints: DataFrame, docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(print, text): the whole text of one document for each fingerprint asked for."""
+    one = marks.join(prints, "print", "left_semi").groupBy("print").agg(F.min("id").alias("id"))
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             same = [fingerprint(t) == p for t, p in zip(as_bytes(batch["text"]), batch["print"], strict=True)]
             yield batch.loc[same, ["print", "text"]]
 
-    texts = (
+    found = (
         docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
         .join(one, F.col("doc").eqNullSafe(F.col("id"))).select("print", "text").mapInPandas(own, "print binary, text string")
     )
+    return found
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(a, b, similarity) of fingerprint pairs, from whole texts."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -237,13 +240,13 @@ def near_links(docs: DataFrame, marks: DataFrame, similarity: float, coordinates
 
     In each bucket all members are compared with one hub, drawn anew for each
     bucket, so members of a large group meet many hubs. Then the buckets that
-    still hold several classes are settled. Up to ``SMALL`` members all pairs
+    still hold several classes are settled: up to ``SMALL`` members all pairs
     of different classes are compared, unless the triangle inequality over
-    their distances to the hub excludes them. In larger buckets the member most
-    similar to those it met is the next hub for all other classes, then the
-    best one outside its class, until a round finds no link; so the pairs of a
-    large group grow with its size and not with the square of it. Texts are
-    fetched only for pairs whose signature bits leave room for a link.
+    their distances to the hub excludes them; in larger buckets all members
+    meet ``HUBS`` more hubs, the members of different classes most similar to
+    those they met. So the pairs of a large group grow with its size and not
+    with the square of it. Only pairs whose signature bits leave room for a
+    link are measured on their texts.
     """
     words = [f"s{i}" for i in range(-(-coordinates // 64))]
     bits = saved(marks.filter("print is not null").groupBy("print").agg(*[F.max(w).alias(w) for w in words]), "bits")
@@ -254,59 +257,48 @@ def near_links(docs: DataFrame, marks: DataFrame, similarity: float, coordinates
     first = shared.filter("draw = least").select("bucket", F.col("print").alias("hub"))
     spokes = saved(shared.join(first, "bucket").select("bucket", "print", "hub", "members"), "spokes")
 
-    def measure(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if known is not None:
-            ordered = ordered.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        x = bits.select(F.col("print").alias("a"), F.struct(*words).alias("x"))
-        y = bits.select(F.col("print").alias("b"), F.struct(*words).alias("y"))
-        near = saved(ordered.join(x, "a").join(y, "b").filter(alike(coordinates, similarity, "x", "y")).select("a", "b"), "near")
-        return saved(verified(near, docs, marks, id_col, text_col, size).distinct(), "measured")
-
-    measured = measure(spokes.filter("print <> hub").select(F.col("print").alias("a"), F.col("hub").alias("b")), None)
+    sketch = bits.select("print", F.struct(*words).alias("s"))
+    hub_pairs = spokes.filter("print <> hub").select(F.greatest("print", "hub").alias("a"), F.least("print", "hub").alias("b")).distinct()
+    near = saved(
+        hub_pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").filter(alike(coordinates, similarity, "x", "y")).select("a", "b"), "near"
+    )
+    texts = saved(texts_of(spokes.select("print").distinct(), docs, marks, id_col, text_col), "texts")
+    measured = saved(verified(near, texts, size).distinct(), "measured")
     links = measured.filter(F.col("similarity") >= similarity).select("a", "b")
     labels = connected(links)
-    tried: DataFrame | None = None
-    while True:
-        rows = (
-            spokes.withColumns({"a": F.greatest("print", "hub"), "b": F.least("print", "hub")}).join(measured, ["a", "b"], "left")
-            .join(labels.withColumnRenamed("node", "print"), "print", "left").select(
-                "bucket", "print", "members", F.coalesce("label", "print").alias("label"), F.when(F.col("print") == F.col("hub"), 1.0).otherwise(F.col("similarity")).alias("near")
-            )
+
+    rows = (
+        spokes.withColumns({"a": F.greatest("print", "hub"), "b": F.least("print", "hub")}).join(measured, ["a", "b"], "left")
+        .join(labels.withColumnRenamed("node", "print"), "print", "left").select(
+            "bucket", "print", "members", F.coalesce("label", "print").alias("label"), F.when(F.col("print") == F.col("hub"), 1.0).otherwise(F.col("similarity")).alias("near")
         )
-        mixed = rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("n"))
-        rows = saved(rows.join(mixed.filter("classes > 1 and n > 2").select("bucket"), "bucket", "left_semi"), "open")
-        pairs, chosen = _central(rows.filter(F.col("members") > SMALL), measured, tried)
-        if tried is None:
-            pairs = pairs.unionByName(_all_pairs(rows.filter(F.col("members") <= SMALL), similarity))
-        found = measure(pairs, measured)
-        fresh = found.filter(F.col("similarity") >= similarity).select("a", "b")
-        if fresh.isEmpty():
-            return links, labels
-        measured, links = measured.unionByName(found), links.unionByName(fresh)
-        labels = connected(links)
-        tried = chosen if tried is None else tried.unionByName(chosen)
-
-
-def _all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different classes in buckets of bounded size, but for those whose distances to the hub exclude a link."""
-    left = rows.select("bucket", F.col("print").alias("a"), F.col("label").alias("label_a"), F.col("near").alias("near_a"))
-    right = rows.select("bucket", F.col("print").alias("b"), F.col("label").alias("label_b"), F.col("near").alias("near_b"))
+    )
+    mixed = rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("n"))
+    rows = saved(rows.join(mixed.filter("classes > 1 and n > 2").select("bucket"), "bucket", "left_semi").join(sketch, "print"), "open")
+    few, many = rows.filter(F.col("members") <= SMALL), rows.filter(F.col("members") > SMALL)
+    left = few.select("bucket", F.col("print").alias("a"), F.col("label").alias("label_a"), F.col("near").alias("near_a"), F.col("s").alias("x"))
+    right = _central(many, measured).unionByName(few)
+    right = right.select("bucket", F.col("print").alias("b"), F.col("label").alias("label_b"), F.col("near").alias("near_b"), F.col("s").alias("y"))
+    left = left.unionByName(many.select("bucket", F.col("print").alias("a"), F.col("label").alias("label_a"), F.lit(None).cast("double").alias("near_a"), F.col("s").alias("x")))
+    # a distance that wasn't measured excludes nothing
     reach = F.coalesce(F.abs(F.col("near_a") - F.col("near_b")) <= 1 - similarity + 1e-9, F.lit(True))
-    return left.join(right, "bucket").filter((F.col("a") > F.col("b")) & (F.col("label_a") != F.col("label_b")) & reach).select("a", "b")
+    more = left.join(right, "bucket").filter((F.col("label_a") != F.col("label_b")) & reach & alike(coordinates, similarity, "x", "y"))
+    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
+    fresh = saved(verified(more, texts, size).distinct().filter(F.col("similarity") >= similarity).select("a", "b"), "fresh")
+    if fresh.isEmpty():
+        return links, labels
+    links = links.unionByName(fresh)
+    return links, connected(links)
 
 
-def _central(rows: DataFrame, measured: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the next hub of each bucket with the members of other classes, and the hubs as (bucket, print)."""
+def _central(rows: DataFrame, measured: DataFrame) -> DataFrame:
+    """Further hubs: the best member of each of the ``HUBS`` best classes of a bucket, by mean similarity to those it met."""
     ends = measured.select(F.col("a").alias("print"), "similarity").union(measured.select("b", "similarity"))
-    scored = rows.join(ends.groupBy("print").agg(F.avg("similarity").alias("score")), "print", "left")
-    if tried is not None:
-        done = rows.join(tried, ["bucket", "print"], "left_semi").select("bucket", "label").distinct()
-        scored = scored.join(done, ["bucket", "label"], "left_anti")
-    best = scored.groupBy("bucket").agg(F.max(F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), "print", "label")).alias("best"))
-    hubs = saved(best.select("bucket", F.col("best.print").alias("hub"), F.col("best.label").alias("hub_label")), "hubs")
-    pairs = rows.join(hubs, "bucket").filter(F.col("label") != F.col("hub_label")).select(F.col("print").alias("a"), F.col("hub").alias("b"))
-    return pairs, hubs.select("bucket", F.col("hub").alias("print"))
+    scored = rows.join(ends.groupBy("print").agg(F.avg("similarity").alias("score")), "print", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    best = scored.groupBy("bucket", "label").agg(F.max(F.struct("score", "print", "s")).alias("best")).select("bucket", "label", "best.*")
+    order = Window.partitionBy("bucket").orderBy(F.desc("score"), "print")
+    hubs = best.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= HUBS)
+    return hubs.select("bucket", "print", "label", F.lit(None).cast("double").alias("near"), "s", F.lit(0).cast("long").alias("members"))
 
 
 def near_duplicates(
