@@ -150,7 +150,7 @@ def license_matches(
         .withColumn("worth", F.struct("containment", "in_place", (-F.col("place")).alias("early")))
     )
     # places less than a template's length apart compete; places are counted in millionths of that length
-    near_by = Window.partitionBy("doc_id", "print", "license").orderBy(F.floor(F.col("place") * F.lit(1_000_000) / F.col("n_words"))).rangeBetween(-999_999, 999_999)
+    near_by = Window.partitionBy("doc_id", "print", "license").orderBy(F.floor(F.col("place").cast("long") * 1_000_000 / F.col("n_words"))).rangeBetween(-999_999, 999_999)
     return matched.withColumn("best", F.max("worth").over(near_by)).filter("worth = best").select(
         "doc_id", "license", F.greatest("place", F.lit(0)).alias("first_word"), "n_words", "containment"
     )
