@@ -63,7 +63,8 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int,
     spread = (F.crc32(F.concat(F.lit("draw:"), F.col("doc_id").cast("string")).cast("binary")) / F.lit(2.0**32))
     chosen_pos = known.filter("toxic = 1").filter(spread < F.lit(positives / max(toxic or 0, 1))).select("doc_id")
     free = rest.filter(spread < F.lit(unlabelled / max(rest.count(), 1))).withColumn("positive", F.lit(False))
-    pos = rest.join(chosen_pos, "doc_id", "left_semi").withColumn("positive", F.lit(True))
+    # about ``positives`` ids at most, so they travel and no text does
+    pos = rest.join(F.broadcast(chosen_pos), "doc_id", "left_semi").withColumn("positive", F.lit(True))
     return pos.unionByName(free), prior
 
 
