@@ -215,12 +215,12 @@ def st4(spark, sf):
 
 # ---- variants --------------------------------------------------------------------------------
 
-HAVE, NEED = F.col("total_experience"), F.col("required_experience")
+HAVE, NEED = "total_experience", "required_experience"
 
 
 @query("k1", f"{POOL_SQL} SELECT jd_id, resume_id, round(CASE WHEN required_experience <= 0 THEN 100.0 WHEN total_experience >= required_experience THEN 80 + least(20, (total_experience - required_experience) * 5) ELSE total_experience / required_experience * 70 END, 4) AS score FROM p")
 def k1(spark, sf):
-    return _pairs(spark, sf).select("jd_id", "resume_id", F.round(P.experience_curve(HAVE, NEED), 4).alias("score"))
+    return _pairs(spark, sf).select("jd_id", "resume_id", F.round(P.experience_curve(F.col(HAVE), F.col(NEED)), 4).alias("score"))
 
 
 @query("k2", """WITH o AS (SELECT o_custkey, list({'e': CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE year(o_orderdate) END, 'd': lower(o_orderpriority || ' ' || o_orderstatus)} ORDER BY o_orderkey) AS ps FROM orders GROUP BY 1),
@@ -244,7 +244,7 @@ def k3(spark, sf):
 @query("k4", f"{POOL_SQL} SELECT jd_id, resume_id FROM p WHERE total_experience >= 2 AND search_score >= 1 AND list_contains(list_transform(skills, lambda s: lower(s)), lower(required_skills[1]))")
 def k4(spark, sf):
     mandatory = F.slice("required_skills", 1, 1)
-    return _pairs(spark, sf).filter((HAVE >= 2) & (F.col("search_score") >= 1) & P.holds_all(F.col("skills"), mandatory)).select("jd_id", "resume_id")
+    return _pairs(spark, sf).filter((F.col(HAVE) >= 2) & (F.col("search_score") >= 1) & P.holds_all(F.col("skills"), mandatory)).select("jd_id", "resume_id")
 
 
 @query("k5", f"{O.BASE},\n{O.COSINE_SQL} SELECT jd_id, resume_id, round(CASE WHEN max(cosine) OVER w = min(cosine) OVER w THEN 50.0 ELSE (cosine - min(cosine) OVER w) / (max(cosine) OVER w - min(cosine) OVER w) * 100 END, 4) AS score FROM vpool WINDOW w AS (PARTITION BY jd_id)")
@@ -335,7 +335,7 @@ def k14_pca(spark, sf):
 
 @query("k15", f"{POOL_SQL} SELECT jd_id, resume_id, round(CASE WHEN total_experience >= required_experience + 3 THEN 100.0 WHEN total_experience >= required_experience THEN 80 + (total_experience - required_experience) / 3.0 * 20 ELSE total_experience / required_experience * 80 END, 4) AS score FROM p")
 def k15(spark, sf):
-    return _pairs(spark, sf).select("jd_id", "resume_id", F.round(P.preferred_experience(HAVE, NEED, NEED + 3), 4).alias("score"))
+    return _pairs(spark, sf).select("jd_id", "resume_id", F.round(P.preferred_experience(F.col(HAVE), F.col(NEED), F.col(NEED) + 3), 4).alias("score"))
 
 
 @query("k16", "SELECT d.doc_id, coalesce(CAST(quality AS DOUBLE) * 100, 50.0) AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
