@@ -48,6 +48,15 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()) > 0)"], cwd=root, capture_output=True, text=True)
+    assert done.stdout.strip() == "True", done.stderr[-2000:]
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert {"jd_id", "resume_id", "rerank_score", "analysis"} <= set(df.columns)
