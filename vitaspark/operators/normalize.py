@@ -513,7 +513,3 @@ def distinct_work(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per distinct text; join results back on ``text_md5``. Copies meet
     in a hash aggregate that combines before the shuffle."""
     return df.select(F.md5(F.col(text)).alias("text_md5"), F.col(text)).groupBy("text_md5").agg(F.first(text).alias(text))
-
-
-def first_number(text: Column) -> Column:
-    return first_of(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,15 +86,14 @@ def multi_job_candidates(results: DataFrame, at_least: int = 2) -> DataFrame:
 
 
 def weight_grid(components: DataFrame, weights: DataFrame) -> DataFrame:
-    """Total per weight set. The few weight sets ride along as one array, so no pair join is needed."""
-    sets = [tuple(r) for r in weights.select("name", "w_search", "w_skill", "w_position", "w_experience").limit(1001).collect()]
-    if len(sets) > 1000:
-        raise ValueError("a weight grid holds at most 1000 sets")
-    options = F.array(*[
-        F.struct(F.lit(n).alias("name"), (F.col("search_score") * a + F.col("skill_score") * b + F.col("position_score") * c + F.col("exp_score") * d).alias("total"))
-        for n, a, b, c, d in sets
-    ])
-    return components.select("jd_id", "resume_id", F.inline(options))
+    """Total per weight set. The caller's sets ride along as one array, so no pair join is needed."""
+    columns = ["name", "w_search", "w_skill", "w_position", "w_experience"]
+    sets = [r.asDict() for r in weights.select(*columns).collect()]
+    grid = F.from_json(F.lit(json.dumps(sets)), "array<struct<name:string,w_search:double,w_skill:double,w_position:double,w_experience:double>>")
+    total = lambda w: (
+        F.col("search_score") * w["w_search"] + F.col("skill_score") * w["w_skill"] + F.col("position_score") * w["w_position"] + F.col("exp_score") * w["w_experience"]
+    )
+    return components.select("jd_id", "resume_id", F.inline(F.transform(grid, lambda w: F.struct(w["name"].alias("name"), total(w).alias("total")))))
 
 
 def quality_weighted(pairs: DataFrame, columns: list[str], score: Column, fallback: Column, out: str = "score") -> DataFrame:
@@ -126,9 +127,8 @@ def related_skills(skills: DataFrame, gaps: DataFrame, top: int = 3) -> DataFram
     ``skills``: (resume_id, skill) rows, ``gaps``: distinct (skill). Only rows of
     candidates who hold a missing skill are paired, within one candidate each.
     """
-    held = skills.groupBy("resume_id").agg(F.collect_set("skill").alias("all"))
-    owners = skills.join(gaps.select("skill"), "skill", "left_semi").join(held, "resume_id")
-    pairs = owners.select("skill", F.explode("all").alias("related")).filter("skill <> related")
+    owners = skills.join(gaps.select("skill"), "skill", "left_semi")
+    pairs = owners.join(skills.select("resume_id", F.col("skill").alias("related")), "resume_id").filter("skill <> related")
     counts = pairs.groupBy("skill", "related").agg(F.count("*").alias("together"))
     order = Window.partitionBy("skill").orderBy(F.desc("together"), "related")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
@@ -163,6 +163,12 @@ def experience_quality(positions: Column) -> Column:
     return F.when(total > 0, rounded(score / total, 4)).otherwise(F.lit(0.0))
 
 
+def quality_by_key(rows: DataFrame, key: str, relevance: Column, weight: Column) -> DataFrame:
+    """(key, quality): as :func:`experience_quality` for positions that come as rows; two sums, nothing is collected."""
+    total = F.sum(weight)
+    return rows.groupBy(key).agg(F.when(total > 0, rounded(F.sum(relevance * weight) / total, 4)).otherwise(F.lit(0.0)).alias("quality"))
+
+
 def shifted_weights(weight: Column, quality: Column) -> Column:
     """A component's weight after poor data quality moved part of it to the search weight."""
     return F.when(quality < 0.5, weight - (0.5 - quality) * weight).otherwise(weight)

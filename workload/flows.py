@@ -267,10 +267,7 @@ def k6(spark, sf):
 @query("k7", f"""SELECT o_custkey, {O.rnd("sum(CASE o_orderstatus WHEN 'F' THEN CAST(100 AS DOUBLE) WHEN 'O' THEN 50.0 ELSE 10.0 END * (1 + o_orderkey % 5)) / CAST(sum(1 + o_orderkey % 5) AS DOUBLE)", 4)} AS quality FROM orders GROUP BY 1""")
 def k7(spark, sf):
     relevance = F.when(F.col("o_orderstatus") == "F", 100.0).when(F.col("o_orderstatus") == "O", 50.0).otherwise(10.0)
-    jobs_held = table(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.collect_list(F.struct(relevance.alias("relevance"), (F.col("o_orderkey") % 5 + 1).cast("double").alias("weight"))).alias("ps")
-    )
-    return jobs_held.select("o_custkey", P.experience_quality(F.col("ps")).alias("quality"))
+    return P.quality_by_key(table(spark, sf, "orders"), "o_custkey", relevance, (F.col("o_orderkey") % 5 + 1).cast("double"))
 
 
 @query("k8", f"""{POOL_SQL}, q AS (SELECT jd_id, avg(CASE WHEN len(positions) > 1 THEN 1.0 ELSE 0.0 END) AS quality FROM p GROUP BY 1)
@@ -280,6 +277,13 @@ def k8(spark, sf):
     return q.select("jd_id", F.round("quality", 4).alias("quality"), F.round(P.shifted_weights(F.lit(0.30), F.col("quality")), 4).alias("skill_weight"))
 
 
+@query("k8_pool", f"""{POOL_SQL}, q AS (SELECT *, {O.rnd("avg((CASE WHEN len(positions) > 1 THEN 1.0 ELSE 0.0 END + CASE WHEN total_experience > 5 THEN 1.0 ELSE 0.0 END) / 2.0) OVER (PARTITION BY jd_id)", 4)} AS quality FROM p)
+  SELECT jd_id, resume_id, quality, CASE WHEN quality < 0.5 THEN 50.0 ELSE search_score END AS score FROM q""")
+def k8_pool(spark, sf):
+    pairs = _pairs(spark, sf).withColumns({"a": F.when(F.size("positions") > 1, 1), "b": F.when(F.col("total_experience") > 5, 1)})
+    return P.quality_weighted(pairs, ["a", "b"], F.col("search_score"), F.lit(50.0)).select("jd_id", "resume_id", "quality", "score")
+
+
 @query("k9", f"""{O.BASE}, {O.COSINE_SQL}, {O.text_ctes('text', ['skills', 'summary'], False)},
   traw AS (SELECT jd_id, resume_id, {O.settle("sum(exact)")} AS raw_score FROM fs GROUP BY ALL),
   tpool AS (SELECT jd_id, resume_id, raw_score FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY raw_score DESC, resume_id) AS rn FROM traw) JOIN jobs USING (jd_id) WHERE rn <= greatest(3 * max_results, 30)),
@@ -303,6 +307,14 @@ def k10(spark, sf):
     return P.weight_grid(R.components(_pairs(spark, sf)), sets).withColumn("total", R.S.rounded(F.col("total"), 2))
 
 
+@query("k10_overlap", f"""{POOL_SQL}, {comp_sql()}, a AS (SELECT jd_id, resume_id FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY search_score DESC, resume_id) AS rn FROM comp) WHERE rn <= 5),
+  b AS (SELECT jd_id, resume_id, 1 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY skill_score DESC, resume_id) AS rn FROM comp) WHERE rn <= 5)
+  SELECT jd_id, {O.rnd('count(hit) / CAST(count(*) AS DOUBLE)', 4)} AS overlap FROM a LEFT JOIN b USING (jd_id, resume_id) GROUP BY jd_id""")
+def k10_overlap(spark, sf):
+    scored = R.components(_pairs(spark, sf))
+    return P.overlap_at_k(R.final_order(scored, 5, "search_score"), R.final_order(scored, 5, "skill_score"))
+
+
 @query("k11", f"{POOL_SQL} SELECT jd_id, resume_id, CASE WHEN search_score >= 80 THEN 'excellent' WHEN search_score >= 60 THEN 'good' WHEN search_score >= 40 THEN 'moderate' ELSE 'poor' END AS band FROM p")
 def k11(spark, sf):
     return _pairs(spark, sf).select("jd_id", "resume_id", P.score_band(F.col("search_score")).alias("band"))

@@ -266,13 +266,6 @@ PII_PARTS = f"""pp AS (SELECT resume_id, text, {pick(NAMES, 7, 'resume_id')} AS
   'linkedin.com/in/user' || CAST(resume_id AS STRING) AS li, CAST(1 + resume_id % 99 AS STRING) || ' Park Street, Main Road, Pune' AS ad FROM r)"""
 
 
-def _redact_sql() -> str:
-    out = "text"
-    for item in ("n", "split_part(n, ' ', 1)", "split_part(n, ' ', 2)", "e", "ph", "li", "ad", "trim(split_part(ad, ',', 1))", "trim(split_part(ad, ',', 2))", "trim(split_part(ad, ',', 3))"):
-        out = f"CASE WHEN length({item}) > 3 THEN replace({out}, {item}, '[REDACTED]') ELSE {out} END" if item not in ("n", "e", "ph", "li", "ad") else f"replace({out}, {item}, '[REDACTED]')"
-    return out
-
-
 def _redacted(spark, sf):
     r = resumes(spark, sf).withColumns({
         "n": F.expr(pick(NAMES, 7, "resume_id")), "e": F.expr("'maria.lopez' || CAST(resume_id AS STRING) || '@mail.example.com'"),
