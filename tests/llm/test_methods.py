@@ -103,6 +103,25 @@ def test_near_duplicates_by_brute_force(documents, shared):
     assert got == classes(rows)
 
 
+def test_near_duplicates_in_a_large_family(documents, shared, monkeypatch):
+    """Texts about 0.7 alike share large buckets; pairs of 0.8 to 0.85 among them are all found, within and across chunks."""
+    draw = random.Random(17)
+    word = lambda: "".join(draw.choices("abcdefghijklmnop", k=7))
+    frame, texts = [word() for _ in range(140)], []
+    for _ in range(200):
+        common, own = [word() for _ in range(14)], [[word() for _ in range(14)] for _ in range(2)]
+        texts += [" ".join(frame + common + o) for o in own]
+    raw = [t.encode() for t in texts]
+    pairs = [(i, j) for i in range(len(raw)) for j in range(i)]
+    alike = dart_minhash.similarities([raw[i] for i, _ in pairs], [raw[j] for _, j in pairs])
+    links = [(i, j) for (i, j), value in zip(pairs, alike, strict=True) if value >= 0.8]
+    assert len(links) == 200 and np.median(alike) > 0.65
+    wanted = {i: i for i in range(len(texts))} | {j: i for i, j in links}
+    monkeypatch.setattr(dart_minhash, "CHUNK", 100, raising=False)
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(documents(list(enumerate(texts))), bands=12, rows=1).collect()}
+    assert got == wanted
+
+
 def test_cross_links_in_a_bucket_are_found(documents, shared):
     """One band of one row: hubs alone would miss links that the second pass finds."""
     rng = random.Random(8)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaspark.llm.common import BLOCK, as_bytes, mix, saved, word_hashes
@@ -18,10 +18,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6: a pair of similarity 0.8 misses every band with probability (1 - 0.8**6)**32 = 6e-5.
 BANDS, ROWS = 32, 6
 
-#: Members of a bucket up to which all pairs of different classes are compared.
+#: Members of a bucket up to which pairs of different classes are joined; larger ones are compared in chunks.
 SMALL = 16
-#: Further hubs of a larger bucket that holds several classes.
-HUBS = 4
+#: Members and bytes of text a chunk of a larger bucket has on average at most.
+CHUNK, CHUNK_BYTES = 1024, 8 << 20
 
 _FINE = 6  # ranks below 1 are cut in slabs [0, 2**-6), [2**-6, 2**-5), ... and above in slabs of height 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -229,8 +229,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 def alike(coordinates: int, similarity: float, a: str, b: str) -> Column:
     """Whether the bits of two signatures leave room for the similarity: six deviations below the share expected of it are too few."""
-    p = (1 + similarity) / 2
-    most = coordinates * (1 - p) + 6 * math.sqrt(coordinates * p * (1 - p))
+    most = most_differing(coordinates, similarity)
     words = -(-coordinates // 64)
     return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, words)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0")))) <= F.lit(most)
 
@@ -240,16 +239,15 @@ def near_links(docs: DataFrame, marks: DataFrame, similarity: float, coordinates
 
     In each bucket all members are compared with one hub, drawn anew for each
     bucket, so members of a large group meet many hubs. Then the buckets that
-    still hold several classes are settled: up to ``SMALL`` members all pairs
-    of different classes are compared, unless the triangle inequality over
-    their distances to the hub excludes them; in larger buckets all members
-    meet ``HUBS`` more hubs, the members of different classes most similar to
-    those they met. So the pairs of a large group grow with its size and not
-    with the square of it. Only pairs whose signature bits leave room for a
-    link are measured on their texts.
+    still hold several classes are settled: all pairs of different classes are
+    compared, unless the triangle inequality over their distances to the hub
+    excludes them. Up to ``SMALL`` members the pairs are rows; larger buckets
+    are compared in chunks, see :func:`_chunked`, where only links become rows.
+    Only pairs whose signature bits leave room for a link are measured on their
+    texts.
     """
     words = [f"s{i}" for i in range(-(-coordinates // 64))]
-    bits = saved(marks.filter("print is not null").groupBy("print").agg(*[F.max(w).alias(w) for w in words]), "bits")
+    bits = saved(marks.filter("print is not null").groupBy("print").agg(*[F.max(w).alias(w) for w in words], F.max("keys").alias("keys")), "bits")
     members = marks.filter("print is not null").select(F.explode("keys").alias("bucket"), "print").distinct()
     members = saved(members.withColumn("draw", F.xxhash64("print", "bucket")), "buckets")
     drawn = members.groupBy("bucket").agg(F.min("draw").alias("least"), F.count("*").alias("members")).filter("members > 1")
@@ -277,28 +275,84 @@ def near_links(docs: DataFrame, marks: DataFrame, similarity: float, coordinates
     rows = saved(rows.join(mixed.filter("classes > 1 and n > 2").select("bucket"), "bucket", "left_semi").join(sketch, "print"), "open")
     few, many = rows.filter(F.col("members") <= SMALL), rows.filter(F.col("members") > SMALL)
     left = few.select("bucket", F.col("print").alias("a"), F.col("label").alias("label_a"), F.col("near").alias("near_a"), F.col("s").alias("x"))
-    right = _central(many, measured).unionByName(few)
-    right = right.select("bucket", F.col("print").alias("b"), F.col("label").alias("label_b"), F.col("near").alias("near_b"), F.col("s").alias("y"))
-    left = left.unionByName(many.select("bucket", F.col("print").alias("a"), F.col("label").alias("label_a"), F.lit(None).cast("double").alias("near_a"), F.col("s").alias("x")))
+    right = few.select("bucket", F.col("print").alias("b"), F.col("label").alias("label_b"), F.col("near").alias("near_b"), F.col("s").alias("y"))
     # a distance that wasn't measured excludes nothing
     reach = F.coalesce(F.abs(F.col("near_a") - F.col("near_b")) <= 1 - similarity + 1e-9, F.lit(True))
     more = left.join(right, "bucket").filter((F.col("label_a") != F.col("label_b")) & reach & alike(coordinates, similarity, "x", "y"))
     more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    fresh = saved(verified(more, texts, size).distinct().filter(F.col("similarity") >= similarity).select("a", "b"), "fresh")
+    fresh = verified(more, texts, size).distinct().filter(F.col("similarity") >= similarity).select("a", "b")
+    fresh = saved(fresh.unionByName(_chunked(many, bits.select("print", "keys"), texts, similarity, coordinates, size)), "fresh")
     if fresh.isEmpty():
         return links, labels
     links = links.unionByName(fresh)
     return links, connected(links)
 
 
-def _central(rows: DataFrame, measured: DataFrame) -> DataFrame:
-    """Further hubs: the best member of each of the ``HUBS`` best classes of a bucket, by mean similarity to those it met."""
-    ends = measured.select(F.col("a").alias("print"), "similarity").union(measured.select("b", "similarity"))
-    scored = rows.join(ends.groupBy("print").agg(F.avg("similarity").alias("score")), "print", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    best = scored.groupBy("bucket", "label").agg(F.max(F.struct("score", "print", "s")).alias("best")).select("bucket", "label", "best.*")
-    order = Window.partitionBy("bucket").orderBy(F.desc("score"), "print")
-    hubs = best.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= HUBS)
-    return hubs.select("bucket", "print", "label", F.lit(None).cast("double").alias("near"), "s", F.lit(0).cast("long").alias("members"))
+def most_differing(coordinates: int, similarity: float) -> float:
+    """Differing bits of two signatures that leave room for the similarity: six deviations above those expected of it."""
+    p = (1 + similarity) / 2
+    return coordinates * (1 - p) + 6 * math.sqrt(coordinates * p * (1 - p))
+
+
+def _chunked(rows: DataFrame, keys: DataFrame, texts: DataFrame, similarity: float, coordinates: int, size: int) -> DataFrame:
+    """Links (a, b) between members of different classes of large buckets, all pairs measured on their texts.
+
+    A bucket is dealt into chunks of bounded size and every two chunks meet in
+    one group, so no task holds a bucket and no pair becomes a row unless it is
+    a link. Members of several buckets are compared in the first they share.
+    """
+    full = rows.join(keys, "print").join(texts, "print")
+    volume = rows.join(texts.select("print", F.octet_length("text").alias("bytes")), "print").groupBy("bucket").agg(
+        F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("chunks")
+    )
+    mine = F.pmod(F.xxhash64("print", "bucket"), F.col("chunks")).cast("int")
+    met = full.join(volume, "bucket").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select(
+        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "print", "label", "near", "s.*", "keys", "text"
+    )
+    bits, most, reach = [f"s{i}" for i in range(-(-coordinates // 64))], most_differing(coordinates, similarity), 1 - similarity + 1e-9
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        keys, sketch = np.stack(group["keys"].to_list()), group[bits].to_numpy(np.int64).view(np.uint64)
+        near, label = group["near"].to_numpy(np.float64), pd.factorize(group["label"])[0]
+        band = int(np.flatnonzero(keys[0] == group["bucket"].iloc[0])[0])
+        within, mine = group["i"].iloc[0] == group["j"].iloc[0], group["mine"].to_numpy()
+        first = np.arange(len(group)) if within else np.flatnonzero(mine == group["i"].iloc[0])
+        partners = {}
+        for a in first:
+            b = np.arange(a + 1, len(group)) if within else np.flatnonzero(mine != mine[a])
+            b = b[(label[b] != label[a]) & ~(np.abs(near[b] - near[a]) > reach)]
+            b = b[np.bitwise_count(sketch[b] ^ sketch[a]).sum(axis=1) <= most]
+            b = b[(keys[b, :band] != keys[a, :band]).all(axis=1)]
+            if len(b):
+                partners[a] = b
+        found = _links(as_bytes(group["text"]), partners, similarity, size)
+        prints = group["print"].to_list()
+        pairs = [(max(prints[a], prints[b]), min(prints[a], prints[b])) for a, b in found]
+        return pd.DataFrame({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]})
+
+    return met.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+
+
+def _links(texts: list[bytes], partners: dict[int, np.ndarray], similarity: float, size: int) -> list[tuple[int, int]]:
+    """Pairs of ``partners`` (text: others) that reach the similarity, as :func:`similarities` measures it."""
+    if not partners:
+        return []
+    element, count, doc = (np.concatenate(x) for x in zip(*shingle_counts(texts, size), strict=True))
+    element = np.unique(element, return_inverse=True)[1]
+    total = np.bincount(doc, count, len(texts))
+    ends = np.cumsum(np.bincount(doc, minlength=len(texts)))
+    begins = np.concatenate([[0], ends[:-1]])
+    own, out = np.zeros(int(element.max()) + 1, count.dtype), []
+    for a, others in partners.items():
+        part = slice(begins[a], ends[a])
+        own[element[part]] = count[part]
+        length = ends[others] - begins[others]
+        at = np.repeat(begins[others] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        low = np.bincount(np.repeat(np.arange(len(others)), length), np.minimum(own[element[at]], count[at]), len(others))
+        own[element[part]] = 0
+        out += [(int(a), int(b)) for b in others[low / (total[a] + total[others] - low) >= similarity]]
+    return out
 
 
 def near_duplicates(
