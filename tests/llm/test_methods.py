@@ -206,6 +206,20 @@ def test_decontamination_by_brute_force(documents, shared, table_bytes):
         assert r.contaminated == (want[1] > 0 and 20 * want[1] >= want[0])
 
 
+def test_passages_without_an_item_id_as_in_sql(documents, shared):
+    import duckdb
+
+    rows = [(1, "u one two three"), (2, "u four five v"), (3, "one two three, four five"), (4, "six"), (5, None)]
+    bench = shared.createDataFrame([(7, "one two three"), (None, "four five"), (None, "three four"), (None, None)], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.contamination(documents(rows), bench).collect())
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar); create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    con.executemany("insert into benchmark values (?, ?)", [tuple(r) for r in bench.collect()])
+    assert got == sorted(con.execute(decontaminate.SQL).fetchall())
+    assert [r[2] for r in got] == [3, 2, 5, 0, 0]
+
+
 @given(st.lists(st.text("ab", min_size=1, max_size=6), min_size=1, max_size=8), st.text("ab", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_wu_manber(strings, text):

@@ -145,10 +145,11 @@ def finder(benchmark: DataFrame, size: int = WINDOW, table_bytes: int = TABLE_BY
     No shuffle, other columns stay where they are. Each part of the benchmark is one broadcast
     of bounded size and one pass over the batch in hand. Null and empty texts
     have no words; benchmark items that are null, empty or repeated by id add
-    nothing or their own windows. Items are given as text, null ids left out.
+    nothing or their own windows. Items are given as text; all items of a null id
+    are one null item, at the end.
     """
     spark = benchmark.sparkSession
-    named = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item_id is not null")
+    named = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
     parts = [spark.sparkContext.broadcast(p) for p in _parts(named, table_bytes)]
 
     @F.pandas_udf("n_words long, spans array<struct<first:int,stop:int>>, items array<string>")
@@ -165,7 +166,7 @@ def finder(benchmark: DataFrame, size: int = WINDOW, table_bytes: int = TABLE_BY
                     items[i] |= held
             yield pd.DataFrame({
                 "n_words": [len(w) for w in words],
-                "spans": [[{"first": a, "stop": b} for a, b in _merged(s)] for s in spans], "items": [sorted(x) for x in items],
+                "spans": [[{"first": a, "stop": b} for a, b in _merged(s)] for s in spans], "items": [sorted(x - {None}) + [None] * (None in x) for x in items],
             })
 
     return scan
