@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaspark.llm import bpe, common, dart_minhash, decontaminate, exact_dedup, toxicity
 
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents but those of which no row is kept; the side that travels is the ids to drop."""
-    dropped = verdicts.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("__kept")).filter("not __kept")
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+def _without(docs: DataFrame, verdicts: DataFrame, mark: str, own: Column) -> DataFrame:
+    """Documents but the rows not kept; a row is known by id and ``mark``, which ``own`` computes from the text. The side that travels is the rows to drop."""
+    dropped = verdicts.filter("not kept").select(F.col("doc_id").alias("__id"), F.col(mark).alias("__mark")).distinct()
+    marked = docs.withColumn("__own", own)
+    return marked.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left_anti").drop("__own")
+
+
+@F.pandas_udf("binary")
+def _print(texts: pd.Series) -> pd.Series:
+    return pd.Series([dart_minhash.fingerprint(t) for t in common.as_bytes(texts)], dtype=object)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +30,12 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the largest doc_id of each group of equal texts."""
-    return _without(docs, exact_dedup.exact_duplicates(docs))
+    return _without(docs, exact_dedup.exact_duplicates(docs), "text_sha256", F.sha2(common.folded("text"), 256))
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the largest doc_id of each near-duplicate class."""
-    return _without(docs, dart_minhash.near_duplicates(docs))
+    return _without(docs, dart_minhash.near_classes(docs), "print", _print("text"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,6 +132,18 @@ def test_cross_links_in_a_bucket_are_found(documents, shared):
     assert got == classes(rows)
 
 
+def test_stages_drop_rows_and_not_ids(documents, shared):
+    """A copy is dropped though its id, or null id, also names a text that stays."""
+    import corpus_pipeline
+
+    rows = [(7, "a a"), (9, "A a"), (7, "b"), (None, "a a"), (None, "c")]
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.distinct(shared, documents(rows), "").collect()} == {(9, "A a"), (7, "b"), (None, "c")}
+    base = " ".join(f"w{i}" for i in range(120))
+    rows = [(7, base), (9, base + " end"), (7, "b"), (None, base + " last"), (None, "c"), (None, None)]
+    kept = {(9, base + " end"), (7, "b"), (None, "c"), (None, None)}
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.dissimilar(shared, documents(rows), "").collect()} == kept
+
+
 def test_connected(shared):
     links = shared.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (102, 101)], "a long, b long")
     got = {r.node: r.label for r in connected(links).collect()}

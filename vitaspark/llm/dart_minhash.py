@@ -368,6 +368,13 @@ def near_duplicates(
     null id too unless its words link it. Repeated ids count as rows; where the
     largest id repeats, each of its rows is kept.
     """
+    return near_classes(docs, similarity, bands, rows, size, id_col, text_col).drop("print")
+
+
+def near_classes(
+    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of :func:`near_duplicates` with ``print``, the fingerprint of their words."""
     marks = saved(sketches(docs, bands, rows, size, id_col, text_col), "sketches")
     _, labels = near_links(docs, marks, similarity, bands * rows, id_col, text_col, size)
     by_print = (
@@ -381,7 +388,7 @@ def near_duplicates(
         marks.select("id", "print").join(found, "print", "left")
         .select(
             F.col("id").alias("doc_id"), F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-            F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+            F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "print",
         )
         .withColumn("kept", F.col("class_size").eqNullSafe(F.lit(1)) | F.col("doc_id").eqNullSafe(F.col("class_id")))
     )
