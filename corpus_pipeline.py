@@ -6,6 +6,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitaspark.llm import bpe, common, dart_minhash, decontaminate, exact_dedup, toxicity
 
@@ -17,9 +18,13 @@ def _without(docs: DataFrame, verdicts: DataFrame, mark: str, own: Column) -> Da
     return marked.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left_anti").drop("__own")
 
 
-@F.pandas_udf("binary")
-def _print(texts: pd.Series) -> pd.Series:
-    return pd.Series([dart_minhash.fingerprint(t) for t in common.as_bytes(texts)], dtype=object)
+def _print(text: str) -> Column:
+    """Fingerprint of the words. Built on each call: a typed function needs a session, which importing this module must not."""
+
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series([dart_minhash.fingerprint(t) for t in common.as_bytes(texts)], dtype=object)
+
+    return F.pandas_udf(prints, T.BinaryType())(F.col(text))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
