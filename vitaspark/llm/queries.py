@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaspark.llm import bpe, dart_minhash, decontaminate, exact_dedup, fill_middle, license_scan, quality, sharding, token_counts, toxicity, url_filter
+from vitaspark.llm import alignment, bpe, dart_minhash, decontaminate, exact_dedup, fill_middle, license_scan, quality, sharding, token_counts, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).documents
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q for q in (
         op1_url_filter, op2_sharding, op3_license_scan, op4_token_counts, op5_bpe_codec, op6_quality, op7_decontamination, op8_exact_dedup, op9_near_dedup, op10_toxicity,
-        op12_fill_middle,
+        op11_alignment, op12_fill_middle,
     )
 }
 ORACLES: dict[str, str] = {
