@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaspark.llm import alignment, bpe, dart_minhash, decontaminate, exact_dedup, fill_middle, license_scan, quality, sharding, token_counts, toxicity, url_filter
+from vitaspark.llm import alignment, bpe, dart_minhash, decontaminate, exact_dedup, fill_middle, license_scan, quality, sharding, substring_dedup, token_counts, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,14 +65,18 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q for q in (
         op1_url_filter, op2_sharding, op3_license_scan, op4_token_counts, op5_bpe_codec, op6_quality, op7_decontamination, op8_exact_dedup, op9_near_dedup, op10_toxicity,
-        op11_alignment, op12_fill_middle,
+        op11_alignment, op12_fill_middle, op13_substring_dedup,
     )
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.SQL, "op2_sharding": sharding.SQL, "op3_license_scan": license_scan.sql(),
     "op7_decontamination": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL,
-    "op12_fill_middle": fill_middle.SQL,
+    "op12_fill_middle": fill_middle.SQL, "op13_substring_dedup": substring_dedup.SQL,
 }
