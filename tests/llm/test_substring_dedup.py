@@ -54,18 +54,20 @@ def test_automaton_tells_the_longest_earlier_match(passages):
             seen.update(tuple(words[i:end]) for i in range(end))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=60), st.integers(1, 4), st.integers(0, 12))
-def test_anchors_depend_on_windows_only(words, size, more):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=30), max_size=5), st.integers(1, 4), st.integers(0, 12))
+def test_anchors_depend_on_windows_only(texts, size, more):
     window = size + more
-    hashes = sd.mix(np.array(words, np.uint64) + np.uint64(5))
-    anchor, first, windows = sd.anchors(hashes, window, size)
-    n = max(0, len(words) - window + 1)
-    assert windows.sum() == n and (len(first) == 0 or first[0] == 0)
-    of = {}
+    words = [w for t in texts for w in t]
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    anchor, first, windows = sd.anchors(sd.mix(np.array(words, np.uint64) + np.uint64(5)), doc, window, size)
+    begins = np.cumsum([0] + [len(t) for t in texts])
+    covered, of = [], {}
     for a, f, k in zip(anchor.tolist(), first.tolist(), windows.tolist(), strict=True):
         for i in range(f, f + k):
+            covered.append(i)
             assert of.setdefault(tuple(words[i:i + window]), a) == a
+    assert covered == [b + i for b, t in zip(begins, texts) for i in range(len(t) - window + 1)]
 
 
 def test_word_hashes_over_pieces(monkeypatch):

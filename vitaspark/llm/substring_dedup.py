@@ -112,17 +112,18 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def anchors(hashes: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of windows) of the passages of one text.
+def anchors(hashes: np.ndarray, doc: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, number of windows) of the passages of texts laid end to end; ``doc`` numbers the text of each word.
 
     A window's anchor is the least hash of its runs of ``size`` words, the
     leftmost of equal ones, so it depends on the window's words only. Windows
-    in a row that share the place of their anchor form a passage.
+    in a row that share the place of their anchor form a passage; no window
+    reaches over the end of a text.
     """
     n = len(hashes) - window + 1
-    if n < 1:
-        empty = np.zeros(0, np.int64)
-        return empty.astype(np.uint64), empty, empty
+    inside = np.flatnonzero(doc[:max(n, 0)] == doc[len(doc) - n:]) if n > 0 else np.zeros(0, np.int64)
+    if not len(inside):
+        return np.zeros(0, np.uint64), inside, inside
     grams = np.zeros(len(hashes) - size + 1, np.uint64)
     for j in range(size):
         grams = mix(grams + _STEP) + hashes[j:j + len(grams)]
@@ -134,10 +135,10 @@ def anchors(hashes: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.
         left, right = place[:-width], place[width:]
         place = np.where(grams[right] < grams[left], right, left)
         width *= 2
-    left, right = place[:n], place[span - width:span - width + n]
+    left, right = place[inside], place[inside + span - width]
     least = np.where(grams[right] < grams[left], right, left)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return grams[least[first]], first, np.diff(np.append(first, n))
+    first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (doc[inside[1:]] != doc[inside[:-1]])]))
+    return grams[least[first]], inside[first], np.diff(np.append(first, len(inside)))
 
 
 def _order(doc: Column, mark: Column) -> list[Column]:
@@ -148,17 +149,38 @@ def _order(doc: Column, mark: Column) -> list[Column]:
 _FIRST = "doc_id long, mark long, n_words long, kept_sha256 string, anchor array<long>, start array<int>, windows array<int>"
 
 
+def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``BLOCK`` bytes together."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > BLOCK:
+            yield first, i
+            first, held = i, 0
+        held += len(text) + 1
+    if texts:
+        yield first, len(texts)
+
+
 def _first_pass(window: int, size: int):
     """Per document: what it comes to if nothing is removed, and its passages."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for mark, text in zip(batch["mark"], as_bytes(batch["text"]), strict=True):
-                raw = np.frombuffer(text, np.uint8)
+            texts = as_bytes(batch["text"])
+            for low, high in _blocks(texts):
+                part = texts[low:high]
+                raw = np.frombuffer(b"\n".join(part), np.uint8)
                 starts, ends = word_spans(raw)
-                anchor, first, windows = anchors(word_hashes(raw, starts, ends), window, size) if len(starts) >= window else anchors(np.zeros(0, np.uint64), window, size)
-                rows.append((mark, len(starts), hashlib.sha256(b" ".join(text.split())).hexdigest(), anchor.view(np.int64), first.astype(np.int32), windows.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["mark", "n_words", "kept_sha256", "anchor", "start", "windows"]).assign(doc_id=batch["doc_id"].array)
+                doc = np.searchsorted(np.cumsum([len(t) + 1 for t in part]), starts, "right")
+                anchor, first, windows = anchors(word_hashes(raw, starts, ends), doc, window, size)
+                words = np.bincount(doc, minlength=len(part))
+                begin = np.cumsum(words) - words
+                cuts = np.searchsorted(doc[first], np.arange(1, len(part)))
+                start = (first - begin[doc[first]]).astype(np.int32)
+                yield pd.DataFrame({
+                    "doc_id": batch["doc_id"].iloc[low:high].array, "mark": batch["mark"].iloc[low:high].array, "n_words": words,
+                    "kept_sha256": [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in part],
+                    "anchor": np.split(anchor.view(np.int64), cuts), "start": np.split(start, cuts), "windows": np.split(windows.astype(np.int32), cuts),
+                })
 
     return run
 
@@ -172,11 +194,11 @@ def _passages(window: int):
         for batch in batches:
             for no_id, doc, mark, text, asked in zip(batch["no_id"], batch["doc"], batch["mark"], as_bytes(batch["text"]), batch["asked"], strict=True):
                 words = text.split()
-                rows = []
-                for x in asked:
-                    part = b" ".join(words[x["start"]:x["start"] + x["windows"] + window - 1])
-                    rows.append((no_id, doc, mark, x["anchor"], x["start"], x["windows"], hashlib.blake2b(part, digest_size=16).digest(), part.decode()))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PASSAGE.split(", ")])
+                parts = [b" ".join(words[x["start"]:x["start"] + x["windows"] + window - 1]) for x in asked]
+                yield pd.DataFrame({
+                    "no_id": no_id, "doc": doc, "mark": mark, "anchor": [x["anchor"] for x in asked], "start": [x["start"] for x in asked],
+                    "windows": [x["windows"] for x in asked], "digest": [hashlib.blake2b(p, digest_size=16).digest() for p in parts], "words": [p.decode() for p in parts],
+                })
 
     return run
 
@@ -226,29 +248,40 @@ def _firsts(passages: DataFrame) -> DataFrame:
 _SPAN = ["no_id", "doc", "mark", "start", "windows"]
 
 
+_KEY = ["no_id", "doc", "mark"]
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, crowd: int = CROWD, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(first pass, texts of documents with possible repeats, repeated windows as runs) for rows (doc_id, mark, text)."""
+    """(first pass with ``copy``, texts with possible repeats, repeated windows as runs) for rows (doc_id, mark, text).
+
+    ``mark`` names a text. Of rows with one text only the first place goes on:
+    all windows of the others repeat, which ``copy`` says.
+    """
     first = saved(docs.mapInPandas(_first_pass(window, size), _FIRST), "substrings")
-    place = _order(F.col("doc_id"), F.col("mark"))
-    # rows of one id with one text have the same place: they count once, or they would repeat each other
-    runs = first.select(*place, F.explode(F.arrays_zip("anchor", "start", "windows")).alias("x")).select("no_id", "doc", "mark", "x.*")
-    often = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    asked = runs.join(often, "anchor").groupBy("no_id", "doc", "mark").agg(F.collect_set(F.struct("anchor", "start", "windows")).alias("asked"))
-    texts = docs.select(*_order(F.col("doc_id"), F.col("mark")), "text").join(asked, ["no_id", "doc", "mark"])
+    placed = first.select(*_order(F.col("doc_id"), F.col("mark")), "doc_id", "n_words", "kept_sha256")
+    top = placed.groupBy("mark").agg(F.min(F.struct("no_id", "doc")).alias("top"))
+    rows = saved(placed.join(top, "mark").select(*_KEY, "doc_id", "n_words", "kept_sha256", (F.struct("no_id", "doc") != F.col("top")).alias("copy")), "rows")
+
+    runs = first.select("mark", F.explode(F.arrays_zip("anchor", "start", "windows")).alias("x")).select("mark", "x.*")
+    # an anchor that occurs at one place of one text, in however many copies of it, repeats nothing
+    where = F.xxhash64("mark", "start")
+    often = runs.groupBy("anchor").agg(F.min(where).alias("low"), F.max(where).alias("high")).filter("low <> high").select("anchor")
+    asked = runs.join(often, "anchor").groupBy("mark").agg(F.collect_set(F.struct("anchor", "start", "windows")).alias("asked"))
+    asked = rows.filter("not copy").select(*_KEY).distinct().join(asked, "mark")
+    texts = docs.select(*_order(F.col("doc_id"), F.col("mark")), "text").join(asked, _KEY).dropDuplicates(_KEY)
     texts = saved(texts, "candidates")
-    one = texts.dropDuplicates(["no_id", "doc", "mark"])
-    passages = saved(one.mapInPandas(_passages(window), _PASSAGE), "passages")
+    passages = saved(texts.mapInPandas(_passages(window), _PASSAGE), "passages")
 
     kinds = saved(_firsts(passages), "kinds")
     at = ["digest", "no_id", "doc", "mark", "start"]
-    later = passages.join(kinds.select("digest", *[F.col(c).alias(f"f_{c}") for c in at[1:]]), "digest").filter(
+    later = passages.select("digest", *_SPAN).join(kinds.select("digest", *[F.col(c).alias(f"f_{c}") for c in at[1:]]), "digest").filter(
         " or ".join(f"{c} <> f_{c}" for c in at[1:])
     ).select(*_SPAN)
     crowded = kinds.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("anchor")
     alone = kinds.join(crowded, "anchor", "left_anti")
     parts = saved(kinds.join(crowded, "anchor", "left_semi").select(*[c.split()[0] for c in _PASSAGE.split(", ")]).mapInPandas(_singles(window), _PASSAGE), "singles")
     singles = _firsts(parts)
-    late = parts.join(singles.select("digest", *[F.col(c).alias(f"f_{c}") for c in at[1:]]), "digest").filter(
+    late = parts.select("digest", *_SPAN).join(singles.select("digest", *[F.col(c).alias(f"f_{c}") for c in at[1:]]), "digest").filter(
         " or ".join(f"{c} <> f_{c}" for c in at[1:])
     ).select(*_SPAN)
     reference = alone.withColumn("key", F.xxhash64("anchor")).unionByName(singles.withColumn("key", F.xxhash64("digest")))
@@ -256,7 +289,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, crowd: in
     shards = max(1, -(-int(volume) // shard_words))
     dealt = reference.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "no_id", "doc", "mark", "start")
     matched = dealt.select("shard", "no_id", "doc", "mark", "start", "words").mapInPandas(_matched(window), "no_id boolean, doc long, mark long, start int, windows int")
-    return first, texts, matched.unionByName(later).unionByName(late)
+    return rows, texts, matched.unionByName(later).unionByName(late)
 
 
 def _cover(n: int, spans: list, window: int) -> np.ndarray:
@@ -272,14 +305,13 @@ def _removed(window: int, show: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for no_id, doc, text, spans in zip(batch["no_id"], batch["doc"], as_bytes(batch["text"]), batch["spans"], strict=True):
+            for text, spans in zip(as_bytes(batch["text"]), batch["spans"], strict=True):
                 words = text.split()
-                gone = _cover(len(words), [(x["start"], x["windows"]) for x in spans] if spans is not None else [], window)
+                gone = _cover(len(words), [(x["start"], x["windows"]) for x in spans], window)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                cut = edges.reshape(-1, 2).tolist()
-                rows.append((None if no_id else doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if show else None, cut if show else None))
-            frame = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans"]).astype({"doc_id": "Int64"})
+                cut = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2).tolist()
+                rows.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if show else None, cut if show else None))
+            frame = pd.DataFrame(rows, columns=["n_removed", "left_sha256", "kept", "spans"]).assign(**{c: batch[c].array for c in _KEY})
             yield frame if show else frame.drop(columns=["kept", "spans"])
 
     return run
@@ -298,17 +330,21 @@ def dedup_substrings(
     id, null included, are ordered by a hash of their text, and equal rows
     share a place, so they don't repeat each other. Extra columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
-    first, texts, found = repeats(rows, window, size, crowd, shard_words)
-    spans = saved(found.groupBy("no_id", "doc", "mark").agg(F.collect_set(F.struct("start", "windows")).alias("spans")), "spans")
-    key = ["no_id", "doc", "mark"]
-    changed = texts.drop("asked").join(spans, key).mapInPandas(
-        _removed(window, show), "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string, spans array<array<int>>" if show else "")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
+    rows, texts, found = repeats(own, window, size, crowd, shard_words)
+    spans = saved(found.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "windows")).alias("spans")), "spans")
+    changed = texts.drop("asked").join(spans, _KEY).mapInPandas(
+        _removed(window, show), "no_id boolean, doc long, mark long, n_removed long, left_sha256 string" + (", kept string, spans array<array<int>>" if show else "")
     )
+    whole = F.col("copy") & (F.col("n_words") >= window)
+    columns = [
+        "doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("left_sha256", "kept_sha256")).alias("kept_sha256"),
+    ]
     if show:
-        return changed
-    same = first.select(*_order(F.col("doc_id"), F.col("mark")), "doc_id", "n_words", "kept_sha256").join(spans.select(key), key, "left_anti")
-    return same.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").unionByName(changed)
+        columns += [F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"), F.when(whole, F.array(F.array(F.lit(0), F.col("n_words").cast("int")))).otherwise(F.col("spans")).alias("spans")]
+    result = rows.join(changed, _KEY, "left").select(*columns)
+    return result.filter("n_removed > 0") if show else result
 
 
 SQL = r"""
