@@ -153,6 +153,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         bpe = _vocabulary(spec.value)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [bpe.encode(t.decode()) for t in as_bytes(batch["text"])]})
+        bpe.known.clear()  # the worker may serve other stages next
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -183,6 +184,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
                 ))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=batch["doc_id"].array)
+        bpe.known.clear()  # the worker may serve other stages next
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -21,7 +21,7 @@ BANDS, ROWS = 32, 6
 #: Members of a bucket up to which pairs of different classes are joined; larger ones are compared in chunks.
 SMALL = 16
 #: Members and bytes of text a chunk of a larger bucket has on average at most.
-CHUNK, CHUNK_BYTES = 1024, 8 << 20
+CHUNK, CHUNK_BYTES = 1024, 2 << 20
 
 _FINE = 6  # ranks below 1 are cut in slabs [0, 2**-6), [2**-6, 2**-5), ... and above in slabs of height 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
