@@ -2,8 +2,8 @@
 
 A text is cut into segments at places where both tokenizers begin a new
 pre-token: in front of a space that follows a character which is no white
-space. Tokens never cross such a place, so segments align by themselves and a
-worker remembers those it has seen.
+space. Tokens never cross such a place, so segments align by themselves, and a
+block of documents aligns each distinct segment once.
 
 A document longer than a chunk is spread over tasks. What a task knows of a
 byte range is a fragment: an open prefix before its first certain cut, closed
@@ -21,6 +21,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -35,11 +36,9 @@ from vitaspark.llm.token_counts import MARK
 #: Bytes of a document one task takes; longer documents are spread.
 CHUNK = 1 << 16
 #: Text of the documents whose pairs are counted together before they leave a task.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 #: Fragments joined at a time on the way up the tree.
 FAN = 16
-#: Bytes of remembered segments and their groups a worker holds between blocks; bounds memory, not results.
-REMEMBERED = 16 << 20
 
 #: Python counts some control characters as white space that others don't, and once U+180E was white space: no cut behind any of them.
 _CUT = re.compile("(?<=[^\\s\\u180e]) ")
@@ -124,92 +123,106 @@ class Pair:
         self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in pieces.items()}
         self.space = self.b.piece_to_id(MARK)
 
-    def encode(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both for each segment."""
-        first = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
-        second = self.b.encode(parts, num_threads=1)
-        for p, a, b in zip(parts, first, second, strict=True):
-            yield a.ids, b if p else [self.space]
-
-    def align(self, a: list[int], b: list[int], raw: bytes) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
-        """(groups as ends in both lists, overlapping pairs in order); None where the tokens' bytes aren't ``raw``."""
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        i, j, end_a, end_b = 0, 0, len(parts_a[0]), len(parts_b[0])
-        groups, links = [], []
-        while True:
-            links.append((a[i], b[j]))
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a and step_b:
-                groups.append((i + 1, j + 1))
-                if i + 1 == len(a):
-                    return groups, links
-            if step_a:
-                i += 1
-                end_a += len(parts_a[i])
-            if step_b:
-                j += 1
-                end_b += len(parts_b[j])
-
-
-class Memory(dict):
-    """Numbers of segments, given out as they are met, and what each is worth."""
-
-    def __init__(self, pair: Pair):
-        self.pair = pair
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.fresh: list[str] = []
-        self.groups: list[str] = []
-        self.pair_of: dict[tuple[int, int], int] = {}
-        self.worth: list[tuple[int, int, int, int, bool]] = []
-        self.links: list[list[int]] = []
-        self.held = 0
-
-    def __missing__(self, part: str) -> int:
-        self[part] = number = len(self)
-        self.fresh.append(part)
-        return number
-
-    def learn(self) -> None:
-        """Align the segments met since the last call."""
-        parts, self.fresh = self.fresh, []
-        if not parts:
-            return
-        number_of = self.pair_of
-        for part, (a, b) in zip(parts, self.pair.encode(parts), strict=True):
-            raw = f" {part}".encode()
-            found = self.pair.align(a, b, raw)
-            if found is None:
-                self.groups.append("")
-                self.worth.append((0, 0, 0, 0, True))
-                self.links.append([])
-            else:
-                ends, links = found
-                text, i, j = [], 0, 0
-                for end_a, end_b in ends:
-                    text.append(",".join(map(str, a[i:end_a])) + "|" + ",".join(map(str, b[j:end_b])))
-                    i, j = end_a, end_b
-                self.groups.append(";".join(text))
-                self.worth.append((len(a), len(b), len(ends), len(links), False))
-                self.links.append([number_of.setdefault(x, len(number_of)) for x in links])
-            self.held += 2 * len(raw) + len(self.groups[-1]) + 8 * len(self.links[-1]) + 300
+        self.len_a, self.len_b = (np.array([len(of.get(i, b"")) for i in range(max(of) + 1)], np.int64) for of in (self.bytes_a, self.bytes_b))
+        width = len(str(max(*self.bytes_a, *self.bytes_b))) + 1
+        self.inner, self.bar, self.end = (np.array([f"{i}{c}" for i in range(max(len(self.len_a), len(self.len_b)))], f"S{width}") for c in ",|;")
+        self.shown = np.char.str_len(self.inner)
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids of both for texts that begin with a space each."""
+        first = self.a.encode_batch_fast(texts, add_special_tokens=False)
+        second = self.b.encode([t[1:] for t in texts], num_threads=1)
+        return [(a.ids, b if len(t) > 1 else [self.space]) for t, a, b in zip(texts, first, second, strict=True)]
+
+    def exact(self, raw: bytes, a: list[int], b: list[int]) -> bool:
+        """Whether the bytes of both lists of tokens are ``raw``."""
+        return b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
+
+
+#: Segments encoded in one call are joined to texts of about this many characters.
+JOINED = 1 << 14
 
-    def trim(self) -> None:
-        if self.held > REMEMBERED:
-            self.forget()
+
+class Segments:
+    """Distinct segments, aligned: per segment ``worth`` (A tokens, B tokens, groups, links), ``bad``, ``groups`` as text and links as
+    ``pair[begin:begin + links]``, which are indexes into ``a`` and ``b``.
+
+    Segments that end without white space keep their tokens when joined, so
+    they are encoded as long texts. All places are byte offsets in the joined
+    text: a token lies between two ends of its own tokenizer, a group ends where
+    both have an end, and each stretch between neighbouring ends of either is
+    one overlap of an A and a B token.
+    """
+
+    def __init__(self, parts: list[str], pair: Pair):
+        n = len(parts)
+        joined, loose, size = [[]], [], 0
+        for i, p in enumerate(parts):
+            if not p or _DOUBT.match(p[-1] + " "):
+                loose.append([i])
+                continue
+            joined[-1].append(i)
+            size += len(p) + 1
+            if size > JOINED:
+                joined.append([])
+                size = 0
+        items, good = [x for x in joined if x] + loose, []
+        again = []
+        for item, tokens, raw in self._encoded(items, parts, pair):
+            if pair.exact(raw, *tokens):
+                good.append((item, tokens))
+            else:
+                again += [[i] for i in item]
+        self.bad = np.zeros(n, bool)
+        for item, tokens, raw in self._encoded(again, parts, pair):
+            if pair.exact(raw, *tokens):
+                good.append((item, tokens))
+            else:
+                self.bad[item[0]] = True
+        order = np.array([i for item, _ in good for i in item], np.int64)
+        a = np.array([i for _, (x, _) in good for i in x], np.int64)
+        b = np.array([i for _, (_, x) in good for i in x], np.int64)
+        end = np.cumsum([len(parts[i].encode()) + 1 for i in order.tolist()])
+        end_a, end_b = np.cumsum(pair.len_a[a]), np.cumsum(pair.len_b[b])
+        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        either = np.union1d(end_a, end_b)
+        part = lambda ends: np.searchsorted(end, ends)
+        sizes = np.stack([np.bincount(part(x), minlength=len(order)) for x in (end_a, end_b, both, either)])
+        self.worth = np.zeros((4, n), np.int64)
+        self.worth[:, order] = sizes
+        code = a[np.searchsorted(end_a, either)] << 32 | b[np.searchsorted(end_b, either)]
+        known, self.pair = np.unique(code, return_inverse=True)
+        self.a, self.b = known >> 32, known & 0xFFFFFFFF
+        self.begin = np.zeros(n, np.int64)
+        self.begin[order] = np.cumsum(sizes[3]) - sizes[3]
+        # text of the groups: A tokens of a group stand before its B tokens
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
+        place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
+        cells = np.zeros(len(a) + len(b), pair.inner.dtype)
+        cells[place_a] = np.where(both[group_a] == end_a, pair.bar[a], pair.inner[a])
+        cells[place_b] = np.where(both[group_b] == end_b, pair.end[b], pair.inner[b])
+        text = cells.tobytes().replace(b"\0", b"")
+        stop = np.cumsum(np.bincount(part(end_a), pair.shown[a], len(order)) + np.bincount(part(end_b), pair.shown[b], len(order))).astype(np.int64).tolist()
+        self.groups, at = [b""] * n, 0
+        for i, to in zip(order.tolist(), stop, strict=True):
+            self.groups[i] = text[at:to]
+            at = to
+
+    @staticmethod
+    def _encoded(items: list[list[int]], parts: list[str], pair: Pair) -> Iterator[tuple[list[int], tuple[list[int], list[int]], bytes]]:
+        texts = [" " + " ".join([parts[i] for i in item]) for item in items]
+        if texts:
+            yield from ((item, tokens, t.encode()) for item, tokens, t in zip(items, pair.encode(texts), texts, strict=True))
 
 
 class Counted(NamedTuple):
-    """Per text: numbers of A tokens, B tokens, groups, links (rows of ``sums``) and whether its bytes differ; distinct pairs of each text as
-    (text, pair, times) sorted by text, pair being an index into ``a`` and ``b``."""
+    """Per text: numbers of A tokens, B tokens, groups, links (rows of ``sums``), whether its bytes differ, and the groups as text; distinct
+    pairs of each text as (text, pair, times) sorted by text, pair being an index into ``a`` and ``b``."""
 
     sums: np.ndarray
     bad: np.ndarray
-    groups: list[str]
+    groups: list[bytes]
     text: np.ndarray
     pair: np.ndarray
     times: np.ndarray
@@ -217,49 +230,44 @@ class Counted(NamedTuple):
     b: np.ndarray
 
 
-def count(texts: list[str], memory: Memory) -> Counted:
+def count(texts: list[str], pair: Pair) -> Counted:
     """Align texts that begin with a space each; an empty text has no tokens."""
-    rows = [list(map(memory.__getitem__, segments(t))) if t else [] for t in texts]
-    memory.learn()
-    n = len(texts)
+    numbers: dict[str, int] = {}
+    rows = []
+    for t in texts:
+        rows.append([numbers.setdefault(p, len(numbers)) for p in segments(t)] if t else [])
+    known = Segments(list(numbers), pair)
+    del numbers
+    n, kinds = len(texts), len(known.groups)
     text = np.repeat(np.arange(n), [len(r) for r in rows])
-    part = np.fromiter((s for r in rows for s in r), np.int64, len(text))
-    worth = np.array(memory.worth, np.int64).reshape(-1, 5)
-    sums = np.stack([np.bincount(text, worth[part, c], n).astype(np.int64) for c in range(5)]) if len(text) else np.zeros((5, n), np.int64)
-    bad = sums[4] > 0
-    sums = np.where(bad, 0, sums[:4])
-    groups = ["" if bad[i] else ";".join([memory.groups[s] for s in row]) for i, row in enumerate(rows)]
-    empty = np.zeros(0, np.int64)
+    part = np.fromiter(chain.from_iterable(rows), np.int64, len(text))
+    bad = np.bincount(text, known.bad[part], n) > 0
+    sums = np.stack([np.where(bad, 0, np.bincount(text, w[part], n).astype(np.int64)) for w in known.worth])
+    groups = [b"" if bad[i] else b"".join([known.groups[p] for p in row])[:-1] for i, row in enumerate(rows)]
+    del rows
     good = ~bad[text]
-    if not good.any():
-        return Counted(sums, bad, groups, empty, empty, empty, empty, empty)
-    key, times = np.unique(text[good] * len(worth) + part[good], return_counts=True)
-    text, part = key // len(worth), key % len(worth)
-    used, at = np.unique(part, return_inverse=True)
-    flat = [memory.links[s] for s in used]
-    size = np.array([len(x) for x in flat])
-    values = np.fromiter((v for x in flat for v in x), np.int64, int(size.sum()))
-    begin = np.cumsum(size) - size
-    length = size[at]
-    where = np.repeat(begin[at] - np.cumsum(length) + length, length) + np.arange(length.sum())
-    pairs = len(memory.pair_of)
-    key, inverse = np.unique(np.repeat(text, length) * pairs + values[where], return_inverse=True)
-    times = np.bincount(inverse, np.repeat(times, length)).astype(np.int64)
-    text, pair = key // pairs, key % pairs
-    known, pair = np.unique(pair, return_inverse=True)
-    codes = np.array(list(memory.pair_of), np.int64).reshape(-1, 2)[known]
-    return Counted(sums, bad, groups, text, pair, times, codes[:, 0], codes[:, 1])
-
-
-_loaded: dict[str, Memory] = {}
-
-
-def _memory(files) -> Memory:
+    key, times = np.unique(text[good] * kinds + part[good], return_counts=True)
+    text, part = key // max(1, kinds), key % max(1, kinds)
+    length = known.worth[3][part]
+    where = np.repeat(known.begin[part] - np.cumsum(length) + length, length) + np.arange(length.sum())
+    pairs = max(1, len(known.a))
+    key, inverse = np.unique(np.repeat(text, length) * pairs + known.pair[where], return_inverse=True)
+    times = np.bincount(inverse, np.repeat(times, length), len(key)).astype(np.int64)
+    text, kind = key // pairs, key % pairs
+    held, kind = np.unique(kind, return_inverse=True)
+    return Counted(sums, bad, groups, text, kind, times, known.a[held], known.b[held])
+
+
+_loaded: dict[str, Pair] = {}
+
+
+def _pair(files) -> Pair:
+    """The two tokenizers, once a worker."""
     spec, model = files.value
     key = hashlib.md5(spec.encode() + model).hexdigest()
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Memory(Pair(spec, model))
+        _loaded[key] = Pair(spec, model)
     return _loaded[key]
 
 
@@ -288,19 +296,18 @@ def _lists(found: Counted, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return [found.pair[s].astype(np.int32) for s in spans], [found.times[s].astype(np.int32) for s in spans]
 
 
-def _digest(groups: str) -> str:
-    return hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+def _digest(groups: bytes) -> str:
+    return hashlib.sha256(groups).hexdigest() if groups else ""
 
 
-def _block(ids: list, texts: list[str], memory: Memory, keep: bool) -> Iterator[pd.DataFrame]:
+def _block(ids: list, texts: list[str], tokenizers: Pair, keep: bool) -> Iterator[pd.DataFrame]:
     """Document rows of a block and one row of its distinct pairs with the documents that hold each."""
-    found = count(texts, memory)
+    found = count(texts, tokenizers)
     pair, times = _lists(found, len(texts))
     name, n = uuid.uuid4().hex, len(texts)
-    memory.trim()
     yield _frame({
         "kind": ["doc"] * n, "block": [name] * n, "doc_id": pd.array(ids, "Int64"), **dict(zip(_SUMS, found.sums, strict=True)),
-        "groups_sha256": [_digest(g) for g in found.groups], **({"groups": found.groups} if keep else {}), "pair": pair, "times": times,
+        "groups_sha256": [_digest(g) for g in found.groups], **({"groups": [g.decode() for g in found.groups]} if keep else {}), "pair": pair, "times": times,
     }, _names(_SPREAD))
     if not len(found.a):
         return
@@ -325,7 +332,7 @@ def _chunks(doc_id, raw: bytes, size: int) -> pd.DataFrame:
 
 def _first_pass(files, chunk: int, block_bytes: int, keep: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = _memory(files)
+        pair = _pair(files)
         ids, texts, held = [], [], 0
         for batch in batches:
             for doc_id, raw in zip(batch["doc_id"].astype("Int64"), as_bytes(batch["text"]), strict=True):
@@ -336,22 +343,21 @@ def _first_pass(files, chunk: int, block_bytes: int, keep: bool):
                 texts.append(" " + raw.decode() if raw else "")
                 held += len(raw)
                 if held >= block_bytes:
-                    yield from _block(ids, texts, memory, keep)
+                    yield from _block(ids, texts, pair, keep)
                     ids, texts, held = [], [], 0
         if ids:
-            yield from _block(ids, texts, memory, keep)
+            yield from _block(ids, texts, pair, keep)
 
     return run
 
 
-def _closed_frame(name: list[str], texts: list[tuple[int, str]], memory: Memory) -> pd.DataFrame:
+def _closed_frame(name: list[str], texts: list[tuple[int, str]], tokenizers: Pair) -> pd.DataFrame:
     """Aligned rows of closed texts (byte offset, text) of the documents ``name``."""
-    found = count([t for _, t in texts], memory)
+    found = count([t for _, t in texts], tokenizers)
     pair, times = _lists(found, len(texts))
-    memory.trim()
     n = len(texts)
     return _frame({
-        "kind": ["closed"] * n, "block": name, **dict(zip(_SUMS, found.sums, strict=True)), "groups": found.groups, "at": [at for at, _ in texts],
+        "kind": ["closed"] * n, "block": name, **dict(zip(_SUMS, found.sums, strict=True)), "groups": [g.decode() for g in found.groups], "at": [at for at, _ in texts],
         "a": [found.a[p].astype(np.int32) for p in pair], "b": [found.b[p].astype(np.int32) for p in pair], "times": times, "parts": found.bad.astype(np.int32),
     }, _names(_STEP))
 
@@ -365,13 +371,13 @@ def _open_frame(name: str, nth: int, x: Fragment) -> pd.DataFrame:
 def _leaves(files):
     """Chunks to fragments; closed text is aligned at once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = _memory(files)
+        pair = _pair(files)
         for batch in batches:
             for name, nth, at, text in zip(batch["block"], batch["nth"], batch["at"], batch["text"], strict=True):
                 x = fragment(text, int(at))
                 yield _open_frame(name, nth, x)
                 if x.closed:
-                    yield _closed_frame([name], list(x.closed), memory)
+                    yield _closed_frame([name], list(x.closed), pair)
 
     return run
 
@@ -387,7 +393,7 @@ def _joined(files, last: bool):
         texts = ended(total) if last else list(total.closed)
         out = [] if last else [_open_frame(name, int(group["nth"].iloc[0]) // FAN, total)]
         if texts:
-            out.append(_closed_frame([name] * len(texts), texts, _memory(files)))
+            out.append(_closed_frame([name] * len(texts), texts, _pair(files)))
         return pd.concat(out, ignore_index=True)
 
     return run
