@@ -30,11 +30,30 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def modest(spark: SparkSession) -> SparkSession:
+    """Let the session hand texts to Python in batches of ``BATCH_BYTES``: rows vary from a word to megabytes, so a count of rows bounds nothing."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Once the table is written, the shuffle files behind it serve nobody and are
+    dropped at the end of the job.
+    """
+    spark, path, drop = df.sparkSession, shared_path(df.sparkSession, label), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(drop, "false")
+    modest(spark).conf.set(drop, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(drop, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slots(spark: SparkSession) -> int:

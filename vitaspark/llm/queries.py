@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vitaspark.llm import alignment, bpe, dart_minhash, decontaminate, exact_dedup, fill_middle, license_scan, quality, sharding, substring_dedup, token_counts, toxicity, url_filter
 
+from vitaspark.llm.common import modest
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return modest(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,9 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, window: int, size: int) -> tupl
     return grams[least[first]], inside[first], np.diff(np.append(first, len(inside)))
 
 
+_KEY = ["no_id", "doc", "mark"]
+
+
 def _order(doc: Column, mark: Column) -> list[Column]:
     """Place of a document in the corpus: by id, rows without one last, rows of one id by the digest of their text."""
     return [doc.isNull().alias("no_id"), F.coalesce(doc, F.lit(0)).alias("doc"), mark.alias("mark")]
@@ -192,13 +195,17 @@ def _passages(window: int):
     """The words of each passage asked for, from whole texts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for no_id, doc, mark, text, asked in zip(batch["no_id"], batch["doc"], batch["mark"], as_bytes(batch["text"]), batch["asked"], strict=True):
+            parts: list[bytes] = []
+            for text, start, windows in zip(as_bytes(batch["text"]), batch["start"], batch["windows"], strict=True):
                 words = text.split()
-                parts = [b" ".join(words[x["start"]:x["start"] + x["windows"] + window - 1]) for x in asked]
-                yield pd.DataFrame({
-                    "no_id": no_id, "doc": doc, "mark": mark, "anchor": [x["anchor"] for x in asked], "start": [x["start"] for x in asked],
-                    "windows": [x["windows"] for x in asked], "digest": [hashlib.blake2b(p, digest_size=16).digest() for p in parts], "words": [p.decode() for p in parts],
-                })
+                joined = b" ".join(words)
+                at = np.cumsum([0] + [len(w) + 1 for w in words])
+                parts += [joined[a:b] for a, b in zip(at[start].tolist(), (at[start + windows + window - 1] - 1).tolist(), strict=True)]
+            each = [len(x) for x in batch["start"]]
+            yield pd.DataFrame({
+                **{c: batch[c].to_numpy().repeat(each) for c in _KEY}, **{c: np.concatenate(batch[c].to_list()) for c in ("anchor", "start", "windows")},
+                "digest": [hashlib.blake2b(p, digest_size=16).digest() for p in parts], "words": [p.decode() for p in parts],
+            })
 
     return run
 
@@ -248,9 +255,6 @@ def _firsts(passages: DataFrame) -> DataFrame:
 _SPAN = ["no_id", "doc", "mark", "start", "windows"]
 
 
-_KEY = ["no_id", "doc", "mark"]
-
-
 def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, crowd: int = CROWD, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(first pass with ``copy``, texts with possible repeats, repeated windows as runs) for rows (doc_id, mark, text).
 
@@ -269,7 +273,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, crowd: in
     asked = runs.join(often, "anchor").groupBy("mark").agg(F.collect_set(F.struct("anchor", "start", "windows")).alias("asked"))
     asked = rows.filter("not copy").select(*_KEY).distinct().join(asked, "mark")
     texts = docs.select(*_order(F.col("doc_id"), F.col("mark")), "text").join(asked, _KEY).dropDuplicates(_KEY)
-    texts = saved(texts, "candidates")
+    texts = saved(texts.select(*_KEY, "text", *[F.col(f"asked.{c}").alias(c) for c in ("anchor", "start", "windows")]), "candidates")
     passages = saved(texts.mapInPandas(_passages(window), _PASSAGE), "passages")
 
     kinds = saved(_firsts(passages), "kinds")
@@ -292,12 +296,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, crowd: in
     return rows, texts, matched.unionByName(later).unionByName(late)
 
 
-def _cover(n: int, spans: list, window: int) -> np.ndarray:
+def _cover(n: int, start: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
     """Which of n words lie in one of the windows."""
-    edge = np.zeros(n + 1, np.int64)
-    for start, windows in spans:
-        edge[start] += 1
-        edge[start + windows + window - 1] -= 1
+    edge = np.bincount(start, minlength=n + 1) - np.bincount(start + windows + window - 1, minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -305,9 +306,9 @@ def _removed(window: int, show: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text, spans in zip(as_bytes(batch["text"]), batch["spans"], strict=True):
+            for text, start, windows in zip(as_bytes(batch["text"]), batch["start"], batch["windows"], strict=True):
                 words = text.split()
-                gone = _cover(len(words), [(x["start"], x["windows"]) for x in spans], window)
+                gone = _cover(len(words), start, windows, window)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 cut = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2).tolist()
                 rows.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if show else None, cut if show else None))
@@ -333,7 +334,8 @@ def dedup_substrings(
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     rows, texts, found = repeats(own, window, size, crowd, shard_words)
     spans = saved(found.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "windows")).alias("spans")), "spans")
-    changed = texts.drop("asked").join(spans, _KEY).mapInPandas(
+    runs = spans.select(*_KEY, "spans.start", "spans.windows")
+    changed = texts.select(*_KEY, "text").join(runs, _KEY).mapInPandas(
         _removed(window, show), "no_id boolean, doc long, mark long, n_removed long, left_sha256 string" + (", kept string, spans array<array<int>>" if show else "")
     )
     whole = F.col("copy") & (F.col("n_words") >= window)
