@@ -29,22 +29,26 @@ def _print(text: str) -> Column:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents predicted as toxic."""
+    common.modest(spark)
     score = toxicity.scorer(spark, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return docs.withColumn("__score", score("text")).filter(F.col("__score") < toxicity.LEAST).drop("__score")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the largest doc_id of each group of equal texts."""
+    common.modest(spark)
     return _without(docs, exact_dedup.exact_duplicates(docs), "text_sha256", F.sha2(common.folded("text"), 256))
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the largest doc_id of each near-duplicate class."""
+    common.modest(spark)
     return _without(docs, dart_minhash.near_classes(docs), "print", _print("text"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold benchmark passages."""
+    common.modest(spark)
     find = decontaminate.finder(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     found = docs.withColumn("__found", find(F.col("text")))
     foul = decontaminate.contaminated(F.col("__found.n_words"), decontaminate.words_hit(F.col("__found.spans")))
@@ -53,6 +57,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the decoded text, a row per document left."""
+    common.modest(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
