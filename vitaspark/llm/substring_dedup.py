@@ -270,14 +270,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR, crowd: in
     # an anchor that occurs at one place of one text, in however many copies of it, repeats nothing
     where = F.xxhash64("mark", "start")
     often = runs.groupBy("anchor").agg(F.min(where).alias("low"), F.max(where).alias("high")).filter("low <> high").select("anchor")
+    often = saved(often, "often")  # a table of its own, so that Spark can split the join below where an anchor is hot
     asked = runs.join(often, "anchor").groupBy("mark").agg(F.collect_set(F.struct("anchor", "start", "windows")).alias("asked"))
     asked = rows.filter("not copy").select(*_KEY).distinct().join(asked, "mark")
     texts = docs.select(*_order(F.col("doc_id"), F.col("mark")), "text").join(asked, _KEY).dropDuplicates(_KEY)
     texts = saved(texts.select(*_KEY, "text", *[F.col(f"asked.{c}").alias(c) for c in ("anchor", "start", "windows")]), "candidates")
-    passages = saved(texts.mapInPandas(_passages(window), _PASSAGE), "passages")
-
+    passages = texts.mapInPandas(_passages(window), _PASSAGE)
     kinds = saved(_firsts(passages), "kinds")
     at = ["digest", "no_id", "doc", "mark", "start"]
+    # places come from a second pass over the texts, which costs less than a table of all passages with their words
     later = passages.select("digest", *_SPAN).join(kinds.select("digest", *[F.col(c).alias(f"f_{c}") for c in at[1:]]), "digest").filter(
         " or ".join(f"{c} <> f_{c}" for c in at[1:])
     ).select(*_SPAN)
