@@ -1,6 +1,7 @@
 """Vector and text retrieval against brute force."""
 
 import math
+import pytest
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -132,3 +133,27 @@ def test_vectors_left_out_are_named(spark):
 
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, [0.0, 0.0])], "resume_id long, embedding array<float>")
     assert {r.resume_id: r.error for r in vector_rejects(rows, 2).collect()} == {2: "length 1", 3: "no vector", 4: "zero vector"}
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_best_scores_hold_the_best_of_all_pairs(spark, k):
+    import random
+
+    from vitaspark.functions.lexicon import TEXT_BEST_FIELDS, TEXT_EXACT_BOOSTS
+    from vitaspark.operators import lexical as L
+    from vitaspark.operators.vector_search import top_per_job
+
+    rng = random.Random(k)
+    fields = sorted(set(TEXT_EXACT_BOOSTS) | set(TEXT_BEST_FIELDS))
+    common, rare = [f"word{i}" for i in range(6)], [f"rare{i}x" for i in range(60)]
+    text = lambda: " ".join(rng.choices(common, k=8) + rng.sample(rare, 2))
+    docs = spark.createDataFrame([(f"r{i:03d}", *[text() for _ in fields]) for i in range(150)], ["resume_id", *fields])
+    jobs = spark.createDataFrame([(i, text(), k) for i in range(5)], "jd_id long, text string, k int")
+    ask = lambda **more: L.text_scores(jobs, F.col("text"), docs, exact_boosts=TEXT_EXACT_BOOSTS, best_fields=TEXT_BEST_FIELDS, **more)
+    limits = jobs.select("jd_id", "k")
+    best = lambda scored: sorted(tuple(r) for r in top_per_job(scored.join(limits, "jd_id"), F.col("k"), "raw_score").select("jd_id", "resume_id", F.round("raw_score", 6), "rank").collect())
+    everything, pruned = ask(), ask(limits=limits)
+    assert best(pruned) == best(everything)
+    assert pruned.count() <= everything.count()
+    if k == 1:
+        assert pruned.count() < everything.count() / 2  # pairs that can't win are never scored

@@ -56,12 +56,13 @@ def resolve_index_rows(incoming: DataFrame, index: DataFrame, contacts: DataFram
     )
 
 
-def components(df: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(df: DataFrame) -> DataFrame:
     """(resume_id, component): smallest id reachable over shared e-mails and phones.
 
     Labels travel from rows to contact keys and back, with a pointer jump per
     round. A key held by very many rows takes part as one aggregated minimum,
-    pairs inside a group never exist. Every round is checkpointed.
+    pairs inside a group never exist. Every round is checkpointed, and rounds
+    go on until no label changes.
     """
     keyed = with_keys(df)
     edges = stable(
@@ -74,7 +75,7 @@ def components(df: DataFrame, max_rounds: int = 60) -> DataFrame:
         ).distinct()
     )
     labels = stable(keyed.select("resume_id", F.col("resume_id").alias("component")).distinct())
-    for _ in range(max_rounds):
+    while True:
         by_key = edges.join(labels, "resume_id").groupBy("key").agg(F.min("component").alias("low"))
         by_row = lookup(edges, by_key, "key", how="inner").groupBy("resume_id").agg(F.min("low").alias("low"))
         lower = labels.join(by_row, "resume_id", "left").select(
@@ -85,7 +86,6 @@ def components(df: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = moved.select("resume_id", "component")
         if moved.filter("old <> component").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:

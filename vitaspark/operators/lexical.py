@@ -16,13 +16,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import BM25_B, BM25_K1, TIE_BREAKER
 from ..functions.text import phrase_key, tokens
 from ..plans.sizing import checked_broadcast
 from ..session import ensure_checkpoint_dir
+from .vector_search import top_per_job
 
 
 def field_tokens(docs: DataFrame, fields: list[str], key: str = "resume_id") -> DataFrame:
@@ -275,13 +276,118 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Documents per result asked for whose best terms set a job's first floor.
+SEEDS = 20
+#: Share of the floor that terms which open no pairs may add; the rest is what a pair must reach without them.
+SHARE = 0.5
+#: Scores are cut to nine digits; bounds allow for more than that.
+SLACK = 1e-6
+
+
+def unit_worths(evidence: DataFrame, weights: DataFrame, key: str = "resume_id") -> DataFrame:
+    """(document, field, term, worth): what a wanted term is worth in a document to a job that asks for it once."""
+    terms = checked_broadcast(weights.groupBy("field", "term").agg(F.max("idf").alias("idf"), F.max("avg_len").alias("avg_len")))
+    counted = (
+        evidence.join(terms, ["field", "term"]).groupBy(key, "field", "term", "len", "idf", "avg_len")
+        .agg(F.count("*").alias("tf"), F.max("value").alias("value"))
+    )
+    tf = F.col("tf")
+    saturated = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len")))
+    return counted.select(key, "field", "term", F.coalesce("value", F.col("idf") * saturated).alias("worth"))
+
+
+def _sums(worths: DataFrame, weights: DataFrame, key: str) -> DataFrame:
+    asked = checked_broadcast(weights.select("jd_id", "field", "term", "exact", "near"))
+    return worths.join(asked, ["field", "term"]).groupBy(key, "jd_id", "field").agg(
+        F.sum(F.col("worth") * F.col("exact")).alias("exact"), F.sum(F.col("worth") * F.col("near")).alias("near")
+    )
+
+
+def term_bounds(worths: DataFrame, weights: DataFrame, limits: DataFrame, exact_boosts: dict[str, float], best_fields: dict[str, float], always: str) -> DataFrame:
+    """Weights with ``bound``, the most a term adds to any document, and ``seed``, whether it helps to find a job's first floor.
+
+    Seeds are the terms of the largest bounds until their postings would fill
+    the results several times. Terms of field ``always`` are seeds whatever
+    their bound, as their worth may be negative.
+    """
+    largest = worths.groupBy("field", "term").agg(F.max("worth").alias("most"), F.count("*").alias("held"))
+    boost = _boost(exact_boosts or {"": 0.0}, F.col("exact")) + _boost(best_fields or {"": 0.0}, F.col("near"))
+    bounded = weights.join(checked_broadcast(largest), ["field", "term"]).withColumn("bound", F.greatest(F.col("most"), F.lit(0.0)) * boost)
+    earlier = Window.partitionBy("jd_id").orderBy(F.desc("bound"), "field", "term").rowsBetween(Window.unboundedPreceding, -1)
+    sure = F.col("field") == always
+    return bounded.join(limits, "jd_id").withColumn("seed", sure | (F.coalesce(F.sum("held").over(earlier), F.lit(0)) < SEEDS * F.col("k"))).select(
+        "jd_id", "field", "term", "exact", "near", "bound", "held", "seed", sure.alias("sure")
+    )
+
+
+def split_terms(bounds: DataFrame, floors: DataFrame) -> DataFrame:
+    """Bounds with ``floor``, ``essential`` and ``rest``.
+
+    Terms of a job whose bounds together stay below its floor are not
+    essential: a document that holds no other can't be among its best. Any such
+    set will do, so the floor is spent on the terms with the most postings for
+    their bound. ``rest`` is what they can add at most.
+    """
+    upto = Window.partitionBy("jd_id").orderBy("sure", F.col("bound") / F.col("held"), "field", "term").rowsBetween(Window.unboundedPreceding, 0)
+    job = Window.partitionBy("jd_id")
+    known = bounds.join(floors, "jd_id", "left")
+    essential = F.col("sure") | F.coalesce(F.sum("bound").over(upto) >= F.col("floor") * SHARE - SLACK, F.lit(True))
+    return known.withColumn("essential", essential).withColumn("rest", F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("bound"))).over(job))
+
+
+def contenders(worths: DataFrame, terms: DataFrame, exact_boosts: dict[str, float], best_fields: dict[str, float], key: str = "resume_id") -> DataFrame:
+    """(job, document, parts): pairs whose essential terms and the rest together can reach the floor; ``parts`` are their field sums so far."""
+    best = _boost(best_fields, F.col("near")) if best_fields else F.lit(0.0)
+    exact = _boost(exact_boosts, F.col("exact")) if exact_boosts else F.lit(0.0)
+    pairs = _sums(worths, terms.filter("essential"), key).groupBy(key, "jd_id").agg(
+        F.sum(exact).alias("clauses"), F.max(best).alias("top"), F.sum(best).alias("total"), F.collect_list(F.struct("field", "exact", "near")).alias("parts")
+    )
+    jobs = checked_broadcast(terms.select("jd_id", "floor", "rest").distinct())
+    reached = F.col("clauses") + F.col("top") + (F.col("total") - F.col("top")) * TIE_BREAKER + F.col("rest")
+    return pairs.join(jobs, "jd_id").filter(F.col("floor").isNull() | (reached >= F.col("floor") - SLACK)).select("jd_id", key, "parts")
+
+
+def best_scores(
+    evidence: DataFrame, weights: DataFrame, limits: DataFrame, exact_boosts: dict[str, float], best_fields: dict[str, float], key: str = "resume_id", always: str = "vector",
+) -> DataFrame:
+    """(jd_id, document, raw_score) of all pairs that can be among the ``k`` best of their job (``limits``: jd_id, k), with the scores of :func:`combine_fields`.
+
+    MaxScore (Turtle and Flood 1995) as joins. A few strong terms of each job
+    find k documents, whose whole scores give a floor that its k-th best score
+    can't fall below. Then only essential
+    terms open pairs, pairs that can't reach the floor drop out, and the frequent
+    weak terms are looked up for the pairs that are left.
+    """
+    worths = stable(unit_worths(evidence, weights, key))
+    bounds = stable(term_bounds(worths, weights, limits, exact_boosts, best_fields, always))
+    first = combine_fields(_sums(worths, bounds.filter("seed"), key), exact_boosts, best_fields, key)
+    lowest = top_per_job(first.join(limits, "jd_id"), F.col("k"), "raw_score", item=key)
+    sums = lowest.select("jd_id", key).join(worths, key).join(checked_broadcast(weights), ["jd_id", "field", "term"]).groupBy(key, "jd_id", "field").agg(
+        F.sum(F.col("worth") * F.col("exact")).alias("exact"), F.sum(F.col("worth") * F.col("near")).alias("near")
+    )
+    whole = combine_fields(sums, exact_boosts, best_fields, key)
+    floors = whole.join(limits, "jd_id").groupBy("jd_id").agg(F.min("raw_score").alias("floor"), F.count("*").alias("n"), F.max("k").alias("k")).filter("n >= k")
+    floors = floors.select("jd_id", "floor")
+    terms = stable(split_terms(bounds, floors))
+    left = stable(contenders(worths, terms, exact_boosts, best_fields, key))
+    weak = checked_broadcast(terms.filter("not essential").select("jd_id", "field", "term", F.col("exact").alias("e"), F.col("near").alias("n")))
+    frequent = worths.join(checked_broadcast(weak.select("field", "term").distinct()), ["field", "term"], "left_semi")
+    more = left.select("jd_id", key).join(frequent, key).join(weak, ["jd_id", "field", "term"]).groupBy(key, "jd_id", "field").agg(
+        F.sum(F.col("worth") * F.col("e")).alias("exact"), F.sum(F.col("worth") * F.col("n")).alias("near")
+    )
+    sums = left.select("jd_id", key, F.inline("parts")).unionByName(more).groupBy(key, "jd_id", "field").agg(F.sum("exact").alias("exact"), F.sum("near").alias("near"))
+    return combine_fields(sums, exact_boosts, best_fields, key)
+
+
 def text_scores(
     jobs: DataFrame, query: Column, docs: DataFrame, *, exact_boosts: dict[str, float], best_fields: dict[str, float],
-    fuzzy: bool = True, key: str = "resume_id",
+    fuzzy: bool = True, key: str = "resume_id", limits: DataFrame | None = None,
 ) -> DataFrame:
-    """(jd_id, resume_id, raw_score) of every document matching at least one clause."""
+    """(jd_id, resume_id, raw_score) of every document matching at least one clause; with ``limits`` of those that can be among the k best."""
     fields = sorted(set(exact_boosts) | set(best_fields))
     weights = stable(term_weights(query_terms(jobs, query), docs, fields, fuzzy=fuzzy, key=key))
+    if limits is not None:
+        return best_scores(text_evidence(docs, fields, key), weights, limits, exact_boosts, best_fields, key)
     return combine_fields(field_scores(text_evidence(docs, fields, key), weights, key), exact_boosts, best_fields, key)
 
 
@@ -294,7 +400,7 @@ def key_terms(skills: Column, title: Column | None = None) -> Column:
 
 def hybrid_scores(
     jobs: DataFrame, query: Column, terms: Column, docs: DataFrame, nearest: DataFrame, *,
-    best_fields: dict[str, float], vector_boost: float, phrase_boost: float, fuzzy: bool = True, key: str = "resume_id",
+    best_fields: dict[str, float], vector_boost: float, phrase_boost: float, fuzzy: bool = True, key: str = "resume_id", limits: DataFrame | None = None,
 ) -> DataFrame:
     """(jd_id, resume_id, raw_score): vector hits, best-fields text and skill phrases in one pass.
 
@@ -310,6 +416,7 @@ def hybrid_scores(
     evidence = (
         text_evidence(docs, fields, key).unionByName(phrase_evidence(docs, key)).unionByName(vector_evidence(nearest, key))
     )
-    return combine_fields(
-        field_scores(evidence, weights, key), {"vector": vector_boost, "phrase": phrase_boost}, best_fields, key
-    )
+    boosts = {"vector": vector_boost, "phrase": phrase_boost}
+    if limits is not None:
+        return best_scores(evidence, weights, limits, boosts, best_fields, key)
+    return combine_fields(field_scores(evidence, weights, key), boosts, best_fields, key)
