@@ -15,14 +15,23 @@ from ..sources.stores import SnapshotTable
 FILES_PER_BATCH = 25
 
 
-def run_available(source: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Work through what is there in micro-batches, then stop."""
+def run_available(source: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Work through what is there in micro-batches, then stop. ``mode``: what a stateful source hands on per batch."""
     query = (
-        source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        source.writeStream.outputMode(mode).foreachBatch(each)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
+def _batch_folder(root: str) -> Callable[[DataFrame, int], None]:
+    """Write each batch to a folder of its own; a batch that is run again replaces just that folder."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return each
+
+
 def new_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_batch: int = FILES_PER_BATCH) -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", per_batch).load(path)
 
@@ -35,21 +44,20 @@ def ingest_stream(source: DataFrame, root: str) -> None:
     run_available(source, each, f"{root}/_stream")
 
 
-def distinct_stream(source: DataFrame, key: Column, order: str, root: str) -> None:
-    """Keep one record per content key over all batches, the first by ``order`` within a batch."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        table = SnapshotTable(batch.sparkSession, f"{root}/distinct")
-        done = [v for v in table.versions() if v < batch_id]
-        keyed = batch.withColumn("content_key", key)
-        others = [c for c in keyed.columns if c != "content_key"]
-        firsts = keyed.groupBy("content_key").agg(F.min_by(F.struct(*others), order).alias("r")).select("content_key", "r.*")
-        if not done:
-            table.write(firsts, batch_id)
-            return
-        seen = table.read(done[-1])
-        table.write(seen.unionByName(firsts.join(seen.select("content_key"), "content_key", "left_anti")), batch_id)
+def distinct_stream(source: DataFrame, key: Column, root: str) -> None:
+    """Exactly one record per content key over all batches.
+
+    The keys seen are Spark's keyed streaming state, so a batch's work follows its own rows and not
+    what was kept before; no stored record is read or written again. The record kept comes from the
+    first batch that holds the key (any one of that batch's rows with it); a NULL key is a key like others.
+    """
+    firsts = source.withColumn("content_key", key).dropDuplicates(["content_key"])
+    run_available(firsts, _batch_folder(f"{root}/distinct"), f"{root}/_stream")
 
-    run_available(source, each, f"{root}/_stream")
+
+def distinct_records(spark: SparkSession, root: str) -> DataFrame:
+    """What :func:`distinct_stream` kept so far."""
+    return spark.read.parquet(f"{root}/distinct").drop("batch")
 
 
 def score_stream(source: DataFrame, jobs: DataFrame, dim: int, k: int, root: str) -> None:
@@ -66,17 +74,16 @@ def score_stream(source: DataFrame, jobs: DataFrame, dim: int, k: int, root: str
 
 
 def metrics_stream(source: DataFrame, ok: Column, store: str, root: str) -> None:
-    """Append each batch's outcome per store under its batch id."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        counts = ingest_summary(batch, ok, store).drop("success_rate")
-        counts.write.mode("overwrite").parquet(f"{root}/metrics/batch={batch_id}")
-
-    run_available(source, each, f"{root}/_stream")
-
-
-def running_metrics(spark: SparkSession, root: str, store: str) -> DataFrame:
-    """Totals over the batches so far."""
-    sums = spark.read.parquet(f"{root}/metrics").groupBy(store).agg(*[F.sum(c).alias(c) for c in ("total", "succeeded", "failed")])
-    return sums.withColumn("success_rate", F.round(F.col("succeeded") * 100.0 / F.col("total"), 1))
-
-
+    """Running totals per store as a stateful aggregation; a batch hands on the totals of the stores it touched."""
+    totals = ingest_summary(source, ok, store).drop("success_rate")
+    run_available(totals, _batch_folder(f"{root}/metrics"), f"{root}/_stream", "update")
+
+
+def running_metrics(spark: SparkSession, root: str, store: str, batch: int | None = None) -> DataFrame:
+    """Totals per store after ``batch``, by default after the last one."""
+    log = spark.read.parquet(f"{root}/metrics")
+    if batch is not None:
+        log = log.filter(F.col("batch") <= batch)
+    counts = ("total", "succeeded", "failed")
+    last = log.groupBy(store).agg(F.max_by(F.struct(*counts), "batch").alias("r")).select(store, "r.*")
+    return last.withColumn("success_rate", F.round(F.col("succeeded") * 100.0 / F.col("total"), 1))
