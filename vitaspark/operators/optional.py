@@ -85,6 +85,37 @@ def multi_job_candidates(results: DataFrame, at_least: int = 2) -> DataFrame:
     return results.select("resume_id", "jd_id").distinct().join(counts, "resume_id").select("resume_id", "jobs", "jd_id")
 
 
+def skill_pools(people: DataFrame, key: str, skills: str) -> DataFrame:
+    """(skill, bucket, members): who holds each skill, as one bitmap per skill and 32,768 ids.
+
+    ``key`` holds whole numbers. Bitmaps combine before the shuffle, so a skill that
+    everybody holds sends one bitmap per task and bucket. NULL ids and skills are in no pool.
+    """
+    rows = people.select(F.col(key).cast("bigint").alias("k"), F.explode(skills).alias("s")).filter("k is not null and s is not null")
+    return (
+        rows.groupBy(F.lower("s").alias("skill"), F.bitmap_bucket_number("k").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("members"))
+    )
+
+
+def pool_sizes(wishes: DataFrame, pools: DataFrame, key: str, skills: str) -> DataFrame:
+    """(key, wanted, holders, with_any): people who hold all of a row's skills, and any of them.
+
+    Counts come from intersected and united bitmaps; no list of people is built. A row
+    without skills has no pool and gives zeros.
+    """
+    wanted = wishes.select(key, F.array_distinct(F.transform(F.array_compact(F.coalesce(skills, F.array())), F.lower)).alias("w"))
+    hits = wanted.select(key, F.size("w").alias("n"), F.explode("w").alias("skill")).join(pools, "skill")
+    per_bucket = hits.groupBy(key, "n", "bucket").agg(
+        F.count("*").alias("pools"), F.bitmap_count(F.bitmap_and_agg("members")).alias("every"), F.bitmap_count(F.bitmap_or_agg("members")).alias("any")
+    )
+    counted = per_bucket.groupBy(key).agg(F.sum(F.when(F.col("pools") == F.col("n"), F.col("every")).otherwise(0)).alias("h"), F.sum("any").alias("a"))
+    zero = F.lit(0).cast("bigint")
+    return wanted.join(counted, key, "left").select(
+        key, F.size("w").cast("bigint").alias("wanted"), F.coalesce("h", zero).alias("holders"), F.coalesce("a", zero).alias("with_any")
+    )
+
+
 def weight_grid(components: DataFrame, weights: DataFrame) -> DataFrame:
     """Total per weight set. The caller's sets ride along as one array, so no pair join is needed."""
     columns = ["name", "w_search", "w_skill", "w_position", "w_experience"]
@@ -121,15 +152,48 @@ def quantize(vector: Column) -> Column:
     return F.transform(doubles, lambda x: F.rint(x / top * 127).cast("tinyint"))
 
 
+#: Most held skills whose counts set the first floor of every missing skill.
+FLOOR_SKILLS = 8
+
+
+def related_floors(skills: DataFrame, gaps: DataFrame, top: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(skill, floor) and (related, held): counts that a pair must and can reach.
+
+    Two skills are held together at most as often as the rarer one is held. The counts with the few
+    most held skills are exact, so the ``top``-th best of them is a floor of the answer; a skill held
+    less often than that can't be among the best.
+    """
+    held = skills.groupBy(F.col("skill").alias("related")).agg(F.count("*").alias("held"))
+    seeds = held.orderBy(F.desc("held"), "related").limit(max(FLOOR_SKILLS, top + 1)).select("related")
+    counts = _together(skills.join(gaps.select("skill"), "skill", "left_semi"), skills.withColumnRenamed("skill", "related").join(F.broadcast(seeds), "related", "left_semi"))
+    nth = F.row_number().over(Window.partitionBy("skill").orderBy(F.desc("together"), "related"))
+    floors = counts.withColumn("n", nth).filter(F.col("n") == top).select("skill", F.col("together").alias("floor"))
+    return gaps.select("skill").distinct().join(floors, "skill", "left").fillna(1, ["floor"]), held
+
+
+def related_pairs(skills: DataFrame, gaps: DataFrame, top: int = 3) -> DataFrame:
+    """(resume_id, skill, related) rows that may matter for the ``top`` most related skills."""
+    floors, held = related_floors(skills, gaps, top)
+    owners = skills.join(floors, "skill")
+    others = skills.withColumnRenamed("skill", "related").join(held, "related")
+    # the bound is part of the join condition: pairs below it never become rows
+    joined = owners.alias("o").join(others.alias("r"), (F.col("o.resume_id") == F.col("r.resume_id")) & (F.col("held") >= F.col("floor")) & (F.col("skill") != F.col("related")))
+    return joined.select("o.resume_id", "skill", "related")
+
+
+def _together(owners: DataFrame, others: DataFrame) -> DataFrame:
+    pairs = owners.select("resume_id", "skill").join(others.select("resume_id", "related"), "resume_id").filter("skill <> related")
+    return pairs.groupBy("skill", "related").agg(F.count("*").alias("together"))
+
+
 def related_skills(skills: DataFrame, gaps: DataFrame, top: int = 3) -> DataFrame:
     """Skills most often held together with each missing skill.
 
-    ``skills``: (resume_id, skill) rows, ``gaps``: distinct (skill). Only rows of
-    candidates who hold a missing skill are paired, within one candidate each.
+    ``skills``: distinct (resume_id, skill) rows, ``gaps``: distinct (skill). Only rows of
+    candidates who hold a missing skill are paired, within one candidate each, and only
+    with skills held often enough to be among the best.
     """
-    owners = skills.join(gaps.select("skill"), "skill", "left_semi")
-    pairs = owners.join(skills.select("resume_id", F.col("skill").alias("related")), "resume_id").filter("skill <> related")
-    counts = pairs.groupBy("skill", "related").agg(F.count("*").alias("together"))
+    counts = related_pairs(skills, gaps, top).groupBy("skill", "related").agg(F.count("*").alias("together"))
     order = Window.partitionBy("skill").orderBy(F.desc("together"), "related")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 

@@ -193,8 +193,8 @@ def st1(spark, sf):
 @query("st2", "SELECT md5(text) AS content_key, length(any_value(text)) AS chars FROM documents GROUP BY 1")
 def st2(spark, sf):
     root, path = _landing(spark, table(spark, sf, "documents").select("doc_id", "text"), 3)
-    ST.distinct_stream(ST.new_files(spark, path, "doc_id BIGINT, text STRING", per_batch=1), F.md5("text"), "doc_id", root)
-    return SnapshotTable(spark, f"{root}/distinct").read().select("content_key", F.length("text").cast("bigint").alias("chars"))
+    ST.distinct_stream(ST.new_files(spark, path, "doc_id BIGINT, text STRING", per_batch=1), F.md5("text"), root)
+    return ST.distinct_records(spark, root).select("content_key", F.length("text").cast("bigint").alias("chars"))
 
 
 @query("st3", f"{O.BASE},\n{O.COSINE_SQL} SELECT jd_id, resume_id, round(cosine, 4) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY cosine DESC, resume_id) rn FROM sims) WHERE rn <= 20")
@@ -327,6 +327,15 @@ def k12(spark, sf):
     return P.multi_job_candidates(L.stable(_vpool(spark, sf)))
 
 
+@query("k12_pools", f"""{O.BASE}, s AS (SELECT DISTINCT resume_id, lower(sk) AS skill FROM (SELECT resume_id, unnest(skills) AS sk FROM cand)),
+  w AS (SELECT DISTINCT jd_id, lower(sk) AS skill FROM (SELECT jd_id, unnest(required_skills) AS sk FROM jobs)), n AS (SELECT jd_id, count(*) AS wanted FROM w GROUP BY 1),
+  h AS (SELECT jd_id, resume_id, count(*) AS held FROM w JOIN s USING (skill) GROUP BY ALL)
+  SELECT jd_id, wanted, count(resume_id) FILTER (held = wanted) AS holders, count(resume_id) AS with_any FROM n LEFT JOIN h USING (jd_id) GROUP BY ALL""")
+def k12_pools(spark, sf):
+    pools = P.skill_pools(candidates(spark, sf), "resume_id", "skills")
+    return P.pool_sizes(jobs(spark, sf), pools, "jd_id", "required_skills")
+
+
 @query("k13", """WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(CAST(ceil(len(w) / 512.0) AS BIGINT), 1))) AS chunk FROM w)
   SELECT doc_id, CAST(chunk AS INT) AS chunk, md5(array_to_string(w[chunk * 512 + 1:chunk * 512 + 512], ' ')) AS chunk_md5 FROM c""")
 def k13(spark, sf):
