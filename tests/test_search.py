@@ -38,6 +38,50 @@ def test_top_k_both_ways(spark):
         assert got == expected
 
 
+def test_floor_applies_before_the_cut(spark):
+    rng = np.random.default_rng(7)
+    jobs = [(j, [float(x) for x in rng.integers(-3, 4, 6)], need) for j, need in enumerate([0.0, 3.0, 9.0, 50.0, None])]
+    items = [(i, [float(x) for x in rng.integers(-3, 4, 6)], None if i % 11 == 0 else float(i % 12)) for i in range(200)]
+    got = {}
+    top = cosine_top_k(
+        spark.createDataFrame(jobs, "jd_id BIGINT, embedding ARRAY<FLOAT>, need DOUBLE"),
+        spark.createDataFrame(items, "resume_id BIGINT, embedding ARRAY<FLOAT>, years DOUBLE").repartition(3), 5, dim=6, least=("need", "years"),
+    )
+    for row in top.orderBy("jd_id", "rank").collect():
+        got.setdefault(row["jd_id"], []).append(row["resume_id"])
+    want = {}
+    for j, a, need in jobs:
+        sims = [
+            (-round(float(np.dot(a, b) / math.sqrt(np.dot(a, a) * np.dot(b, b))), 9), i)
+            for i, b, years in items if any(a) and any(b) and years is not None and need is not None and years >= need
+        ]
+        if sims:
+            want[j] = [i for _, i in sorted(sims)[:5]]
+    assert got == want and {0, 1, 2} <= set(want) and 3 not in want
+
+
+def test_prefiltered_pools_hold_the_fitting_pairs(spark):
+    import __spark_entry__  # noqa: F401
+    from workload.roles import DIM, candidates, jobs
+
+    sf = "/root/testdata/sf0.001"
+    few = jobs(spark, sf).filter("jd_id % 4 = 1").withColumn("max_results", F.lit(100))
+    docs = candidates(spark, sf).cache()
+    # the pool of 300 holds every candidate, so both orders of cut and filter must agree
+    assert docs.count() <= 300
+    whole = M.hybrid_pool(few, docs, DIM).join(docs.select("resume_id", "total_experience"), "resume_id").join(few.select("jd_id", "required_experience"), "jd_id")
+    pick = ["jd_id", "resume_id", F.round("raw_score", 6)]
+    got = {tuple(r) for r in M.hybrid_pool(few, docs, DIM, prefilter=True).select(*pick).collect()}
+    assert got == {tuple(r) for r in whole.filter("total_experience >= required_experience").select(*pick).collect()} and got
+
+
+def test_rejected_jobs(spark):
+    rows = [(1, "a long enough text"), (2, "  short  "), (3, ""), (4, None), (5, "          "), (6, "ten chars!")]
+    kept, left = M.split_jobs(spark.createDataFrame(rows, "jd_id BIGINT, text STRING"))
+    assert sorted(r["jd_id"] for r in kept.collect()) == [1, 6]
+    assert sorted((r["jd_id"], r["error"].split()[0]) for r in left.collect()) == [(2, "job"), (3, "empty"), (4, "empty"), (5, "empty")]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -78,7 +78,7 @@ def _schema(jobs: DataFrame, items: DataFrame) -> T.StructType:
     ])
 
 
-def _pass_scores(jobs: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def _pass_scores(jobs: DataFrame, items: DataFrame, k: int, bounded: bool) -> DataFrame:
     """Partial top-k per task for the jobs of one pass, whose number was checked.
 
     A task holds the jobs' vectors, k scores and ids per job, and one block of
@@ -91,6 +91,8 @@ def _pass_scores(jobs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     shared = items.sparkSession.sparkContext.broadcast(
         _unit_rows(vectors.flatten().to_numpy(zero_copy_only=False), dim) if dim else None
     )
+    # jobs with a floor see only the items that reach it; NULL reaches nothing
+    floors = table.column("floor").to_numpy().astype(float) if bounded else None
     schema = _schema(jobs, items)
     names = [f.name for f in schema]
     job_type = table.schema.field("jd_id").type
@@ -107,11 +109,15 @@ def _pass_scores(jobs: DataFrame, items: DataFrame, k: int) -> DataFrame:
             id_type, ids = id_array.type, id_array.to_numpy(zero_copy_only=False)
             which = np.full((len(matrix), k), ids[0], ids.dtype) if which is None else which
             rows = _unit_rows(batch.column("embedding").flatten().to_numpy(zero_copy_only=False), matrix.shape[1])
+            reach = batch.column("reach").to_numpy(zero_copy_only=False).astype(float) if bounded else None
             for at in range(0, len(rows), ITEM_TILE):
                 item = slice(at, at + ITEM_TILE)
                 for first in range(0, len(matrix), JOB_TILE):
                     job = slice(first, first + JOB_TILE)
-                    best[job], which[job] = _merged(best[job], which[job], _similarities(matrix[job], rows[item]), ids[item], k)
+                    cosines = _similarities(matrix[job], rows[item])
+                    if bounded:
+                        cosines = np.where(reach[item][None, :] >= floors[job][:, None], cosines, -np.inf)
+                    best[job], which[job] = _merged(best[job], which[job], cosines, ids[item], k)
         if which is None:
             return
         for first in range(0, len(matrix), JOB_TILE):
@@ -134,18 +140,22 @@ def vector_rejects(rows: DataFrame, dim: int, key: str = "resume_id") -> DataFra
     return rows.select(key, wrong.alias("error")).filter("error is not null")
 
 
-def cosine_top_k(jobs: DataFrame, items: DataFrame, k: int, *, dim: int, max_job_cells: int = MAX_JOB_CELLS) -> DataFrame:
+def cosine_top_k(
+    jobs: DataFrame, items: DataFrame, k: int, *, dim: int, max_job_cells: int = MAX_JOB_CELLS, least: tuple[str, str] | None = None
+) -> DataFrame:
     """(jd_id, resume_id, cosine, rank) of the k nearest candidates per job.
 
     ``jobs`` and ``items`` carry ``embedding`` of length ``dim``; rows that
     :func:`vector_rejects` names take no part. Candidates are never shuffled or
     copied: jobs travel to them as one matrix, in as many passes over the
-    candidates as its bounded size needs.
+    candidates as its bounded size needs. ``least``: a job column and an item
+    column; items below the job's value are left out before the k best are taken.
     """
     usable = is_usable(F.col("embedding")) & (F.size("embedding") == dim)
-    jobs = jobs.select("jd_id", "embedding").filter(usable)
-    items = items.select("resume_id", "embedding").filter(usable)
+    bounds = [[F.col(name).cast("double").alias(alias)] for name, alias in zip(least, ("floor", "reach"))] if least else [[], []]
+    jobs = jobs.filter(usable).select("jd_id", "embedding", *bounds[0])
+    items = items.filter(usable).select("resume_id", "embedding", *bounds[1])
     passes = -(-jobs.count() // max(1, max_job_cells // max(dim, k)))
     part = F.pmod(F.xxhash64("jd_id"), F.lit(max(passes, 1)))
-    partial = reduce(DataFrame.unionByName, [_pass_scores(jobs.filter(part == p), items, k) for p in range(max(passes, 1))])
+    partial = reduce(DataFrame.unionByName, [_pass_scores(jobs.filter(part == p), items, k, least is not None) for p in range(max(passes, 1))])
     return top_per_job(partial, k, "cosine")

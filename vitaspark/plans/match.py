@@ -38,12 +38,24 @@ def focused_query() -> Column:
     return F.when(F.size(parts) >= 3, F.array_join(parts, "\n")).otherwise(F.col("text"))
 
 
-def text_search(jobs: DataFrame, docs: DataFrame, query: Column | None = None) -> DataFrame:
+#: Columns that a prefiltered search compares: what the job needs and what the candidate has.
+LEAST = ("required_experience", "total_experience")
+
+
+def _eligible(scored: DataFrame, jobs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Scored pairs whose candidate has the experience the job needs."""
+    need, have = jobs.select("jd_id", LEAST[0]), docs.select("resume_id", LEAST[1])
+    return _fitting(scored.join(have, "resume_id").join(need, "jd_id")).drop(*LEAST)
+
+
+def text_search(jobs: DataFrame, docs: DataFrame, query: Column | None = None, prefilter: bool = False) -> DataFrame:
     """(jd_id, resume_id, raw_score, score): weighted text search, best ``max_results`` per job."""
     scored = L.text_scores(
         jobs, F.col("text") if query is None else query, docs,
         exact_boosts=TEXT_EXACT_BOOSTS, best_fields=TEXT_BEST_FIELDS,
     )
+    if prefilter:
+        scored = _eligible(scored, jobs, docs)
     return _cut(scored, jobs).withColumn("score", S.max_percent(F.col("raw_score"), "jd_id"))
 
 
@@ -52,40 +64,48 @@ def _cut(scored: DataFrame, jobs: DataFrame, score: str = "raw_score") -> DataFr
     return top_per_job(scored.join(limits, "jd_id"), F.col("k"), score).drop("rank", "k")
 
 
-def vector_pool(jobs: DataFrame, docs: DataFrame, dim: int) -> DataFrame:
-    """Pool of nearest candidates with ``search_score``."""
-    nearest = cosine_top_k(jobs, docs, R.largest_pool(jobs), dim=dim).drop("rank").withColumnRenamed("cosine", "raw_score")
+def vector_pool(jobs: DataFrame, docs: DataFrame, dim: int, prefilter: bool = False) -> DataFrame:
+    """Pool of nearest candidates with ``search_score``; ``prefilter`` only takes candidates with the experience needed."""
+    nearest = cosine_top_k(jobs, docs, R.largest_pool(jobs), dim=dim, least=LEAST if prefilter else None).drop("rank").withColumnRenamed("cosine", "raw_score")
     return R.normalized(R.candidate_pool(nearest, jobs), "vector")
 
 
-def hybrid_pool(jobs: DataFrame, docs: DataFrame, dim: int, query: Column | None = None, with_title: bool = True) -> DataFrame:
+def hybrid_pool(jobs: DataFrame, docs: DataFrame, dim: int, query: Column | None = None, with_title: bool = True, prefilter: bool = False) -> DataFrame:
     """Pool by vector, best-fields text and skill phrases with ``search_score`` and ``cosine``."""
-    nearest = R.candidate_pool(cosine_top_k(jobs, docs, R.largest_pool(jobs), dim=dim).drop("rank"), jobs, "cosine")
+    nearest = R.candidate_pool(cosine_top_k(jobs, docs, R.largest_pool(jobs), dim=dim, least=LEAST if prefilter else None).drop("rank"), jobs, "cosine")
     nearest = L.stable(nearest)
     terms = L.key_terms(F.col("required_skills"), F.col("job_title") if with_title else None)
     scored = L.hybrid_scores(
         jobs, focused_query() if query is None else query, terms, docs, nearest,
         best_fields=HYBRID_BEST_FIELDS, vector_boost=VECTOR_BOOST, phrase_boost=PHRASE_BOOST,
     )
+    if prefilter:
+        scored = _eligible(scored, jobs, docs)
     pool = R.normalized(R.candidate_pool(scored, jobs), "hybrid")
     return pool.join(nearest, ["jd_id", "resume_id"], "left")
 
 
-def vector_search(jobs: DataFrame, docs: DataFrame, dim: int) -> DataFrame:
-    """Vector search end to end: pool, normalise, rerank, k best. Jobs without a usable vector take text search."""
+def vector_search(jobs: DataFrame, docs: DataFrame, dim: int, prefilter: bool = False) -> DataFrame:
+    """Vector search end to end: pool, normalise, rerank, k best. Jobs without a usable vector take text search.
+
+    ``prefilter`` leaves candidates below the job's required experience out before any cut.
+    """
     usable = is_usable(F.col("embedding")) & (F.size("embedding") == dim)
-    pool = vector_pool(jobs, docs, dim)
+    pool = vector_pool(jobs, docs, dim, prefilter)
     blind = L.stable(jobs.filter(~F.coalesce(usable, F.lit(False))))
     if not blind.isEmpty():
-        pool = pool.unionByName(text_search(blind, docs).select("jd_id", "resume_id", "raw_score", F.col("score").alias("search_score")))
+        pool = pool.unionByName(text_search(blind, docs, prefilter=prefilter).select("jd_id", "resume_id", "raw_score", F.col("score").alias("search_score")))
     pairs = R.components(R.with_details(pool, jobs, docs))
     return R.final_order(R.rerank(pairs, "vector"), S.clamp_results(F.col("max_results")))
 
 
-def hybrid_search(jobs: DataFrame, docs: DataFrame, dim: int) -> DataFrame:
-    """Request-profile hybrid search: minimum experience after the pool cut, rerank, k best."""
+def hybrid_search(jobs: DataFrame, docs: DataFrame, dim: int, prefilter: bool = False) -> DataFrame:
+    """Request-profile hybrid search: minimum experience after the pool cut, rerank, k best.
+
+    ``prefilter`` applies the minimum before the pool cut, so a strict minimum still gives full lists.
+    """
     jobs = _asked(jobs)
-    fit = _fitting(R.with_details(hybrid_pool(jobs, docs, dim), jobs, docs))
+    fit = _fitting(R.with_details(hybrid_pool(jobs, docs, dim, prefilter=prefilter), jobs, docs))
     return R.final_order(R.rerank(R.components(fit, "api"), "hybrid"), S.clamp_results(F.col("max_results")))
 
 
@@ -112,6 +132,14 @@ def acceptable_job(text: Column) -> Column:
     return F.length(F.trim(F.coalesce(text, F.lit("")))) >= 10
 
 
+def split_jobs(jobs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Jobs to search with, and the others with an ``error`` that says why they are left out."""
+    long_enough = acceptable_job(F.col(text))
+    blank = F.length(F.trim(F.coalesce(text, F.lit("")))) == 0
+    reason = F.when(blank, "empty job description").otherwise("job description under 10 characters")
+    return jobs.filter(long_enough), jobs.filter(~long_enough).withColumn("error", reason)
+
+
 def batch_search(jobs: DataFrame, docs: DataFrame, dim: int, query: Column | None = None) -> DataFrame:
     """Batch profile: hybrid without rerank; jobs without hits take text search."""
     usable = L.stable(hybrid_pool(jobs, docs, dim, query, with_title=False).select("jd_id", "resume_id", "raw_score", "search_score"))
@@ -133,19 +161,20 @@ def _fitting(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("total_experience") >= F.col("required_experience"))
 
 
-def match(jobs: DataFrame, docs: DataFrame, dim: int, analyze_count: int | None = 25, fallback: bool = True) -> DataFrame:
+def match(jobs: DataFrame, docs: DataFrame, dim: int, analyze_count: int | None = 25, fallback: bool = True, prefilter: bool = False) -> DataFrame:
     """The match service for a whole table of jobs: search, coverage and templated analysis.
 
     Jobs that the hybrid search leaves without any result take the vector search.
 
     ``analyze_count`` limits who gets an analysis text, ``None`` analyses every result; no row is lost.
+    ``prefilter`` takes the minimum experience before the pool cut instead of after it.
     """
-    found = hybrid_search(jobs, docs, dim)
+    found = hybrid_search(jobs, docs, dim, prefilter)
     if fallback:
         found = L.stable(found)
         unserved = L.stable(jobs.join(found.select("jd_id").distinct(), "jd_id", "left_anti"))
         if not unserved.isEmpty():
-            found = found.unionByName(_fitting(vector_search(_asked(unserved), docs, dim)), allowMissingColumns=True)
+            found = found.unionByName(_fitting(vector_search(_asked(unserved), docs, dim, prefilter)), allowMissingColumns=True)
     result = R.coverage(found)
     text = S.candidate_analysis(
         F.col("rerank_score"), F.col("exp_score"), F.col("total_experience"), F.col("required_experience"),

@@ -297,6 +297,17 @@ def f1(spark, sf):
     return _pairs(spark, sf).filter(F.col("total_experience") >= F.col("min_experience") + 4).select(*PAIR_COLS, "search_score")
 
 
+@query("f1_prefilter", f"""{O.BASE},
+{O.COSINE_SQL}, fits AS (SELECT s.jd_id, s.resume_id, s.cosine, j.max_results, row_number() OVER (PARTITION BY s.jd_id ORDER BY s.cosine DESC, s.resume_id) AS nth
+  FROM sims s JOIN jobs j USING (jd_id) JOIN cand c USING (resume_id) WHERE c.total_experience >= greatest(j.required_experience, j.min_experience)),
+  fpool AS (SELECT * FROM fits WHERE nth <= greatest(3 * max_results, 30))
+SELECT jd_id, resume_id, round(cosine, 4) AS cosine, {O.logistic(O.signed_minmax('cosine'), 15.0)} AS search_score FROM fpool""")
+def f1_prefilter(spark, sf):
+    asked = jobs(spark, sf).withColumn("required_experience", F.greatest("required_experience", "min_experience"))
+    pool = M.vector_pool(asked, candidates(spark, sf), DIM, prefilter=True)
+    return pool.select(*PAIR_COLS, F.round("raw_score", 4).alias("cosine"), "search_score")
+
+
 @query("f2", f"{O.BASE} SELECT jd_id, greatest(required_experience, min_experience) AS effective FROM jobs")
 def f2(spark, sf):
     return jobs(spark, sf).select("jd_id", F.greatest("required_experience", "min_experience").alias("effective"))
@@ -307,6 +318,14 @@ def f3(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", M.acceptable_job(F.col("text")).alias("accepted"))
 
 
+@query("f3_rejects", """SELECT page_id, CASE WHEN length(trim(path)) = 0 THEN 'empty job description' ELSE 'job description under 10 characters' END AS error
+  FROM (SELECT page_id, coalesce(regexp_extract(url, '^[a-z]+://[^/]*/?(.*)$', 1), '') AS path FROM pages) WHERE length(trim(path)) < 10""")
+def f3_rejects(spark, sf):
+    """Paths of the pages stand for job texts, as some are shorter than a job text may be."""
+    paths = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]*/?(.*)$", 1).alias("path"))
+    return M.split_jobs(paths, "path")[1].select("page_id", "error")
+
+
 @query("f4", "SELECT o_orderkey, least(greatest(coalesce(CAST(o_totalprice / 3000 AS INT) - 10, 30), 1), 100) AS k FROM (SELECT o_orderkey, floor(o_totalprice / 3000) * 3000 AS o_totalprice FROM orders)")
 def f4(spark, sf):
     want = F.floor(F.col("o_totalprice") / 3000).cast("int") - 10
