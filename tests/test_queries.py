@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = [
-    "f1_prefilter", "f3_rejects",
+    "f1_prefilter", "f3_rejects", "k6_context",
     "j1", "r1", "r3", "r5", "r7", "r13", "r16", "g1", "n4", "n5", "n8", "n12", "n22", "n27", "x1", "x4", "x12", "x16", "x21", "x31",
     "x34", "j4", "j5", "m1", "io11", "io12", "g4", "w7", "st2", "st4", "k12_pools", "k18",
 ]

@@ -92,3 +92,14 @@ def test_related_skills_build_fewer_pairs(spark):
     assert got == want
     built = P.related_pairs(skills, missing).count()
     assert built < 0.8 * sum(together.values())
+
+
+def test_wording_around_a_skill(spark):
+    text = "Required skills: Python, Spring Boot and SQL. Nice to have: Go. We also use boot camps, spring water and much else besides these, Rust"
+    rows = [(text, s) for s in ["Python", "spring boot", "SQL", "Go", "Rust", "boot spring", "Cobol", ""]] + [(None, "Go"), ("", "Go"), (text, None)]
+    df = spark.createDataFrame(rows, "text STRING, skill STRING")
+    got = {(r["skill"], r["text"] == text): r["c"] for r in df.select("*", P.mention_context(F.col("text"), F.col("skill"), ["required", "must"], ["nice", "plus"]).alias("c")).collect()}
+    assert [got[s, True] for s in ["Python", "spring boot", "SQL", "Go", "Rust", "boot spring", "Cobol", ""]] == [1.0, 1.0, 1.0, 0.3, 0.6, None, None, None]
+    assert got["Go", False] is None and got[None, True] is None
+    out = df.select(P.importance_in_context(F.col("text"), F.col("skill"), ["required"], ["nice"]).alias("v")).collect()
+    assert out[0]["v"] > out[3]["v"] > 0 and out[6]["v"] == out[7]["v"] == 0

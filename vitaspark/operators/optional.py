@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.scores import rounded
+from ..functions.text import tokens
 
 
 def compare_rankings(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -71,12 +72,39 @@ def holds_all(held: Column, mandatory: Column) -> Column:
 
 
 def skill_importance(text: Column, skill: Column) -> Column:
-    """Earlier and more frequent mentions weigh more: position share plus capped frequency."""
+    """Earlier and more frequent mentions weigh more: position share plus capped frequency; an empty skill counts 0."""
     body, word = F.lower(text), F.lower(skill)
     at = F.instr(body, word)
-    times = (F.length(body) - F.length(F.replace(body, word, F.lit("")))) / F.length(word)
+    times = (F.length(body) - F.length(F.replace(body, word, F.lit("")))) / F.greatest(F.length(word), F.lit(1))
     early = 1.0 - (at - 1) / F.greatest(F.length(body), F.lit(1))
-    return F.when(at > 0, rounded(early * 0.5 + F.least(times, F.lit(5.0)) / 5.0 * 0.5, 4)).otherwise(F.lit(0.0))
+    return F.when((at > 0) & (F.length(word) > 0), rounded(early * 0.5 + F.least(times, F.lit(5.0)) / 5.0 * 0.5, 4)).otherwise(F.lit(0.0))
+
+
+def mention_context(text: Column, skill: Column, strong: list[str], weak: list[str], window: int = 10) -> Column:
+    """1.0, 0.3 or 0.6 by the wording before a skill: strong cue, weak cue, none; NULL where the skill isn't mentioned.
+
+    The nearest cue word among the ``window`` words before a mention decides it, and the best
+    mention counts. Texts and skills are compared by words, so a skill of several words is found as a run.
+    """
+    cues = F.array(*[F.lit(w) for w in [*strong, *weak]])
+
+    def level(words: Column, at: Column) -> Column:
+        before = F.slice(words, F.greatest(at - window, F.lit(0)) + 1, F.least(at, F.lit(window)))
+        nearest = F.get(F.filter(F.reverse(before), lambda w: F.array_contains(cues, w)), F.lit(0))
+        return F.when(nearest.isin(*strong), 1.0).when(nearest.isin(*weak), 0.3).otherwise(0.6)
+
+    def best(words: Column, run: Column) -> Column:
+        places = F.transform(words, lambda _, i: i)
+        found = F.filter(places, lambda i: (F.get(words, i) == F.get(run, F.lit(0))) & (F.slice(words, i + 1, F.size(run)) == run))
+        return F.array_max(F.transform(found, lambda i: level(words, i)))
+
+    return let(tokens(text), lambda words: let(tokens(skill), lambda run: best(words, run)))
+
+
+def importance_in_context(text: Column, skill: Column, strong: list[str], weak: list[str], window: int = 10) -> Column:
+    """As :func:`skill_importance` with the wording around the skill as a third part; 0 without a mention as words."""
+    context = mention_context(text, skill, strong, weak, window)
+    return F.coalesce(rounded(skill_importance(text, skill) * 0.7 + context * 0.3, 4), F.lit(0.0))
 
 
 def multi_job_candidates(results: DataFrame, at_least: int = 2) -> DataFrame:

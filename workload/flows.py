@@ -264,6 +264,20 @@ def k6(spark, sf):
     return s.select("jd_id", "skill", P.skill_importance(F.col("text"), F.col("skill")).alias("importance"))
 
 
+@query("k6_context", f"""WITH s AS (SELECT item_id, text AS t, {O.tokens('text')} AS ws FROM benchmark), k AS (SELECT DISTINCT item_id, t, ws, unnest(ws) AS w FROM s),
+  pos AS (SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM s), cue AS (SELECT * FROM pos WHERE w IN ('the', 'with', 'of', 'in')),
+  near AS (SELECT p.item_id, p.w, p.i, arg_max(c.w, c.i) AS c FROM pos p LEFT JOIN cue c ON c.item_id = p.item_id AND c.i < p.i AND c.i >= p.i - 10 GROUP BY ALL),
+  ctx AS (SELECT item_id, w, max(CASE WHEN c IN ('the', 'with') THEN 1.0 WHEN c IN ('of', 'in') THEN 0.3 ELSE 0.6 END) AS context FROM near GROUP BY ALL),
+  e AS (SELECT item_id, w, instr(lower(t), w) AS p, (length(t) - length(replace(lower(t), w, ''))) / CAST(length(w) AS DOUBLE) AS n, length(t) AS l FROM k)
+  SELECT item_id, w AS skill, {O.rnd(f"({O.rnd('(1.0 - (p - 1) / CAST(greatest(l, 1) AS DOUBLE)) * 0.5 + least(n, 5.0) / 5.0 * 0.5', 4)}) * 0.7 + CAST(context AS DOUBLE) * 0.3", 4)} AS importance FROM e JOIN ctx USING (item_id, w)""")
+def k6_context(spark, sf):
+    """Every word of an item as a skill; frequent words of the texts stand for cue words."""
+    from vitaspark.functions.text import tokens
+
+    words = table(spark, sf, "benchmark").select("item_id", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("skill"))
+    return words.select("item_id", "skill", P.importance_in_context(F.col("text"), F.col("skill"), ["the", "with"], ["of", "in"]).alias("importance"))
+
+
 @query("k7", f"""SELECT o_custkey, {O.rnd("sum(CASE o_orderstatus WHEN 'F' THEN CAST(100 AS DOUBLE) WHEN 'O' THEN 50.0 ELSE 10.0 END * (1 + o_orderkey % 5)) / CAST(sum(1 + o_orderkey % 5) AS DOUBLE)", 4)} AS quality FROM orders GROUP BY 1""")
 def k7(spark, sf):
     relevance = F.when(F.col("o_orderstatus") == "F", 100.0).when(F.col("o_orderstatus") == "O", 50.0).otherwise(10.0)
