@@ -65,6 +65,11 @@ def dictionary(docs: DataFrame, fields: list[str], terms: DataFrame | None = Non
     )
 
 
+def merge_dictionaries(parts: DataFrame) -> DataFrame:
+    """One dictionary of the rows of several, whose documents differ: counts and lengths add up."""
+    return parts.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
+
+
 def corpus_stats(terms: DataFrame) -> DataFrame:
     """(field, n_docs, avg_len) from a dictionary."""
     return terms.filter("term = ''").select("field", F.col("df").alias("n_docs"), (F.col("tokens") / F.col("df")).alias("avg_len"))
@@ -148,12 +153,15 @@ def term_weights(terms: DataFrame, docs: DataFrame, fields: list[str], *, fuzzy:
     ``exact`` counts the term itself, ``near`` also the similar terms, each at
     ``1 - edits / shorter length``.
     """
+    return counted_weights(terms, stable(dictionary(docs, fields, None if fuzzy else terms.select("term").distinct(), key)), fuzzy=fuzzy)
+
+
+def counted_weights(terms: DataFrame, corpus: DataFrame, *, fuzzy: bool) -> DataFrame:
+    """:func:`term_weights` from a dictionary that holds the wanted terms, with ``fuzzy`` all terms."""
     wanted = terms.select("term").distinct()
     if fuzzy:
-        corpus = stable(dictionary(docs, fields, key=key))
         pairs = fuzzy_pairs(wanted, term_frequencies(corpus).select("term").distinct())
     else:
-        corpus = stable(dictionary(docs, fields, wanted, key))
         pairs = wanted.select(F.col("term").alias("wanted"), "term", F.lit(0).alias("edits"))
     similarity = 1.0 - F.col("edits") / F.least(F.length("wanted"), F.length("term"))
     expanded = (

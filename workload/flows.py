@@ -14,7 +14,6 @@ from vitaspark.plans import ingest as G
 from vitaspark.plans import match as M
 from vitaspark.session import ensure_checkpoint_dir
 from vitaspark.sources import files as FS
-from vitaspark.sources.stores import SnapshotTable
 from vitaspark.streaming import jobs as ST
 
 from . import oracle as O
@@ -187,7 +186,7 @@ def st1(spark, sf):
     root, path = _landing(spark, _batch_rows(spark, sf), 2)
     source = ST.new_files(spark, path, spark.read.parquet(path).schema, per_batch=1)
     ST.ingest_stream(source, f"{root}/tables")
-    return SnapshotTable(spark, f"{root}/tables/pii").read().select("resume_id", "name", "email", "created_dt", "updated_dt")
+    return G.increment_table(spark, f"{root}/tables", "pii").read().select("resume_id", "name", "email", "created_dt", "updated_dt")
 
 
 @query("st2", "SELECT md5(text) AS content_key, length(any_value(text)) AS chars FROM documents GROUP BY 1")
@@ -202,7 +201,7 @@ def st3(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("resume_id"), "embedding")
     root, path = _landing(spark, vectors, 3)
     ST.score_stream(ST.new_files(spark, path, vectors.schema, per_batch=1), jobs(spark, sf), DIM, 20, root)
-    return SnapshotTable(spark, f"{root}/pool").read().select("jd_id", "resume_id", F.round("cosine", 4).alias("cosine"))
+    return ST.standing_pool(spark, root, 20).select("jd_id", "resume_id", F.round("cosine", 4).alias("cosine"))
 
 
 @query("st4", "SELECT user_id % 3 AS store, count(*) AS total, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, round(count(*) FILTER (event_type <> 'error') * 100.0 / count(*), 1) AS success_rate FROM events GROUP BY 1")
