@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .stores import SnapshotTable
 
-BUCKETS = 64
+# More suit larger batches: a delta has a file per bucket at most. A table keeps the number it began with.
+BUCKETS = 16
 
 DELTA, BUCKET, GONE, FIRST = "__delta", "__bucket", "__gone", "__first"
 

@@ -198,7 +198,8 @@ def st2(spark, sf):
 
 @query("st3", f"{O.BASE},\n{O.COSINE_SQL} SELECT jd_id, resume_id, round(cosine, 4) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY cosine DESC, resume_id) rn FROM sims) WHERE rn <= 20")
 def st3(spark, sf):
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("resume_id"), "embedding")
+    people = table(spark, sf, "documents").select(F.col("doc_id").alias("resume_id"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("resume_id"), "embedding").join(people, "resume_id", "left_semi")
     root, path = _landing(spark, vectors, 3)
     ST.score_stream(ST.new_files(spark, path, vectors.schema, per_batch=1), jobs(spark, sf), DIM, 20, root)
     return ST.standing_pool(spark, root, 20).select("jd_id", "resume_id", F.round("cosine", 4).alias("cosine"))
