@@ -54,7 +54,7 @@ def test_deltas_equal_a_dictionary(spark):
 
 
 def test_a_lookup_reads_its_buckets_only(spark):
-    """Rows read for three keys: their buckets' share, at three sizes of the store."""
+    """The scan for three keys is filtered by bucket in the plan, at three sizes of the store."""
     for size in (640, 2560, 10240):
         table = BucketTable(spark, fresh(spark))
         table.write(spark.range(size).select(F.col("id").alias("resume_id"), F.lit("x").alias("name")), 0)
@@ -66,7 +66,7 @@ def test_a_lookup_reads_its_buckets_only(spark):
         assert len(buckets) <= 3 and raw.count() == 3
 
 
-def test_work_of_a_batch_does_not_follow_the_store(spark):
+def test_writes_of_a_batch_do_not_follow_the_store(spark):
     """The bytes a batch adds are the same over stores of three sizes."""
     added = []
     for size in (100, 1000, 10000):

@@ -18,8 +18,9 @@ class BucketTable:
 
     A delta ``v=<batch>`` holds only the rows its batch writes, in folders by hash of ``by`` (the key by default).
     It counts once its job committed, and a delta that exists is left alone, so a batch that is run again changes
-    nothing. Reading takes the last row of each key. Given keys, it reads the buckets of those keys alone, so
-    a lookup follows the incoming rows and the batches since the last :meth:`compact`, not the whole table.
+    nothing. Reading takes the last row of each key. Given keys, it reads the buckets of those keys alone.
+    What a batch writes follows its own rows; what a lookup reads is whole buckets, which grow with the table, so it saves
+    reading only for batches with fewer keys than buckets.
 
     A batch must hold a key once at most, and all batches have the columns of the first, which may be empty. A NULL key is a
     key like others; ``created`` keeps the value a key came with first.
