@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with column ``name``, computed once a row and where it stands.
+
+    A plain column is put into every expression that reads it, and a filter on
+    it moves below a repartition; neither goes through a generated column.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def first_wins(values: Column, key: Callable[[Column], Column] = F.lower) -> Column:
     """Drop later elements whose key was seen before; order and spelling stay.
 

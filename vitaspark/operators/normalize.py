@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import blank_to_null, empty_strings, extract, first_of, first_wins, joined
+from ..functions.arrays import blank_to_null, empty_strings, extract, first_of, first_wins, joined, once
 from ..functions.lexicon import EMBEDDING_DIM, MONTHS, PLACEHOLDER, PLACEHOLDER_NAMES
 from ..functions.vectors import fit_length
 
@@ -151,7 +151,7 @@ def projects(v: Column) -> Column:
 
 def normalize_responses(df: DataFrame, response: str = "response", keep: list[str] | None = None) -> DataFrame:
     """One normalised record per stored response; a broken response gives defaults."""
-    parsed = df.withColumn("__v", F.try_parse_json(response))
+    parsed = once(df, "__v", F.try_parse_json(response))
     v = F.col("__v")
     full = blank_to_null(scalar(v, "full_name"))
     full = F.when(~full.isin(*PLACEHOLDER_NAMES), full)
@@ -338,11 +338,11 @@ def missing_fields(records: DataFrame) -> Column:
 
 
 def completeness(records: DataFrame) -> DataFrame:
-    missing = missing_fields(records)
+    missing = F.col("__missing")
     needed = ["name", "email", "phone_number", "linkedin_url", "companies", "education", "skills"]
-    return records.withColumn("missing_fields", F.when(F.size(missing) > 0, F.array_join(missing, ", ")).otherwise(F.lit("None"))).withColumn(
+    return once(records, "__missing", missing_fields(records)).withColumn("missing_fields", F.when(F.size(missing) > 0, F.array_join(missing, ", ")).otherwise(F.lit("None"))).withColumn(
         "is_valid", ~F.arrays_overlap(missing, _strings(needed))
-    )
+    ).drop("__missing")
 
 
 def filename_metadata(filename: Column) -> tuple[Column, Column]:
