@@ -6,24 +6,35 @@ candidates come from the pigeonhole rule of Pass-Join (Li, Deng, Wang, Feng
 them nearly in place, so blocking on pieces loses nothing.
 
 Layout: query-side tables (terms, expansions, weights) depend on the jobs and
-are broadcast after a size check; postings of the corpus are filtered by them
-while still in the scan stage and shuffled once, by document. All later sums
-group by keys that start with the document, so they need no further exchange
-and a frequent term cannot overload a task.
+travel to the documents in passes of bounded size. A document's terms are
+shuffled once, as arrays, by document; its scores for all jobs of a pass are
+summed in arrays, so a frequent term cannot overload a task and pairs are
+neither hashed nor sorted nor shuffled before the cut to the best.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lexicon import BM25_B, BM25_K1, TIE_BREAKER
 from ..functions.text import phrase_key, tokens
 from ..plans.sizing import checked_broadcast
 from ..session import ensure_checkpoint_dir
-from .vector_search import top_per_job
+from .vector_search import JOB_TILE, _merged, top_per_job
+
+# The task functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def field_tokens(docs: DataFrame, fields: list[str], key: str = "resume_id") -> DataFrame:
@@ -183,30 +194,29 @@ def counted_weights(terms: DataFrame, corpus: DataFrame, *, fuzzy: bool) -> Data
 
 
 def text_evidence(docs: DataFrame, fields: list[str], key: str = "resume_id") -> DataFrame:
-    return postings(docs, fields, key).withColumn("value", F.lit(None).cast("double"))
+    """Evidence rows (document, field, len, terms, value), one per document and field."""
+    return field_tokens(docs, fields, key).select(
+        key, "field", F.size("toks").alias("len"), F.col("toks").alias("terms"), F.lit(None).cast("double").alias("value")
+    )
 
 
 def phrase_evidence(docs: DataFrame, key: str = "resume_id") -> DataFrame:
     """Contiguous token runs of each skill, so that a phrase match is an equality."""
     size = F.size("toks")
+    runs = F.transform(F.sequence(F.lit(1), size - F.col("at") + 1), lambda n: F.array_join(F.slice("toks", F.col("at"), n), " "))
     return (
         docs.select(key, F.explode("skills").alias("skill"))
         .select(key, tokens(F.col("skill")).alias("toks"))
         .filter(size > 0)
         .withColumn("at", F.explode(F.sequence(F.lit(1), size)))
-        .withColumn("n", F.explode(F.sequence(F.lit(1), size - F.col("at") + 1)))
-        .select(
-            key, F.lit("phrase").alias("field"), F.lit(1).alias("len"),
-            F.array_join(F.slice("toks", F.col("at"), F.col("n")), " ").alias("term"),
-            F.lit(1.0).alias("value"),
-        )
+        .select(key, F.lit("phrase").alias("field"), F.lit(1).alias("len"), runs.alias("terms"), F.lit(1.0).alias("value"))
     )
 
 
 def vector_evidence(nearest: DataFrame, key: str = "resume_id") -> DataFrame:
-    """Nearest-neighbour hits (jd_id, document, cosine) in the shape of postings."""
+    """Nearest-neighbour hits (jd_id, document, cosine) in the shape of evidence."""
     return nearest.select(
-        key, F.lit("vector").alias("field"), F.lit(1).alias("len"), F.col("jd_id").cast("string").alias("term"),
+        key, F.lit("vector").alias("field"), F.lit(1).alias("len"), F.array(F.col("jd_id").cast("string")).alias("terms"),
         F.col("cosine").alias("value"),
     )
 
@@ -229,26 +239,194 @@ def vector_weights(jobs: DataFrame) -> DataFrame:
     )
 
 
+#: Weights a task may hold for the jobs of one pass, and best scores so far.
+MAX_WEIGHTS, MAX_BEST = 4_000_000, 8_000_000
+#: Tokens read and products summed at a time.
+MAX_TOKENS, MAX_PRODUCTS = 1_000_000, 2_000_000
+
+
+class Weights:
+    """Weights of the jobs of one pass: wanted terms by field, and per term its idf and the jobs that ask for it."""
+
+    def __init__(self, **parts):
+        self.__dict__ |= parts
+
+    @classmethod
+    def of(cls, table: pa.Table) -> "Weights":
+        self = cls()
+        jobs = table.column("jd_id").combine_chunks().dictionary_encode(null_encoding="encode")
+        self.jobs, job = jobs.dictionary, jobs.indices.to_numpy()
+        self.fields = sorted(set(table.column("field").to_pylist()))
+        field = pc.index_in(table.column("field").combine_chunks(), pa.array(self.fields, pa.string())).to_numpy()
+        self.terms, self.first, number = [], [0], np.zeros(len(table), np.int64)
+        for f in range(len(self.fields)):
+            coded = table.column("term").combine_chunks().filter(pa.array(field == f)).dictionary_encode()
+            number[field == f] = coded.indices.to_numpy() + self.first[-1]
+            self.terms.append(coded.dictionary)
+            self.first.append(self.first[-1] + len(coded.dictionary))
+        n = self.first[-1]
+        self.idf, self.avg_len, self.field_of = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        self.idf[number], self.avg_len[number], self.field_of[number] = table.column("idf").to_numpy(), table.column("avg_len").to_numpy(), field
+        order = np.argsort(number, kind="stable")
+        self.begin = np.searchsorted(number[order], np.arange(n + 1))
+        self.job, self.exact, self.near = job[order], table.column("exact").to_numpy()[order], table.column("near").to_numpy()[order]
+        return self
+
+    def postings(self, rows: pa.Table, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, worth) of the wanted terms of evidence rows, by document."""
+        lists = rows.column("terms").combine_chunks()
+        row, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+        field = pc.fill_null(pc.index_in(rows.column("field").combine_chunks(), pa.array(self.fields, pa.string())), -1).to_numpy()[row]
+        term = np.full(len(flat), -1, np.int64)
+        for f, known in enumerate(self.terms):
+            mine = field == f
+            found = pc.fill_null(pc.index_in(flat.filter(pa.array(mine)), known), -1).to_numpy().astype(np.int64)
+            term[mine] = np.where(found >= 0, found + self.first[f], -1)
+        kept = np.flatnonzero(term >= 0)
+        term, row = term[kept], row[kept]
+        length, value = rows.column("len").to_numpy()[row], pc.fill_null(rows.column("value"), np.nan).to_numpy()[row]
+        order = np.lexsort((length, term, doc[row]))
+        term, doc, length, value = term[order], doc[row][order], length[order], value[order]
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]) | (length[1:] != length[:-1])])) if len(term) else order
+        tf = np.diff(np.append(new, len(term))).astype(np.float64)
+        value = np.fmax.reduceat(value, new) if len(new) else value
+        term, doc, length = term[new], doc[new], length[new]
+        saturated = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / self.avg_len[term]))
+        return doc, term, np.where(np.isnan(value), self.idf[term] * saturated, value)
+
+    def sums(self, doc: np.ndarray, term: np.ndarray, worth: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per block of documents: (its first, hits, exact, near), each by document, field and job."""
+        held, cells = self.begin[term + 1] - self.begin[term], max(len(self.fields) * len(self.jobs), 1)
+        products = np.cumsum(held)
+        at = 0
+        while at < len(doc):
+            first, done = doc[at], products[at - 1] if at else 0
+            full = max(int(np.searchsorted(products, done + MAX_PRODUCTS)), at)
+            last = max(int(doc[min(full, len(doc) - 1)]) - (full < len(doc)), first)
+            end = int(np.searchsorted(doc, min(last, first + MAX_PRODUCTS // cells), "right"))
+            n = held[at:end]
+            each = np.repeat(np.arange(at, end), n)
+            place = self.begin[term[each]] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            cell = (doc[each] - first) * cells + self.field_of[term[each]] * len(self.jobs) + self.job[place]
+            shape = (int(doc[end - 1] - first) + 1, len(self.fields), len(self.jobs))
+            size = shape[0] * cells
+            yield int(first), *(x.reshape(shape) for x in (
+                np.bincount(cell, minlength=size), np.bincount(cell, worth[each] * self.exact[place], size), np.bincount(cell, worth[each] * self.near[place], size)
+            ))
+            at = end
+
+
+def _documents(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, pa.Array, np.ndarray]]:
+    """(rows, documents, index of each row's document) of whole documents, which come in order, of bounded size where a document allows it."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) > 1 and batch.column(key)[batch.num_rows - 1].equals(waiting[0].column(key)[0]):
+                continue  # one document so far
+        if not waiting:
+            return
+        rows = pa.Table.from_batches(waiting)
+        coded = rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode")
+        doc = coded.indices.to_numpy()
+        whole = len(doc) if batch is None else int(np.searchsorted(doc, doc[-1]))
+        waiting = rows.slice(whole).combine_chunks().to_batches()
+        tokens_before = np.concatenate([[0], np.cumsum(pc.list_value_length(rows.column("terms")).to_numpy())])
+        at = 0
+        while at < whole:
+            end = int(np.searchsorted(tokens_before, tokens_before[at] + MAX_TOKENS))
+            end = int(np.searchsorted(doc, doc[min(max(end, at), whole - 1)], "right")) if end < whole else whole
+            yield rows.slice(at, end - at), coded.dictionary, doc[at:end]
+            at = end
+
+
+def _scored(
+    evidence: DataFrame, weights: DataFrame, key: str, columns: list[tuple[str, T.DataType]], k: int, each: Callable,
+) -> DataFrame:
+    """``each(weights, blocks)`` over the evidence of every document, jobs in as many passes as their bounded weights need.
+
+    Evidence is shuffled once, by document, as arrays of terms. The weights
+    travel to it; products are summed in arrays, so no pair becomes a row of a
+    shuffle or of a hash table.
+    """
+    rows, jobs = weights.agg(F.count("*"), F.count_distinct("jd_id")).first()
+    passes = max(-(-rows // MAX_WEIGHTS), -(-jobs * k // MAX_BEST), 1)
+    dealt = evidence.repartition(key).sortWithinPartitions(key)
+    kinds = {"jd_id": weights.schema["jd_id"].dataType, key: evidence.schema[key].dataType}
+    schema = T.StructType([T.StructField(n, kinds.get(n, t)) for n, t in columns])
+    part = F.pmod(F.xxhash64("jd_id"), F.lit(passes))
+
+    def one(number: int) -> DataFrame:
+        mine = weights.filter(part == number).select("jd_id", "field", "term", "idf", "avg_len", "exact", "near")
+        shared = evidence.sparkSession.sparkContext.broadcast(vars(Weights.of(mine.toArrow())))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = Weights(**shared.value)
+
+            def blocks():
+                for found, names, doc in _documents(batches, key):
+                    for first, *sums in held.sums(*held.postings(found, doc)):
+                        yield names.slice(first), *sums
+
+            if len(held.jobs):
+                for columns in each(held, blocks()):
+                    yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+
+        return dealt.mapInArrow(score, schema)
+
+    return reduce(DataFrame.unionByName, [one(p) for p in range(passes)])
+
+
 def field_scores(evidence: DataFrame, weights: DataFrame, key: str = "resume_id") -> DataFrame:
     """(job, document, field, exact, near): worth of each field of every matching pair.
 
     Text evidence is scored by BM25; evidence that carries a value counts with it.
     """
-    weights = checked_broadcast(weights)
-    wanted = checked_broadcast(weights.select("field", "term").distinct())
-    hits = evidence.join(wanted, ["field", "term"], "left_semi")
-    counted = (
-        hits.repartition(key).groupBy(key, "field", "term", "len")
-        .agg(F.count("*").alias("tf"), F.max("value").alias("value"))
-    )
-    tf = F.col("tf")
-    saturated = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len")))
-    worth = F.coalesce(F.col("value"), F.col("idf") * saturated)
-    return (
-        counted.join(weights, ["field", "term"])
-        .groupBy(key, "jd_id", "field")
-        .agg(F.sum(worth * F.col("exact")).alias("exact"), F.sum(worth * F.col("near")).alias("near"))
-    )
+    def rows(held: Weights, blocks: Iterator) -> Iterator[list[pa.Array]]:
+        names = pa.array(held.fields, pa.string())
+        for docs, hits, exact, near in blocks:
+            doc, field, job = np.nonzero(hits)
+            yield [docs.take(pa.array(doc)), held.jobs.take(pa.array(job)), names.take(pa.array(field)), pa.array(exact[doc, field, job]), pa.array(near[doc, field, job])]
+
+    return _scored(evidence, weights, key, [(key, None), ("jd_id", None), ("field", T.StringType()), ("exact", T.DoubleType()), ("near", T.DoubleType())], 0, rows)
+
+
+def pair_scores(
+    evidence: DataFrame, weights: DataFrame, exact_boosts: dict[str, float], best_fields: dict[str, float], key: str = "resume_id", k: int | None = None,
+) -> DataFrame:
+    """(document, jd_id, raw_score, fields): scores of :func:`combine_fields` over :func:`field_scores` and how many fields match.
+
+    With ``k`` a task only hands on its k best of each job, ties by document, so all that can be among a job's k best.
+    """
+    def rows(held: Weights, blocks: Iterator) -> Iterator[list[pa.Array]]:
+        clause, best = (np.array([boosts.get(f, 0.0) for f in held.fields])[None, :, None] for boosts in (exact_boosts, best_fields))
+        kept, which = np.full((len(held.jobs), k or 0), -np.inf), None
+        for docs, hits, exact, near in blocks:
+            near = near * best
+            top, total = near.max(axis=1), near.sum(axis=1)
+            score = np.rint(((exact * clause).sum(axis=1) + top + (total - top) * TIE_BREAKER) * 1e9) / 1e9
+            fields = np.count_nonzero(hits, axis=1)
+            docs = docs.slice(0, len(score))
+            doc, job = np.nonzero(fields)
+            if k is not None:
+                named = pc.is_valid(docs).to_numpy(zero_copy_only=False)
+                doc, job = (x[~named[doc]] for x in (doc, job))  # the document without an id goes on as it is
+                ids = docs.filter(pa.array(named)).to_numpy(zero_copy_only=False)
+                if len(ids):
+                    which = np.full(kept.shape, ids[0], ids.dtype) if which is None else which
+                    kept, which = _merged(kept, which, np.where(fields > 0, score, -np.inf)[named].T, ids, k)
+            if len(doc):
+                yield [docs.take(pa.array(doc)), held.jobs.take(pa.array(job)), pa.array(score[doc, job]), pa.array(fields[doc, job].astype(np.int64))]
+            kind = docs.type
+        if which is not None:
+            for first in range(0, len(kept), JOB_TILE):
+                job, nth = np.nonzero(kept[first:first + JOB_TILE] > -np.inf)
+                job += first
+                yield [pa.array(which[job, nth], kind), held.jobs.take(pa.array(job)), pa.array(kept[job, nth]), pa.nulls(len(job), pa.int64())]
+
+    return _scored(evidence, weights, key, [(key, None), ("jd_id", None), ("raw_score", T.DoubleType()), ("fields", T.LongType())], k or 0, rows)
 
 
 def _boost(boosts: dict[str, float], value: Column) -> Column:
@@ -295,8 +473,9 @@ SLACK = 1e-6
 def unit_worths(evidence: DataFrame, weights: DataFrame, key: str = "resume_id") -> DataFrame:
     """(document, field, term, worth): what a wanted term is worth in a document to a job that asks for it once."""
     terms = checked_broadcast(weights.groupBy("field", "term").agg(F.max("idf").alias("idf"), F.max("avg_len").alias("avg_len")))
+    spelled = evidence.select(key, "field", "len", F.explode("terms").alias("term"), "value")
     counted = (
-        evidence.join(terms, ["field", "term"]).groupBy(key, "field", "term", "len", "idf", "avg_len")
+        spelled.join(terms, ["field", "term"]).groupBy(key, "field", "term", "len", "idf", "avg_len")
         .agg(F.count("*").alias("tf"), F.max("value").alias("value"))
     )
     tf = F.col("tf")
@@ -389,14 +568,14 @@ def best_scores(
 
 def text_scores(
     jobs: DataFrame, query: Column, docs: DataFrame, *, exact_boosts: dict[str, float], best_fields: dict[str, float],
-    fuzzy: bool = True, key: str = "resume_id", limits: DataFrame | None = None,
+    fuzzy: bool = True, key: str = "resume_id", limits: DataFrame | None = None, k: int | None = None,
 ) -> DataFrame:
-    """(jd_id, resume_id, raw_score) of every document matching at least one clause; with ``limits`` of those that can be among the k best."""
+    """(jd_id, resume_id, raw_score) of every document matching at least one clause; with ``limits`` or ``k`` of those that can be among the k best."""
     fields = sorted(set(exact_boosts) | set(best_fields))
     weights = stable(term_weights(query_terms(jobs, query), docs, fields, fuzzy=fuzzy, key=key))
     if limits is not None:
         return best_scores(text_evidence(docs, fields, key), weights, limits, exact_boosts, best_fields, key)
-    return combine_fields(field_scores(text_evidence(docs, fields, key), weights, key), exact_boosts, best_fields, key)
+    return pair_scores(text_evidence(docs, fields, key), weights, exact_boosts, best_fields, key, k).select("jd_id", key, "raw_score")
 
 
 def key_terms(skills: Column, title: Column | None = None) -> Column:
@@ -408,7 +587,7 @@ def key_terms(skills: Column, title: Column | None = None) -> Column:
 
 def hybrid_scores(
     jobs: DataFrame, query: Column, terms: Column, docs: DataFrame, nearest: DataFrame, *,
-    best_fields: dict[str, float], vector_boost: float, phrase_boost: float, fuzzy: bool = True, key: str = "resume_id", limits: DataFrame | None = None,
+    best_fields: dict[str, float], vector_boost: float, phrase_boost: float, fuzzy: bool = True, key: str = "resume_id", limits: DataFrame | None = None, k: int | None = None,
 ) -> DataFrame:
     """(jd_id, resume_id, raw_score): vector hits, best-fields text and skill phrases in one pass.
 
@@ -427,4 +606,4 @@ def hybrid_scores(
     boosts = {"vector": vector_boost, "phrase": phrase_boost}
     if limits is not None:
         return best_scores(evidence, weights, limits, boosts, best_fields, key)
-    return combine_fields(field_scores(evidence, weights, key), boosts, best_fields, key)
+    return pair_scores(evidence, weights, boosts, best_fields, key, k).select("jd_id", key, "raw_score")

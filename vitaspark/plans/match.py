@@ -52,13 +52,18 @@ def text_search(jobs: DataFrame, docs: DataFrame, query: Column | None = None, p
     """(jd_id, resume_id, raw_score, score): weighted text search, best ``max_results`` per job."""
     scored = L.text_scores(
         jobs, F.col("text") if query is None else query, docs,
-        exact_boosts=TEXT_EXACT_BOOSTS, best_fields=TEXT_BEST_FIELDS,
+        exact_boosts=TEXT_EXACT_BOOSTS, best_fields=TEXT_BEST_FIELDS, k=None if prefilter else _most_results(jobs),
     )
     if prefilter:
         scored = _eligible(scored, jobs, docs)
     return _cut(scored, jobs).withColumn("score", S.max_percent(F.col("raw_score"), "jd_id"))
 
 
+def _most_results(jobs: DataFrame) -> int:
+    """The most results any job asks for: one number over the job table."""
+    return jobs.agg(F.max(S.clamp_results(F.col("max_results")))).first()[0] or 1
+
+
 def _cut(scored: DataFrame, jobs: DataFrame, score: str = "raw_score") -> DataFrame:
     limits = jobs.select("jd_id", S.clamp_results(F.col("max_results")).alias("k"))
     return top_per_job(scored.join(limits, "jd_id"), F.col("k"), score).drop("rank", "k")
@@ -77,7 +82,7 @@ def hybrid_pool(jobs: DataFrame, docs: DataFrame, dim: int, query: Column | None
     terms = L.key_terms(F.col("required_skills"), F.col("job_title") if with_title else None)
     scored = L.hybrid_scores(
         jobs, focused_query() if query is None else query, terms, docs, nearest,
-        best_fields=HYBRID_BEST_FIELDS, vector_boost=VECTOR_BOOST, phrase_boost=PHRASE_BOOST,
+        best_fields=HYBRID_BEST_FIELDS, vector_boost=VECTOR_BOOST, phrase_boost=PHRASE_BOOST, k=None if prefilter else R.largest_pool(jobs),
     )
     if prefilter:
         scored = _eligible(scored, jobs, docs)
@@ -118,7 +123,7 @@ def alternate_search(jobs: DataFrame, docs: DataFrame, dim: int, share: float =
     )
     evidence = L.text_evidence(docs, sorted(ALTERNATE_BOOSTS)).unionByName(L.vector_evidence(nearest))
     boosts = {f: b * share for f, b in ALTERNATE_BOOSTS.items()} | {"vector": 1 - share}
-    return _cut(L.combine_fields(L.field_scores(evidence, weights), boosts, {}), jobs)
+    return _cut(L.pair_scores(evidence, weights, boosts, {}, k=_most_results(jobs)).drop("fields"), jobs)
 
 
 def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:

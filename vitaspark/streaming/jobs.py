@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lexical import (
-    combine_fields, counted_weights, dictionary, field_scores, merge_dictionaries, query_terms, stable, text_evidence,
+    counted_weights, dictionary, merge_dictionaries, pair_scores, query_terms, stable, text_evidence,
 )
 from ..operators.metrics import ingest_summary
 from ..operators.vector_search import cosine_top_k, top_per_job
@@ -112,7 +112,7 @@ def score_text_stream(
         spark = batch.sparkSession
         dictionary(batch, fields, key=key).write.mode("overwrite").parquet(f"{root}/terms/batch={batch_id}")
         weights = stable(counted_weights(query_terms(jobs, query), running_dictionary(spark, root, batch_id), fuzzy=False))
-        scores = combine_fields(field_scores(text_evidence(batch, fields, key), weights, key), exact_boosts, best_fields, key)
+        scores = pair_scores(text_evidence(batch, fields, key), weights, exact_boosts, best_fields, key, k).drop("fields")
         BucketTable(spark, f"{root}/text", ["jd_id", key], by=["jd_id"]).write(top_per_job(scores, k, "raw_score", item=key).drop("rank"), batch_id)
 
     run_available(source, each, f"{root}/_stream")

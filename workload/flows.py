@@ -144,8 +144,8 @@ def io19(spark, sf):
 def f9(spark, sf):
     j, c, fields = jobs(spark, sf), candidates(spark, sf), ["positions", "skills"]
     weights = L.stable(L.term_weights(L.query_terms(j, F.col("text")), c, fields, fuzzy=False))
-    scores = L.field_scores(L.text_evidence(c, fields), weights)
-    return scores.groupBy("resume_id", "jd_id").agg(F.count("*").alias("clauses")).filter("clauses >= 1").select("jd_id", "resume_id", "clauses")
+    scores = L.pair_scores(L.text_evidence(c, fields), weights, dict.fromkeys(fields, 1.0), {})
+    return scores.withColumnRenamed("fields", "clauses").filter("clauses >= 1").select("jd_id", "resume_id", "clauses")
 
 
 @query("j13", f"""{POOL_SQL}, {comp_sql()}, e AS (SELECT jd_id, resume_id, w, unnest(hn) AS h FROM (SELECT jd_id, resume_id, unnest(wn) AS w, hn FROM comp))
@@ -310,7 +310,7 @@ def k9(spark, sf):
 
     j, c = jobs(spark, sf), candidates(spark, sf)
     near = _vpool(spark, sf).select("jd_id", "resume_id", minmax_percent(F.col("cosine"), "jd_id").alias("score"))
-    raw = L.text_scores(j, F.col("text"), c, exact_boosts={"skills": 1.0, "summary": 1.0}, best_fields={}, fuzzy=False)
+    raw = L.text_scores(j, F.col("text"), c, exact_boosts={"skills": 1.0, "summary": 1.0}, best_fields={}, fuzzy=False, k=R.largest_pool(j))
     text = R.candidate_pool(raw, j).select("jd_id", "resume_id", max_percent(F.col("raw_score"), "jd_id").alias("score"))
     return P.blend(near, text)
 
