@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import extract, extract_all, first_of, let
+from ..functions.arrays import extract, extract_all, first_of, let, once
 
 FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 BRACES = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
@@ -62,4 +62,4 @@ def string_array(text: Column) -> Column:
 
 def salvage_responses(df: DataFrame, response: str = "response") -> DataFrame:
     """Add ``method`` and ``json``; rows that give nothing keep method ``none`` for the error sink."""
-    return df.withColumn("__s", salvage(F.col(response))).withColumns({"method": F.col("__s.method"), "json": F.col("__s.json")}).drop("__s")
+    return once(df, "__s", salvage(F.col(response))).withColumns({"method": F.col("__s.method"), "json": F.col("__s.json")}).drop("__s")

@@ -13,6 +13,7 @@ from ..operators.metrics import ingest_summary
 from ..operators.salvage import salvage_responses
 from ..sources import stores as S
 from ..sources.buckets import BucketTable
+from .sizing import spread
 
 SHORTEST_TEXT = 200
 
@@ -71,9 +72,10 @@ CREATED = {"pii": "created_dt", "documents": None, "index": "created_dt"}
 
 def _stamped(batch: DataFrame, stamp: int) -> tuple[DataFrame, DataFrame]:
     """Records and error rows of a batch."""
-    records, errors = split_errors(records_of(batch))
-    records = stable(records.withColumn("updated_dt", F.lit(stamp).cast("bigint")).withColumn("created_dt", F.lit(stamp).cast("bigint")))
-    return records, errors.select("resume_id", "filename", F.col("extraction_error").alias("error"), F.lit(stamp).cast("bigint").alias("updated_dt"))
+    stamps = {"updated_dt": F.lit(stamp).cast("bigint"), "created_dt": F.lit(stamp).cast("bigint")}
+    # both sides come from one pass over the responses, which uses all task slots however few files hold the batch
+    records, errors = split_errors(stable(records_of(spread(batch)).withColumns(stamps)))
+    return records, errors.select("resume_id", "filename", F.col("extraction_error").alias("error"), "updated_dt")
 
 
 def _resolved(records: DataFrame, known: DataFrame | None) -> DataFrame:
