@@ -191,8 +191,11 @@ def st1(spark, sf):
 
 @query("st2", "SELECT md5(text) AS content_key, length(any_value(text)) AS chars FROM documents GROUP BY 1")
 def st2(spark, sf):
-    root, path = _landing(spark, table(spark, sf, "documents").select("doc_id", "text"), 3)
-    ST.distinct_stream(ST.new_files(spark, path, "doc_id BIGINT, text STRING", per_batch=1), F.md5("text"), root)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    # three batches, of as many files as the documents have partitions, so no task writes or reads a third of them
+    files = -(-docs.rdd.getNumPartitions() // 3)
+    root, path = _landing(spark, docs, 3 * files)
+    ST.distinct_stream(ST.new_files(spark, path, "doc_id BIGINT, text STRING", per_batch=files), F.md5("text"), root)
     return ST.distinct_records(spark, root).select("content_key", F.length("text").cast("bigint").alias("chars"))
 
 
