@@ -20,6 +20,8 @@ BANDS, ROWS = 32, 6
 
 #: Members of a bucket up to which pairs of different classes are joined; larger ones are compared in chunks.
 SMALL = 16
+#: Ways in which hubs are drawn; bands take turns.
+DRAWS = 8
 #: Members and bytes of text a chunk of a larger bucket has on average at most.
 CHUNK, CHUNK_BYTES = 1024, 2 << 20
 
@@ -237,8 +239,9 @@ def alike(coordinates: int, similarity: float, a: str, b: str) -> Column:
 def near_links(docs: DataFrame, marks: DataFrame, similarity: float, coordinates: int, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
     """(links, labels): verified pairs (a, b) of fingerprints and the class label of each linked fingerprint.
 
-    In each bucket all members are compared with one hub, drawn anew for each
-    bucket, so members of a large group meet many hubs. Then the buckets that
+    In each bucket all members are compared with one hub. Bands share ``DRAWS``
+    draws, so members of a large group meet several hubs, but a group that meets
+    in every band has at most that many links a member. Then the buckets that
     still hold several classes are settled: all pairs of different classes are
     compared, unless the triangle inequality over their distances to the hub
     excludes them. Up to ``SMALL`` members the pairs are rows; larger buckets
@@ -248,8 +251,8 @@ def near_links(docs: DataFrame, marks: DataFrame, similarity: float, coordinates
     """
     words = [f"s{i}" for i in range(-(-coordinates // 64))]
     bits = saved(marks.filter("print is not null").groupBy("print").agg(*[F.max(w).alias(w) for w in words], F.max("keys").alias("keys")), "bits")
-    members = marks.filter("print is not null").select(F.explode("keys").alias("bucket"), "print").distinct()
-    members = saved(members.withColumn("draw", F.xxhash64("print", "bucket")), "buckets")
+    members = marks.filter("print is not null").select(F.posexplode("keys").alias("band", "bucket"), "print")
+    members = saved(members.select("bucket", "print", F.xxhash64("print", F.col("band") % DRAWS).alias("draw")).distinct(), "buckets")
     drawn = members.groupBy("bucket").agg(F.min("draw").alias("least"), F.count("*").alias("members")).filter("members > 1")
     shared = saved(members.join(drawn, "bucket"), "shared")
     first = shared.filter("draw = least").select("bucket", F.col("print").alias("hub"))
