@@ -132,6 +132,22 @@ def test_cross_links_in_a_bucket_are_found(documents, shared):
     assert got == classes(rows)
 
 
+def test_darts_of_many_short_texts_take_bounded_memory():
+    """Short texts take as many cells as long ones: thrown at once, these took over 500 MB."""
+    import tracemalloc
+
+    texts = [f"w{i}".encode() for i in range(6000)] + [" ".join(f"x{i}" for i in range(3000)).encode(), b"a b c"]
+    (element, count, doc), = dart_minhash.shingle_counts(texts)
+    tracemalloc.start()
+    got = dart_minhash.signatures(element, count.astype(float), doc, len(texts), 192)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+    for low, high in ((0, 40), (5990, len(texts))):
+        part = slice(*np.searchsorted(doc, (low, high)))
+        assert (got[low:high] == dart_minhash.darts(element[part], count[part].astype(float), doc[part] - low, high - low, 192)).all()
+
+
 def test_stages_drop_rows_and_not_ids(documents, shared):
     """A copy is dropped though its id, or null id, also names a text that stays."""
     import corpus_pipeline

@@ -24,6 +24,8 @@ SMALL = 16
 DRAWS = 8
 #: Members and bytes of text a chunk of a larger bucket has on average at most.
 CHUNK, CHUNK_BYTES = 1024, 2 << 20
+#: Cells of element, strip and slab that darts are thrown over at a time; a short text takes as many as a long one, so bytes don't bound them.
+CELLS = 1 << 19
 
 _FINE = 6  # ranks below 1 are cut in slabs [0, 2**-6), [2**-6, 2**-5), ... and above in slabs of height 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,6 +49,11 @@ def _slabs_below(bound: np.ndarray) -> np.ndarray:
     return np.where(bound <= 1, fine, _FINE + np.ceil(bound)).astype(np.int64)
 
 
+def _bounds(total: np.ndarray, k: int, factor: float = 1.0) -> np.ndarray:
+    """Ranks up to which sets of these total weights throw their darts."""
+    return np.divide(factor * k * (np.log(k) + 2), total, out=np.zeros(len(total)), where=total > 0)
+
+
 def darts(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, owners: int, k: int, factor: float = 1.0) -> np.ndarray:
     """Signatures (owners x k) of weighted sets given as (element, weight, owner) rows.
 
@@ -60,7 +67,7 @@ def darts(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, owners: in
     """
     out = np.zeros((owners, k), np.uint64)
     total = np.bincount(owner, weight, owners)
-    bound = np.divide(factor * k * (np.log(k) + 2), total, out=np.zeros(owners), where=total > 0)
+    bound = _bounds(total, k, factor)
     strips = np.ceil(weight).astype(np.int64)
     row = np.repeat(np.arange(len(element)), strips)
     strip = np.arange(len(row)) - np.repeat(np.cumsum(strips) - strips, strips)
@@ -105,6 +112,19 @@ def darts(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, owners: in
     return out
 
 
+def signatures(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, owners: int, k: int) -> np.ndarray:
+    """:func:`darts` for rows sorted by owner, over as many sets at a time as take about ``CELLS`` cells."""
+    strips = np.bincount(owner, np.ceil(weight), owners)
+    cells = np.cumsum(strips * _slabs_below(_bounds(np.bincount(owner, weight, owners), k)))
+    part = (cells // CELLS).astype(np.int64)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [owners]])
+    rows = np.searchsorted(owner, cuts)
+    return np.concatenate([
+        darts(element[i:j], weight[i:j], owner[i:j] - low, high - low, k)
+        for i, j, low, high in zip(rows, rows[1:], cuts, cuts[1:], strict=False)
+    ])
+
+
 def shingle_counts(texts: list[bytes], size: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per block of texts: (shingle hash, count, index of the text), sorted by text and hash.
 
@@ -163,7 +183,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int =
             keys, bits = np.zeros((len(texts), bands), np.uint64), np.zeros((len(texts), words), np.uint64)
             for element, count, doc in shingle_counts(texts, size):
                 low, high = doc[0], doc[-1] + 1
-                signature = darts(element, count.astype(float), doc - low, high - low, bands * rows)
+                signature = signatures(element, count.astype(float), doc - low, high - low, bands * rows)
                 keys[low:high], bits[low:high] = band_keys(signature, bands, rows), low_bits(signature, words)
             prints = [fingerprint(t) for t in texts]
             yield pd.DataFrame({
