@@ -148,6 +148,17 @@ def test_darts_of_many_short_texts_take_bounded_memory():
         assert (got[low:high] == dart_minhash.darts(element[part], count[part].astype(float), doc[part] - low, high - low, 192)).all()
 
 
+def test_ties_connect_what_hub_links_connect(documents, shared, monkeypatch):
+    """A family meets in every bucket with several hubs; about one pair a member goes to the search for components."""
+    rng, seen = random.Random(31), []
+    base = rng.choices([f"v{i}" for i in range(500)], k=300)
+    rows = [(i, edited(base, 1, rng)) for i in range(60)]
+    real = dart_minhash.connected
+    monkeypatch.setattr(dart_minhash, "connected", lambda links: seen.append(links.count()) or real(links))
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(documents(rows)).collect()}
+    assert got == classes(rows) and seen and max(seen) < 2 * 60
+
+
 def test_stages_drop_rows_and_not_ids(documents, shared):
     """A copy is dropped though its id, or null id, also names a text that stays."""
     import corpus_pipeline

@@ -286,13 +286,14 @@ def near_links(docs: DataFrame, marks: DataFrame, similarity: float, coordinates
     texts = saved(texts_of(spokes.select("print").distinct(), docs, marks, id_col, text_col), "texts")
     measured = saved(verified(near, texts, size).distinct(), "measured")
     links = measured.filter(F.col("similarity") >= similarity).select("a", "b")
-    labels = connected(links)
-
-    rows = (
-        spokes.withColumns({"a": F.greatest("print", "hub"), "b": F.least("print", "hub")}).join(measured, ["a", "b"], "left")
-        .join(labels.withColumnRenamed("node", "print"), "print", "left").select(
-            "bucket", "print", "members", F.coalesce("label", "print").alias("label"), F.when(F.col("print") == F.col("hub"), 1.0).otherwise(F.col("similarity")).alias("near")
-        )
+    spokes = spokes.withColumns({"a": F.greatest("print", "hub"), "b": F.least("print", "hub")}).join(measured, ["a", "b"], "left")
+    own = F.when(F.col("print") == F.col("hub"), 1.0).otherwise(F.col("similarity"))
+    spokes = saved(spokes.select("bucket", "print", "hub", "members", own.alias("near")), "measured-spokes")
+    ties = saved(_ties(spokes.filter((F.col("print") != F.col("hub")) & (F.col("near") >= similarity))), "ties")
+    labels = connected(ties)
+
+    rows = spokes.join(labels.withColumnRenamed("node", "print"), "print", "left").select(
+        "bucket", "print", "members", F.coalesce("label", "print").alias("label"), "near"
     )
     mixed = rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("n"))
     rows = saved(rows.join(mixed.filter("classes > 1 and n > 2").select("bucket"), "bucket", "left_semi").join(sketch, "print"), "open")
@@ -307,8 +308,20 @@ def near_links(docs: DataFrame, marks: DataFrame, similarity: float, coordinates
     fresh = saved(fresh.unionByName(_chunked(many, bits.select("print", "keys"), texts, similarity, coordinates, size)), "fresh")
     if fresh.isEmpty():
         return links, labels
-    links = links.unionByName(fresh)
-    return links, connected(links)
+    return links.unionByName(fresh), connected(ties.unionByName(fresh))
+
+
+def _ties(spokes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect what linked (print, hub) rows connect: each member with its least hub, and that hub with the member's others.
+
+    A member has a hub per draw, and the members of a group share their hubs,
+    so a group of n members keeps about n pairs instead of ``DRAWS`` times n.
+    """
+    hubs = spokes.groupBy("print").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))
+    least = F.get("hubs", F.lit(0))
+    own = hubs.select(F.col("print").alias("a"), least.alias("b"))
+    others = hubs.select(F.explode(F.slice("hubs", F.lit(2), F.size("hubs"))).alias("a"), least.alias("b")).distinct()
+    return own.unionByName(others)
 
 
 def most_differing(coordinates: int, similarity: float) -> float:
