@@ -126,3 +126,42 @@ def test_cleaning(spark):
     assert one(spark, X.clean_converted, "a\x01b  c\n\n\n\nNormal.dot junk\nend ") == "a b c\nend"
     assert one(spark, lambda t: X.cut(t, 3, "..."), "abcdef") == "abc..."
     assert one(spark, X.quality_issues, "short") == 9
+
+
+def test_any_word_finds_what_the_whole_list_finds():
+    import re
+
+    for words in (E.PLACE_WORDS, E.TECH_WORDS, E.ADDRESS_CUES, [w.lower() for w in E.DEGREE_WORDS], ["x", "xi", "ax", "b.c", "b+"]):
+        short, texts = re.compile(E._any_word(words)), [*words, *[w[:-1] for w in words], *[w[1:] + " " + w[:2] for w in words], "", "zz"]
+        assert [bool(short.search(t)) for t in texts] == [any(w in t for w in words) for t in texts]
+        assert len(E._any_word(words)) < len("|".join(words)) + 40
+
+
+def test_education_sentences_of_a_long_text_without_grades(spark):
+    """A form that needs a grade is not searched for where none stands: its search goes over the whole rest from every start."""
+    import time
+
+    text = "no section\n" + ("X " + "Abc def ghi " * 25 + "12 \n") * 60 + "B.Tech in Physics from Delhi University 2014"
+    began = time.time()
+    found = one(spark, lambda t: E.full_education(t), text)
+    assert [(e.degree, e.school, e.year) for e in found] == [("B.Tech in Physics", "Delhi University", "2014")]
+    assert time.time() - began < 20
+
+
+def test_windows_of_many_mentions(spark):
+    """Each mention's window stands where the mention does, also behind thousands of others and wide characters."""
+    text = "é MBA 2001 " + "x" * 300 + " MBA Delhi University 1999 " + "MBA, " * 400 + "y" * 200 + " MBA 2015"
+    found = [e for e in one(spark, E.windowed_education, text) if e.degree == "MBA"]
+    assert len(found) == 403 and [e.k for e in found] == list(range(1, 404))
+    assert [(e.institution, e.year) for e in (found[0], found[1], found[-1])] == [("Unknown Institution", 2001), ("Delhi University", 1999), ("Unknown Institution", 2015)]
+
+
+def test_titles_after_a_company_suffix(spark):
+    """A suffix before any blank rules a title out; texts without one keep theirs."""
+    assert one(spark, E.positions, "Acme Inc\n Data Engineer") == []
+    assert one(spark, E.positions, "Acme Income Data Engineer") == ["Data Engineer"]
+
+
+def test_job_text_cues_behind_plain_words(spark):
+    for t, want in (("Analyzed the  root cause", True), ("resolve tickets", True), ("12 Park Street 411001", False), ("block 5, worked on it", True), ("drive 12", False), ("pin 700101 xx", False), ("", False)):
+        assert one(spark, E.is_job_text, t) is want, t
