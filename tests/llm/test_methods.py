@@ -365,6 +365,43 @@ def test_perplexity_by_brute_force(documents, shared):
         assert abs(r.perplexity - want) < 1e-3 * want
 
 
+def test_perplexity_comes_from_sharded_joins(documents, shared, monkeypatch):
+    draw = random.Random(6)
+    texts = ["".join(draw.choice("abc dÉ9Ж\n") for _ in range(draw.randrange(1, 120))) for _ in range(40)] + ["zq" * 300, "", None]
+    rows = [*enumerate(texts), (None, texts[0]), (None, None), (7, texts[7])]
+    docs, trusted = documents(rows), documents(rows[:20])
+
+    def refuse(*_, **__):
+        raise AssertionError("the model leaves its shards")
+
+    with monkeypatch.context() as m:
+        m.setattr(quality, "ASK_BYTES", 500, raising=False)  # many blocks
+        m.setattr(type(docs), "toPandas", refuse)
+        m.setattr(type(shared.sparkContext), "broadcast", refuse)
+        model = quality.fit(trusted)
+        found = [(r.doc_id, r.n_symbols, r.perplexity) for r in quality.perplexities(docs, model).collect()]
+    surprise = model.surprise().astype(float)
+
+    def perplexity(text):
+        c = [0] * 3 + [int(x) for x in quality.CLASS[np.frombuffer(text.encode(), np.uint8)]] + [0]
+        return np.exp(np.mean([surprise[a << 18 | b << 12 | d << 6 | e] for a, b, d, e in zip(c, c[1:], c[2:], c[3:])]))
+
+    want = [(i, len((t or "").encode()), perplexity(t) if t else None) for i, t in rows]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for a, b in zip(sorted(found, key=order), sorted(want, key=order), strict=True):
+        assert a[:2] == b[:2] and (a[2] is None if b[2] is None else abs(a[2] - b[2]) < 1e-9 * b[2])
+
+
+def test_joined_probabilities_equal_the_dense_table(documents, shared):
+    model = quality.fit(documents([(1, "the cat sat on the mat"), (2, "a cat and a dog"), (3, "Über 12 cats!")]))
+    codes = shared.range(0, 1 << 24, 1009).withColumnRenamed("id", "code").union(model.parts[-1][0].select("code"))
+    got = quality.probabilities(codes, model).toPandas()
+    assert len(got) == got["code"].nunique() == codes.distinct().count()
+    assert np.array_equal(quality._surprise(got["p"].to_numpy()), model.surprise()[got["code"].to_numpy()])
+    nothing = quality.fit(documents([(1, None), (2, "")]))
+    assert [round(r.perplexity, 4) for r in quality.perplexities(documents([(1, "any text")]), nothing).collect()] == [quality.SYMBOLS]
+
+
 def test_shards_match_the_mixture(documents, shared):
     rows = [(i, "x" * (i % 7), "en", "big" if i % 3 else f"s{i % 5}") for i in range(1000)]
     got = sharding.shard(documents(rows)).collect()
