@@ -48,6 +48,27 @@ def test_lookup_splits_hot_keys(spark, monkeypatch):
     assert rows(got.select("id", "k", "v")) == rows(big.join(keyed, "k", "left").select("id", "k", "v"))
 
 
+def test_tables_too_large_to_count_are_not_broadcast(spark, monkeypatch):
+    people = [(f"{i:02}", f"u{i % 5}@x.org") for i in range(20)] + [("x", None), (None, "u9@x.org")]
+    df = spark.createDataFrame(people, "resume_id STRING, email STRING").withColumns({"phone_number": F.lit(None).cast("string"), "updated_dt": F.lit(1)})
+    plans, cut = [], I.stable
+
+    def kept(table):
+        plans.append(table._jdf.queryExecution().optimizedPlan().toString())
+        return cut(table)
+
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(ST, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(I, "stable", kept)
+    adopted = I.adopt_ids(df, df.limit(0))
+    assert {(r.resume_id, r.final_id) for r in adopted.collect()} == {(f"{i:02}", f"{i % 5:02}") for i in range(20)} | {("x", "x"), (None, None)}
+    # Spark's estimates, by which these few rows would be broadcast, decide about no join of rows
+    plans += [t._jdf.queryExecution().optimizedPlan().toString() for t in (adopted, ST.delete(df, df), ST.fetch_many(df, df))]
+    joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
+    assert len(joins) > 10 and not [line for line in joins if "strategy=" not in line and "LeftSemi" not in line], joins
+    assert all("strategy=merge" in plan for plan in plans[-2:])
+
+
 OLD = [(1, "a", "x", 1), (2, "b", None, 1), (3, "c", "z", 1)]
 NEW = [(2, "B", "n", 9), (4, "d", None, 9), (3, None, None, 9)]
 SCHEMA = "resume_id BIGINT, name STRING, email STRING, created_dt BIGINT"

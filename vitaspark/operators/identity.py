@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.sizing import lookup
+from ..plans.sizing import counted_join, lookup
 from .lexical import stable
 
 
@@ -62,7 +62,8 @@ def components(df: DataFrame) -> DataFrame:
     Labels travel from rows to contact keys and back, with a pointer jump per
     round. A key held by very many rows takes part as one aggregated minimum,
     pairs inside a group never exist. Every round is checkpointed, and rounds
-    go on until no label changes.
+    go on until no label changes. Whether labels are broadcast goes by their
+    count.
     """
     keyed = with_keys(df)
     edges = stable(
@@ -75,12 +76,13 @@ def components(df: DataFrame) -> DataFrame:
         ).distinct()
     )
     labels = stable(keyed.select("resume_id", F.col("resume_id").alias("component")).distinct())
+    how = counted_join(labels)
     while True:
-        by_key = edges.join(labels, "resume_id").groupBy("key").agg(F.min("component").alias("low"))
+        by_key = edges.join(labels.hint(how), "resume_id").groupBy("key").agg(F.min("component").alias("low"))
         by_row = lookup(edges, by_key, "key", how="inner").groupBy("resume_id").agg(F.min("low").alias("low"))
-        lower = labels.join(by_row, "resume_id", "left").select(
+        lower = stable(labels.join(by_row.hint(how), "resume_id", "left").select(
             "resume_id", F.col("component").alias("old"), F.least("component", F.coalesce("low", "component")).alias("new")
-        )
+        ))
         jump = lower.select(F.col("resume_id").alias("new"), F.col("new").alias("next"))
         moved = stable(lookup(lower, jump, "new").select("resume_id", "old", F.least("new", F.coalesce("next", "new")).alias("component")))
         labels = moved.select("resume_id", "component")

@@ -61,7 +61,8 @@ def batch_tables(rows: DataFrame) -> dict[str, DataFrame]:
         "pii": rows.filter(I.has_contact()).select(*PII_COLUMNS),
         "documents": N.without_pii(rows),
         "index": N.index_document(rows).join(
-            rows.select("resume_id", combined_text(N.standard_text(rows), redacted).alias("index_text")), "resume_id"
+            # both sides lie by id already; texts are never broadcast
+            rows.select("resume_id", combined_text(N.standard_text(rows), redacted).alias("index_text")).hint("merge"), "resume_id"
         ),
     }
 

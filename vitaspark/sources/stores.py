@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.sizing import BROADCAST_ROWS, within
+from ..plans.sizing import BROADCAST_ROWS, counted_join, within
 
 
 class SnapshotTable:
@@ -98,7 +98,7 @@ def replace_children(children: DataFrame, updated: DataFrame, fresh: DataFrame,
 
 def delete(table: DataFrame, ids: DataFrame, key: str = "resume_id") -> DataFrame:
     doomed = ids.select(key)
-    return table.join(F.broadcast(doomed) if within(doomed, BROADCAST_ROWS) else doomed, key, "left_anti")
+    return table.join(doomed.hint(counted_join(doomed, BROADCAST_ROWS)), key, "left_anti")
 
 
 def existing(ids: DataFrame, table: DataFrame, key: str = "resume_id") -> DataFrame:
@@ -112,7 +112,7 @@ def fetch(table: DataFrame, resume_id, key: str = "resume_id") -> DataFrame:
 
 def fetch_many(table: DataFrame, ids: DataFrame, key: str = "resume_id") -> DataFrame:
     wanted = ids.select(key).distinct()
-    return table.join(F.broadcast(wanted) if within(wanted, BROADCAST_ROWS) else wanted, key, "left_semi")
+    return table.join(wanted.hint(counted_join(wanted, BROADCAST_ROWS)), key, "left_semi")
 
 
 def child_rows(records: DataFrame) -> dict[str, DataFrame]:
