@@ -402,6 +402,67 @@ def test_joined_probabilities_equal_the_dense_table(documents, shared):
     assert [round(r.perplexity, 4) for r in quality.perplexities(documents([(1, "any text")]), nothing).collect()] == [quality.SYMBOLS]
 
 
+def test_quality_tells_characters_apart(documents, shared):
+    good = ["THE CAT SAT ON THE MAT", "ДОМ И САД", "今日は良い天気です"]
+    bad = ["XQZ JKW VZX QJ KVW ZQX", "ЖЭЩ Ъ ФЫЮ", "鬱蠍は鮭い麒麟です"]  # the same classes of bytes
+    rows = [(10 * i + j, t, f"l{i}") for i, t in enumerate(good) for j in range(3)] + [(90 + i, t, f"l{i}") for i, t in enumerate(bad)]
+    labels = shared.createDataFrame([(10 * i + j, 1) for i in range(3) for j in range(3)], "doc_id long, quality int")
+    docs = shared.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
+    assert len(found) == len(rows)
+    for i, t in enumerate(bad):
+        assert [len(t)] * 2 == [found[90 + i].n_symbols, found[10 * i].n_symbols]
+        assert found[90 + i].perplexity > 2 * found[10 * i].perplexity
+        assert found[10 * i].kept and not found[90 + i].kept
+
+
+def test_perplexity_of_characters_by_brute_force(documents, shared, monkeypatch):
+    texts = ["the Cat sat\non", "a cAt and the dog", "x", "", None, "zz 9!" * 9, "Жг 漢字🙂\0"]
+    rows = [*enumerate(texts), (None, texts[0])]
+    trusted = [*texts[:2], texts[6]]
+    model = quality.fit(documents(list(enumerate(trusted))), alphabet=quality.Characters)
+    with monkeypatch.context() as m:
+        m.setattr(quality, "ASK_BYTES", 20)  # many blocks
+        found = quality.perplexities(documents(rows), model).collect()
+    # byte 128 and up stand for the characters beyond ASCII
+    beyond = {c: chr(128 + i) for i, c in enumerate("Жг漢字🙂")}
+    spelled = lambda t: "".join(beyond.get(c, c) for c in t)
+
+    class Latin(str):
+        def encode(self):
+            return super().encode("latin-1")
+
+    monkeypatch.setattr(quality, "CLASS", np.arange(1, 257))
+    monkeypatch.setattr(quality, "SYMBOLS", quality.Characters.symbols)
+    p, by_id = brute_kn([Latin(spelled(t)) for t in trusted]), dict(rows)
+    assert len(found) == len(rows)
+    for r in found:
+        text = by_id[r.doc_id] or ""
+        c = [0] * 3 + [ord(x) + 1 for x in spelled(text)] + [0]
+        want = np.exp(-np.mean([np.log(p(tuple(c[i:i + 4]))) for i in range(len(c) - 3)]))
+        assert r.n_symbols == len(text)
+        assert r.perplexity is None if not text else abs(r.perplexity - want) < 1e-3 * want
+
+
+def test_counts_handed_on_in_parts_add_up(documents, shared, monkeypatch):
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("abcdeЖ漢 ") for _ in range(draw.randrange(1, 300))) for _ in range(20)]
+    want = Counter()
+    for t in texts:
+        c = [0] * 3 + [ord(x) + 1 for x in t] + [0]
+        want.update(tuple(c[i:i + 4]) for i in range(len(c) - 3))
+    monkeypatch.setattr(quality, "BLOCK", 64)
+    monkeypatch.setattr(quality, "HELD", 50)
+    got, parts = Counter(), 0
+    for high, low, n in quality._counted(([t.encode()] for t in texts), quality.Characters):
+        parts += 1
+        for gram, k in zip(np.stack(quality._symbols(high, low), axis=1).tolist(), n.tolist()):
+            got[tuple(gram)] += k
+        back = quality.Characters.unpacked(quality.Characters.packed(high, low))
+        assert np.array_equal(back[0], high) and np.array_equal(back[1], low)
+    assert got == want and parts > 1
+
+
 def test_shards_match_the_mixture(documents, shared):
     rows = [(i, "x" * (i % 7), "en", "big" if i % 3 else f"s{i % 5}") for i in range(1000)]
     got = sharding.shard(documents(rows)).collect()
